@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newslens import schema as S
 from newslens.functions import exprs as X
@@ -35,7 +36,8 @@ def read_concat_json(spark: SparkSession, path: str, schema=S.ARTICLE_SCHEMA,
     if keep_order:
         raw = with_file_order(raw)
     body = F.regexp_replace(F.col("value"), r"^\s*\{|\}\s*$", "")
-    full_schema = schema.add(CORRUPT, "string") if CORRUPT not in schema.fieldNames() else schema
+    full_schema = schema if CORRUPT in schema.fieldNames() else T.StructType(
+        list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), full_schema,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     out = raw.where(F.length(F.trim(F.col("value"))) > 0).withColumn("_rec", parsed)

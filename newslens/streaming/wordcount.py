@@ -1,0 +1,103 @@
+"""Word counts of a text stream and the word-count history.
+
+    readStream(text) → words → watermark → groupBy(window, word).count()
+        → foreachBatch: counts per window (S7) + top-k per window (W3)
+          upserted into the history keyed by the window's minute (S8)
+
+Windows are event-time windows on each file's modification time, so a
+micro-batch replayed after a failure produces the same keys; both sinks
+overwrite only the partitions of the windows in the batch (dynamic partition
+overwrite), which makes a replay a no-op.  Windows without any word never
+reach the sink, so they leave no history entry (W4).  The batch twin of this
+pipeline is `newslens.plans.reports.word_history`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from newslens import schema as S
+from newslens.operators import counts as C
+
+
+# S4 ---------------------------------------------------------------------------
+def stream_text(spark: SparkSession, path: str, suffix: str | None = None,
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """New text files in a folder → (ts, file, value); ts = file modification time."""
+    reader = spark.readStream.format("text").schema("value string")
+    if suffix:
+        reader = reader.option("pathGlobFilter", f"*{suffix}")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    df = reader.load(path)
+    return df.select(F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ts"),
+                     F.col("_metadata.file_path").alias("file"), "value")
+
+
+# W1 / W2 ------------------------------------------------------------------------
+def stream_word_count(lines: DataFrame, interval: str = S.STREAM_INTERVAL,
+                      delay: str | None = None, ts_col: str = "ts") -> DataFrame:
+    """(window_start, window_end, word, n) per tumbling `interval` window; not cumulative.
+
+    The watermark (`delay`, default one interval) bounds the state: a window
+    is emitted once, complete, when the watermark passes its end.
+    """
+    words = C.words_of_lines(lines, "value", keep=(ts_col,))
+    return (words.withWatermark(ts_col, delay or interval)
+                 .groupBy(F.window(ts_col, interval).alias("w"), "word")
+                 .agg(F.count(F.lit(1)).alias("n"))
+                 .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                         "word", "n"))
+
+
+# W3 / S7 / S8 -------------------------------------------------------------------
+def window_history(counts: DataFrame, k: int = S.HISTORY_TOP) -> DataFrame:
+    """Top-k countable words of each window → (batch_minute, rank, keyword, n)."""
+    keyed = counts.withColumn("batch_minute", F.date_format("window_end", S.MINUTE_KEY_FORMAT))
+    top = C.top_words(keyed, k, group="batch_minute")
+    return top.select("batch_minute", F.col("rank").cast("int").alias("rank"),
+                      F.col("word").alias("keyword"), "n")
+
+
+def overwrite_partitions(df: DataFrame, path: str, key: str) -> None:
+    """Replace only the `key` partitions present in `df`; all others stay (idempotent)."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(key).parquet(path))
+
+
+def upsert_history(history: DataFrame, path: str) -> None:
+    """The entry of each minute key is replaced, every other entry kept."""
+    overwrite_partitions(history, path, "batch_minute")
+
+
+def history_sink(history_path: str, counts_path: str | None = None,
+                 k: int = S.HISTORY_TOP) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: write window counts (S7) and upsert the top-k history."""
+    def write(batch: DataFrame, epoch_id: int) -> None:  # noqa: ARG001 - Spark's signature
+        if counts_path:
+            keyed = batch.withColumn("window", F.date_format("window_start", "yyyyMMddHHmmss"))
+            overwrite_partitions(keyed, counts_path, "window")
+        upsert_history(window_history(batch, k), history_path)
+    return write
+
+
+def start_word_history(spark: SparkSession, source_dir: str, history_path: str,
+                       checkpoint: str, counts_path: str | None = None,
+                       interval: str = S.STREAM_INTERVAL, available_now: bool = False,
+                       suffix: str | None = ".txt", k: int = S.HISTORY_TOP) -> StreamingQuery:
+    """Y6 stream: start the query; `available_now` drains what is there and stops."""
+    counts = stream_word_count(stream_text(spark, source_dir, suffix), interval)
+    writer = (counts.writeStream.outputMode("append")
+                    .option("checkpointLocation", checkpoint)
+                    .foreachBatch(history_sink(history_path, counts_path, k)))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+def read_history_table(spark: SparkSession, path: str) -> DataFrame:
+    """The history store as (batch_minute, rank, keyword, n), partition-pruned by minute."""
+    return spark.read.parquet(path).select("batch_minute", "rank", "keyword", "n")
