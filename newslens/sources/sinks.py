@@ -13,6 +13,7 @@ from newslens import schema as S
 from newslens.functions import exprs as X
 from newslens.operators import pages as PG
 from newslens.operators import text as TX
+from newslens.session import cut_lineage
 
 
 # S6 ---------------------------------------------------------------------------
@@ -42,7 +43,9 @@ def append_new_articles(new: DataFrame, store_path: str, order_col: str = "page_
     except Exception as e:  # noqa: BLE001 - first write: the store does not exist yet
         if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
             raise
-    fresh = fresh.persist()
+    # Materialise first: the returned frame must not be re-evaluated against
+    # the store after this batch has been appended to it.
+    fresh = cut_lineage(fresh)
     fresh.write.mode("append").parquet(store_path)
     return fresh
 

@@ -34,7 +34,8 @@ def stream_text(spark: SparkSession, path: str, suffix: str | None = None,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = reader.load(path)
-    return df.select(F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ts"),
+    # Watermarks need TIMESTAMP (not _NTZ); minute keys are rendered in the session zone.
+    return df.select(F.col("_metadata.file_modification_time").alias("ts"),
                      F.col("_metadata.file_path").alias("file"), "value")
 
 
@@ -78,10 +79,15 @@ def history_sink(history_path: str, counts_path: str | None = None,
                  k: int = S.HISTORY_TOP) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: write window counts (S7) and upsert the top-k history."""
     def write(batch: DataFrame, epoch_id: int) -> None:  # noqa: ARG001 - Spark's signature
-        if counts_path:
-            keyed = batch.withColumn("window", F.date_format("window_start", "yyyyMMddHHmmss"))
-            overwrite_partitions(keyed, counts_path, "window")
-        upsert_history(window_history(batch, k), history_path)
+        # Two sinks read the batch: keep it for the second instead of recomputing.
+        batch = batch.persist()
+        try:
+            if counts_path:
+                keyed = batch.withColumn("window", F.date_format("window_start", "yyyyMMddHHmmss"))
+                overwrite_partitions(keyed, counts_path, "window")
+            upsert_history(window_history(batch, k), history_path)
+        finally:
+            batch.unpersist()
     return write
 
 
