@@ -21,6 +21,7 @@ PY_WS = r"[\t\n\x{0b}\x{0c}\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}
 TRIM_PATTERN = rf"^{PY_WS}+|{PY_WS}+$"
 # A term: a maximal run of letters and digits.
 WORD_PATTERN = r"[\p{L}\p{N}]+"
+NON_WORD_PATTERN = r"[^\p{L}\p{N}]+"
 # What Python's int() accepts: blanks, sign, decimal digits, single underscores.
 INT_PATTERN = rf"^{PY_WS}*[+-]?\p{{Nd}}+(_\p{{Nd}}+)*{PY_WS}*$"
 # Host part of an absolute URL.
@@ -150,7 +151,9 @@ def segment(text: str | Column, mode: str = "words") -> Column:
     """
     low = F.lower(col_(text))
     if mode == "words":
-        return F.regexp_extract_all(low, F.lit(WORD_PATTERN), 0)
+        # Cutting at runs of non-word characters yields the maximal word runs
+        # (plus empty ends, dropped); ~3x cheaper than extracting every match.
+        return F.filter(F.split(low, NON_WORD_PATTERN), lambda x: F.length(x) > 0)
     if mode == "space":
         return F.filter(F.split(low, r"\s+"), lambda x: F.length(x) > 0)
     if mode == "cjk_bigram":

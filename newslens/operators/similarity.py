@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from newslens import schema as S
 from newslens.operators import text as TX
+from newslens.session import reuse
 
-# Term-holder rows per salted slice of one term.
-SALT_ROWS = 200_000
+# Term-holder rows per salted slice of one term, and the most slices per term.
+SALT_ROWS = 2_000
+MAX_SLICES = 4_096
 
 
 def term_table(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORDS,
@@ -41,32 +43,39 @@ def term_table(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORD
     later steps need no join back to the articles; they are attached by an
     equi-join on doc_id that shares its shuffle with the keyword window.
     """
-    tf = TX.term_freq(TX.tokens(articles, mode, stopwords))
+    tf = reuse(TX.term_freq(TX.tokens(articles, mode, stopwords)))
     w = TX.tfidf(tf, TX.article_count(articles))
     if attrs:
         w = w.join(articles.select("doc_id", *attrs), "doc_id")
-    return TX.flag_keywords(w, k)
+    # Both sides of the similarity join read this table.
+    return reuse(TX.flag_keywords(w, k))
 
 
-def pair_similarity(tk: DataFrame, attrs: Sequence[str] = (),
-                    salt_rows: int = SALT_ROWS) -> DataFrame:
-    """(lo, hi, dot, norm_lo, norm_hi, sim[, <attr>_lo, <attr>_hi]) for lo < hi.
+def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str] = (),
+                    salt_rows: int = SALT_ROWS, max_slices: int = MAX_SLICES) -> DataFrame:
+    """(lo, hi, dot, norm_lo, norm_hi, sim, [<s>_eq], [<c>_lo, <c>_hi]) for lo < hi.
 
     Only pairs sharing at least one term of K(lo) ∪ K(hi) appear; all others
     have similarity 0.  All sums are integers, so the result does not depend on
     evaluation order; the one division is done last in double precision.
+
+    `same` columns give a boolean `<s>_eq` (equal on both sides) and `carry`
+    columns (numeric) their two values; both are decided per joined row, so
+    the pair aggregate keeps fixed-width buffers only (codegen'd hash
+    aggregation, no string state).
     """
-    slices = F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(salt_rows))).cast("int")
+    slices = F.least(F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(salt_rows))),
+                     F.lit(max_slices)).cast("int")
     kw = tk.where("is_kw").select(
         F.col("doc_id").alias("k_doc"), "term", F.col("tf").alias("k_c"),
         F.col("kw_norm").alias("k_n"),
         F.explode(F.sequence(F.lit(0), slices - 1)).alias("salt"),
-        *[F.col(a).alias(f"k_{a}") for a in attrs])
+        *[F.col(a).alias(f"k_{a}") for a in (*same, *carry)])
     allt = tk.select(
         F.col("doc_id").alias("t_doc"), F.col("term").alias("t_term"),
         F.col("tf").alias("t_c"), F.col("is_kw").alias("t_kw"), F.col("kw_norm").alias("t_n"),
         F.pmod(F.xxhash64("doc_id"), slices).cast("int").alias("t_salt"),
-        *[F.col(a).alias(f"t_{a}") for a in attrs])
+        *[F.col(a).alias(f"t_{a}") for a in (*same, *carry)])
     x = kw.join(allt, (F.col("term") == F.col("t_term")) & (F.col("salt") == F.col("t_salt")))
     # A term that is a keyword of both sides yields two rows; keep one.
     x = x.where((F.col("k_doc") != F.col("t_doc")) &
@@ -83,7 +92,9 @@ def pair_similarity(tk: DataFrame, attrs: Sequence[str] = (),
         F.max(F.when(k_is_lo, F.col("k_n")).otherwise(F.col("t_n"))).alias("n_lo"),
         F.max(F.when(k_is_lo, F.col("t_n")).otherwise(F.col("k_n"))).alias("n_hi"),
     ]
-    for a in attrs:
+    for a in same:
+        aggs.append(F.max(F.coalesce(F.col(f"k_{a}") == F.col(f"t_{a}"), F.lit(False))).alias(f"{a}_eq"))
+    for a in carry:
         aggs.append(F.max(F.when(k_is_lo, F.col(f"k_{a}")).otherwise(F.col(f"t_{a}"))).alias(f"{a}_lo"))
         aggs.append(F.max(F.when(k_is_lo, F.col(f"t_{a}")).otherwise(F.col(f"k_{a}"))).alias(f"{a}_hi"))
     p = x.groupBy(lo.alias("lo"), hi.alias("hi")).agg(*aggs)
@@ -91,17 +102,15 @@ def pair_similarity(tk: DataFrame, attrs: Sequence[str] = (),
     norm_hi = F.col("n_hi") + F.col("e_hi")
     sim = F.try_divide(F.col("dot").cast("double"),
                        F.sqrt(norm_lo.cast("double") * norm_hi.cast("double")))
+    extra = [f"{a}_eq" for a in same] + [c for a in carry for c in (f"{a}_lo", f"{a}_hi")]
     return p.select("lo", "hi", "dot", norm_lo.alias("norm_lo"), norm_hi.alias("norm_hi"),
-                    sim.alias("sim"), *[c for a in attrs for c in (f"{a}_lo", f"{a}_hi")])
+                    sim.alias("sim"), *extra)
 
 
-def both_directions(pairs: DataFrame, attrs: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, other, sim[, attr, other_attr]) — each unordered pair twice."""
+def both_directions(pairs: DataFrame) -> DataFrame:
+    """(doc_id, other, sim) — each unordered pair twice."""
     def side(me: str, other: str):
-        fields = [F.col(me).alias("doc_id"), F.col(other).alias("other"), F.col("sim")]
-        for a in attrs:
-            fields += [F.col(f"{a}_{me}").alias(a), F.col(f"{a}_{other}").alias(f"other_{a}")]
-        return F.struct(*fields)
+        return F.struct(F.col(me).alias("doc_id"), F.col(other).alias("other"), F.col("sim"))
 
     return pairs.select(F.explode(F.array(side("lo", "hi"), side("hi", "lo"))).alias("p")) \
                 .select("p.*")
@@ -120,18 +129,18 @@ def related(pairs: DataFrame, titles: DataFrame, k: int = S.TOP_RELATED,
             max_gap: int = S.RELATED_MAX_GAP_MIN) -> DataFrame:
     """Top-k distinct related titles per article.
 
-    `pairs` must carry `section_*` and `age_*` (see `pair_similarity(attrs=)`);
+    `pairs` must carry `section_eq` and `age_lo/age_hi` (see `pair_similarity`);
     candidates share the section and are at most `max_gap` minutes apart in
     age; each partner title counts once with its best similarity; ranking is
     similarity descending, then title.  Output (doc_id, rank, title, sim).
     """
-    cand = pairs.where((F.col("sim") > 0) &
-                       (F.col("section_lo") == F.col("section_hi")) &
+    cand = pairs.where((F.col("sim") > 0) & F.col("section_eq") &
                        (F.abs(F.col("age_lo") - F.col("age_hi")) <= F.lit(max_gap)))
     both = both_directions(cand)
     named = both.join(titles.select(F.col("doc_id").alias("other"), "title"), "other")
-    best = named.groupBy("doc_id", "title").agg(F.max("sim").alias("sim"))
-    ranked = Window.partitionBy("doc_id").orderBy(F.round("sim", 9).desc(), F.col("title").asc())
+    best = named.groupBy("doc_id", "title").agg(F.max("sim").alias("sim")) \
+                .withColumn("s9", F.round("sim", 9))
+    ranked = Window.partitionBy("doc_id").orderBy(F.col("s9").desc(), F.col("title").asc())
     return (best.withColumn("rank", F.row_number().over(ranked))
                 .where(F.col("rank") <= k)
                 .select("doc_id", "rank", "title", "sim"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from newslens import schema as S
 from newslens.functions import exprs as X
+from newslens.session import reuse
 
 # Largest stop-word table shipped to every task as a broadcast hash set.
 STOPWORD_BROADCAST_MAX = 1_000_000
@@ -108,13 +109,19 @@ def tfidf(tf: DataFrame, m: Column) -> DataFrame:
 
 
 # T7 / R6 ----------------------------------------------------------------------
+def with_rank_key(weights: DataFrame) -> DataFrame:
+    """Weight rounded to 9 digits as a column: engines agree on ties, and the
+    sort compares a plain double instead of re-rounding on every comparison."""
+    return weights.withColumn("w9", F.round("tfidf", 9))
+
+
 def rank_window(k_col: str = "doc_id") -> Window:
-    return Window.partitionBy(k_col).orderBy(F.round("tfidf", 9).desc(), F.col("term").asc())
+    return Window.partitionBy(k_col).orderBy(F.col("w9").desc(), F.col("term").asc())
 
 
 def keywords(weights: DataFrame, k: int = S.TOP_KEYWORDS, key: str = "doc_id") -> DataFrame:
     """Top-k distinct terms per document by TF-IDF (ties: term ascending)."""
-    return (weights.withColumn("rank", F.row_number().over(rank_window(key)))
+    return (with_rank_key(weights).withColumn("rank", F.row_number().over(rank_window(key)))
                    .where(F.col("rank") <= k)
                    .select(key, "rank", "term", "tf", "tfidf"))
 
@@ -126,7 +133,7 @@ def flag_keywords(weights: DataFrame, k: int = S.TOP_KEYWORDS) -> DataFrame:
     Both come from one window partitioned by doc_id, so no extra shuffle.
     """
     by_doc = Window.partitionBy("doc_id")
-    flagged = weights.withColumn("rank", F.row_number().over(rank_window()))
+    flagged = with_rank_key(weights).withColumn("rank", F.row_number().over(rank_window()))
     flagged = flagged.withColumn("is_kw", F.col("rank") <= k)
     sq = F.when(F.col("is_kw"), F.col("tf") * F.col("tf")).otherwise(F.lit(0))
     return flagged.withColumn("kw_norm", F.sum(sq).over(by_doc))
@@ -135,7 +142,7 @@ def flag_keywords(weights: DataFrame, k: int = S.TOP_KEYWORDS) -> DataFrame:
 def article_keywords(articles: DataFrame, stopwords: StopWords = S.DEFAULT_STOPWORDS,
                      k: int = S.TOP_KEYWORDS, mode: str = "words") -> DataFrame:
     """(doc_id, rank, term, tf, tfidf)."""
-    tf = term_freq(tokens(articles, mode, stopwords))
+    tf = reuse(term_freq(tokens(articles, mode, stopwords)))
     return keywords(tfidf(tf, article_count(articles)), k)
 
 
@@ -164,7 +171,7 @@ def block_tfidf(articles: DataFrame, stopwords: StopWords = S.DEFAULT_STOPWORDS,
     toks = tokens(articles, mode, stopwords)
     toks = toks.withColumn("doc_id", F.when(F.col("doc_id") >= start, F.lit(-1))
                            .otherwise(F.col("doc_id")))
-    return tfidf(term_freq(toks), m_block)
+    return tfidf(reuse(term_freq(toks)), m_block)
 
 
 def block_keywords(articles: DataFrame, stopwords: StopWords = S.DEFAULT_STOPWORDS,
@@ -172,7 +179,8 @@ def block_keywords(articles: DataFrame, stopwords: StopWords = S.DEFAULT_STOPWOR
                    mode: str = "words") -> DataFrame:
     """(rank, term, tfidf) of the merged block; a top-k, not a sort."""
     blk = block_tfidf(articles, stopwords, last_n, mode).where(F.col("doc_id") == -1)
-    top = blk.orderBy(F.round("tfidf", 9).desc(), F.col("term").asc()).limit(k)
-    w = Window.orderBy(F.round("tfidf", 9).desc(), F.col("term").asc())
+    order = [F.col("w9").desc(), F.col("term").asc()]
+    top = with_rank_key(blk).orderBy(*order).limit(k)
+    w = Window.orderBy(*order)
     # `top` holds at most k rows, so this window is over k rows only.
     return top.select(F.row_number().over(w).alias("rank"), "term", "tf", "tfidf")

@@ -20,7 +20,7 @@ from newslens.operators import ranking as R
 from newslens.operators import similarity as SIM
 from newslens.operators import text as TX
 from newslens.plans import reports as RP
-from newslens.session import table_path
+from newslens.session import ensure_parallel, table_path
 from newslens.sources.articles import articles_from_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,11 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, "pages"))
+    return ensure_parallel(spark.read.parquet(table_path(sf_dir, "pages")), "page_id")
+
+
+def _texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return ensure_parallel(spark.read.parquet(table_path(sf_dir, table)).select("text"))
 
 
 def _r6(c: str) -> F.Column:
@@ -108,18 +112,15 @@ def y5_hot_news_report(spark, sf_dir):
 
 # Counts -------------------------------------------------------------------------
 def a1_word_count(spark, sf_dir):
-    docs = spark.read.parquet(table_path(sf_dir, "documents")).select("text")
-    return C.word_count(C.text_lines(docs))
+    return C.word_count(C.text_lines(_texts(spark, sf_dir, "documents")))
 
 
 def a1_conversation_word_count(spark, sf_dir):
-    conv = spark.read.parquet(table_path(sf_dir, "conversations")).select("text")
-    return C.word_count(C.text_lines(conv))
+    return C.word_count(C.text_lines(_texts(spark, sf_dir, "conversations")))
 
 
 def a2_top_words(spark, sf_dir):
-    docs = spark.read.parquet(table_path(sf_dir, "documents")).select("text")
-    top = C.top_words(C.word_count(C.text_lines(docs)))
+    top = C.top_words(C.word_count(C.text_lines(_texts(spark, sf_dir, "documents"))))
     return top.select(F.col("rank").cast("int").alias("rank"), "word", "n")
 
 

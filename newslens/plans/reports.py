@@ -27,7 +27,7 @@ def similarity_pairs(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_ST
     """J1 over a corpus, carrying section and age for the related-titles step."""
     dated = R.with_age(articles, now)
     tk = SIM.term_table(dated, stopwords, k, mode, attrs=PAIR_ATTRS)
-    pairs = SIM.pair_similarity(tk, PAIR_ATTRS, salt_rows)
+    pairs = SIM.pair_similarity(tk, same=("section",), carry=("age",), salt_rows=salt_rows)
     return cut_lineage(pairs) if materialize else pairs
 
 

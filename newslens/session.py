@@ -81,5 +81,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    A file written as one row group is read by one task, and every per-row
+    step after it (tokenizing, regex extraction) would run single-threaded.
+    The check is on the planned split count only: a large input already has
+    enough splits and is left untouched (no extra shuffle at scale).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep an intermediate that several branches of one plan read.
+
+    Without it each branch recomputes the upstream (scan, tokenizer, first
+    aggregate).  MEMORY_AND_DISK spills instead of failing; a block lost with
+    its executor is recomputed from lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

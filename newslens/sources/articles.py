@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from newslens import schema as S
 from newslens.functions import exprs as X
-from newslens.session import table_path
+from newslens.session import ensure_parallel, table_path
 
 CORRUPT = "_corrupt_record"
 
@@ -105,6 +105,7 @@ def article_columns(d: DataFrame, e: DataFrame) -> list[Column]:
 def articles_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` joined to `events` on id: prose + a publish time per article."""
     d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text", "lang", "source")
+    d = ensure_parallel(d, "doc_id")
     e = spark.read.parquet(table_path(sf_dir, "events")).select("event_id", "ts")
     return (d.join(e, d.doc_id == e.event_id)
              .select(*article_columns(d, e))
