@@ -22,6 +22,8 @@ TRIM_PATTERN = rf"^{PY_WS}+|{PY_WS}+$"
 # A term: a maximal run of letters and digits.
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 NON_WORD_PATTERN = r"[^\p{L}\p{N}]+"
+# One blank character as Java's `\s` defines it (RE2's `\s` lacks \x0b).
+BLANK = r"[ \t\n\x{0b}\x{0c}\r]"
 # What Python's int() accepts: blanks, sign, decimal digits, single underscores.
 INT_PATTERN = rf"^{PY_WS}*[+-]?\p{{Nd}}+(_\p{{Nd}}+)*{PY_WS}*$"
 # Host part of an absolute URL.

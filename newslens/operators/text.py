@@ -68,7 +68,7 @@ def token_sentence(articles: DataFrame, stopwords: Iterable[str] = (), mode: str
 
 def tokenize_space(sentence: str | Column) -> Column:
     """Lower-case and split on single blanks; empty tokens are dropped (Q24)."""
-    return F.filter(F.split(F.lower(X.col_(sentence)), r"\s"), lambda x: F.length(x) > 0)
+    return F.filter(F.split(F.lower(X.col_(sentence)), X.BLANK), lambda x: F.length(x) > 0)
 
 
 # T4 / T4h ---------------------------------------------------------------------

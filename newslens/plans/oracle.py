@@ -311,4 +311,29 @@ walk(url, depth) AS (
   SELECT url, 0 FROM seeds
   UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url WHERE w.depth < {S.MAX_DEPTH})
 SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url""",
+
+    "p10_int_words": f"""WITH {LINES_WORDS.format(src='documents')}
+SELECT word, count(*) AS n FROM words WHERE regexp_matches(word, {_q(X.INT_PATTERN)}) GROUP BY word""",
+
+    "p12_depth_cap": f"""WITH {ARTICLES}
+SELECT depth, count(*) AS n FROM articles WHERE depth <= {S.MAX_DEPTH} GROUP BY depth""",
+
+    "p17_day_hour": f"""WITH {ARTICLES}
+SELECT doc_id, strftime(pub_ts, '%m-%d') AS day, CAST(hour(pub_ts) AS INTEGER) AS hour,
+       printf('%d:00-%d:00', hour(pub_ts), hour(pub_ts) + 1) AS hour_label,
+       strftime(pub_ts, '%Y-%m-%d %H:%M') AS minute_key, strftime(pub_ts, '%Y%m%d%H%M') AS file_minute
+FROM articles WHERE pub_ts IS NOT NULL""",
+
+    "t2_token_sentences": f"""WITH {ARTICLES},
+sw AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), {_q(X.WORD_PATTERN)}),
+                                  lambda x: length(x) > 0 AND NOT list_contains([{STOP}], x)) AS words
+       FROM articles)
+SELECT doc_id, CAST(len(words) AS INTEGER) AS n_words, array_to_string(words, ' ') AS sentence FROM sw""",
+
+    "t3_space_tokens": f"""SELECT doc_id,
+       CAST(len(list_filter(regexp_split_to_array(lower(text), {_q(X.BLANK)}), lambda x: length(x) > 0)) AS INTEGER) AS n_tokens
+FROM documents""",
+
+    "r7_last_n": f"""WITH {ARTICLES}
+SELECT doc_id, title FROM articles ORDER BY doc_id DESC LIMIT {S.BLOCK_LAST_N}""",
 }

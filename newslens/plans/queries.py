@@ -205,6 +205,41 @@ def j7_link_depth(spark, sf_dir):
     return PG.link_depth(edges, seeds)
 
 
+# Scalar and text helpers ------------------------------------------------------
+def p10_int_words(spark, sf_dir):
+    words = C.word_count(C.text_lines(_texts(spark, sf_dir, "documents")))
+    return words.where(X.is_int_token("word"))
+
+
+def p12_depth_cap(spark, sf_dir):
+    arts = _articles(spark, sf_dir).where(F.col("depth") <= S.MAX_DEPTH)
+    return arts.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p17_day_hour(spark, sf_dir):
+    arts = _articles(spark, sf_dir).where(F.col("pub_ts").isNotNull())
+    return arts.select("doc_id", X.month_day("pub_ts").alias("day"),
+                       X.hour_of("pub_ts").alias("hour"),
+                       X.hour_label(X.hour_of("pub_ts")).alias("hour_label"),
+                       X.minute_key("pub_ts").alias("minute_key"),
+                       X.minute_key("pub_ts", S.FILE_MINUTE_FORMAT).alias("file_minute"))
+
+
+def t2_token_sentences(spark, sf_dir):
+    sent = TX.token_sentence(_articles(spark, sf_dir), S.DEFAULT_STOPWORDS)
+    return sent.select("doc_id", F.size("words").alias("n_words"), "sentence")
+
+
+def t3_space_tokens(spark, sf_dir):
+    docs = ensure_parallel(spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text"))
+    return docs.select("doc_id", F.size(TX.tokenize_space("text")).alias("n_tokens"))
+
+
+def r7_last_n(spark, sf_dir):
+    latest = R.last_n(_articles(spark, sf_dir), S.BLOCK_LAST_N)
+    return latest.select("doc_id", "title")
+
+
 QUERIES: dict[str, QueryFn] = {
     "y1_article_keywords": y1_article_keywords,
     "t5_doc_freq": t5_doc_freq,
@@ -230,4 +265,10 @@ QUERIES: dict[str, QueryFn] = {
     "p5_url_fields": p5_url_fields,
     "p15_links": p15_links,
     "j7_link_depth": j7_link_depth,
+    "p10_int_words": p10_int_words,
+    "p12_depth_cap": p12_depth_cap,
+    "p17_day_hour": p17_day_hour,
+    "t2_token_sentences": t2_token_sentences,
+    "t3_space_tokens": t3_space_tokens,
+    "r7_last_n": r7_last_n,
 }
