@@ -178,3 +178,26 @@ def test_j7_link_depth(spark):
     seeds = spark.createDataFrame([("A",)], "url string")
     got = {r.url: r.depth for r in PG.link_depth(edges, seeds).collect()}
     assert got == {"A": 0, "B": 1, "C": 2, "D": 3}
+
+
+def test_s10_token_files_round_trip(spark, scratch):
+    from newslens.operators import counts as C
+    path = os.path.join(scratch, "tokens")
+    arts = articles(spark)
+    SK.write_token_files(arts, path, ["the"], mode="space")
+    back = spark.read.text(path)
+    assert sorted(str(r.minute) for r in back.select("minute").distinct().collect()) == [
+        "202011250915", "202011281000", "202011281200", "202011282030", "202011282300"]
+    got = {r.word: r.n for r in C.word_count(back).collect()}
+    toks = TX.tokens(arts, "space", ["the"]).groupBy("term").count().collect()
+    assert got == {r.term: r["count"] for r in toks}
+
+
+def test_s6_report_json(spark, scratch):
+    path = os.path.join(scratch, "report")
+    df = spark.createDataFrame([("标题", 1.5, ["a"], ["b"])], "title string, attention double, keyword array<string>, samenews array<string>")
+    SK.write_report(df, path)
+    text = "".join(open(os.path.join(path, f), encoding="utf-8").read()
+                   for f in os.listdir(path) if f.endswith(".json"))
+    assert json.loads(text) == {"title": "标题", "attention": 1.5, "keyword": ["a"], "samenews": ["b"]}
+    assert "标题" in text
