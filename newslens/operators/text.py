@@ -22,6 +22,10 @@ from newslens.session import reuse
 
 # Largest stop-word table shipped to every task as a broadcast hash set.
 STOPWORD_BROADCAST_MAX = 1_000_000
+# Hot terms (see `attach_doc_freq`): most terms in the broadcast table, and the
+# fewest documents that make a term hot.
+HOT_TERMS_MAX = 1_000_000
+HOT_ROWS_MIN = 100_000
 
 StopWords = Iterable[str] | DataFrame | None
 
@@ -101,9 +105,30 @@ def doc_freq(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def attach_doc_freq(tf: DataFrame, hot_terms_max: int = HOT_TERMS_MAX,
+                    hot_rows_min: int = HOT_ROWS_MIN) -> DataFrame:
+    """tf rows with their term's document frequency, safe for Zipf-skewed terms.
+
+    A term held by at least `floor = max(hot_rows_min, rows / hot_terms_max)`
+    documents is hot.  Since the df of all terms sum to the row count, at most
+    `hot_terms_max` terms can be hot: that table has a proven size bound and is
+    broadcast, so hot-term rows are matched where they are, never shuffled.
+    All other terms meet in an ordinary shuffle join on term in which no key
+    holds more than `floor` rows.
+    """
+    df = doc_freq(tf)
+    rows = tf.select(F.count(F.lit(1))).scalar()
+    floor = F.greatest(F.lit(hot_rows_min), F.ceil(rows / F.lit(hot_terms_max)))
+    hot = F.broadcast(df.where(F.col("df") >= floor))
+    cold = df.where(F.col("df") < floor)
+    hot_part = tf.join(hot, "term")
+    cold_part = tf.join(hot.select("term"), "term", "left_anti").join(cold, "term")
+    return hot_part.unionByName(cold_part)
+
+
 def tfidf(tf: DataFrame, m: Column) -> DataFrame:
     """(doc_id, term, tf, df, idf, tfidf) with idf = ln((m+1)/(df+1)), raw tf."""
-    return (tf.join(doc_freq(tf), "term")
+    return (attach_doc_freq(tf)
               .withColumn("idf", idf_expr(m, F.col("df")))
               .withColumn("tfidf", F.col("tf") * F.col("idf")))
 
