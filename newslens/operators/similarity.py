@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens import schema as S
@@ -52,7 +52,8 @@ def term_table(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORD
 
 
 def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str] = (),
-                    salt_rows: int = SALT_ROWS, max_slices: int = MAX_SLICES) -> DataFrame:
+                    salt_rows: int = SALT_ROWS, max_slices: int = MAX_SLICES,
+                    block: Sequence[str] = (), row_filter: Column | None = None) -> DataFrame:
     """(lo, hi, dot, norm_lo, norm_hi, sim, [<s>_eq], [<c>_lo, <c>_hi]) for lo < hi.
 
     Only pairs sharing at least one term of K(lo) ∪ K(hi) appear; all others
@@ -63,6 +64,11 @@ def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str
     columns (numeric) their two values; both are decided per joined row, so
     the pair aggregate keeps fixed-width buffers only (codegen'd hash
     aggregation, no string state).
+
+    `block` columns become extra equi-join keys (only pairs equal on them are
+    produced) and `row_filter` (over `k_<attr>` / `t_<attr>`) drops joined rows
+    before aggregation.  Both are exact when they depend on per-article
+    attributes only, since every row of a pair carries the same values.
     """
     slices = F.least(F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(salt_rows))),
                      F.lit(max_slices)).cast("int")
@@ -70,13 +76,18 @@ def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str
         F.col("doc_id").alias("k_doc"), "term", F.col("tf").alias("k_c"),
         F.col("kw_norm").alias("k_n"),
         F.explode(F.sequence(F.lit(0), slices - 1)).alias("salt"),
-        *[F.col(a).alias(f"k_{a}") for a in (*same, *carry)])
+        *[F.col(a).alias(f"k_{a}") for a in dict.fromkeys((*same, *carry, *block))])
     allt = tk.select(
         F.col("doc_id").alias("t_doc"), F.col("term").alias("t_term"),
         F.col("tf").alias("t_c"), F.col("is_kw").alias("t_kw"), F.col("kw_norm").alias("t_n"),
         F.pmod(F.xxhash64("doc_id"), slices).cast("int").alias("t_salt"),
-        *[F.col(a).alias(f"t_{a}") for a in (*same, *carry)])
-    x = kw.join(allt, (F.col("term") == F.col("t_term")) & (F.col("salt") == F.col("t_salt")))
+        *[F.col(a).alias(f"t_{a}") for a in dict.fromkeys((*same, *carry, *block))])
+    on = (F.col("term") == F.col("t_term")) & (F.col("salt") == F.col("t_salt"))
+    for a in block:
+        on = on & (F.col(f"k_{a}") == F.col(f"t_{a}"))
+    x = kw.join(allt, on)
+    if row_filter is not None:
+        x = x.where(row_filter)
     # A term that is a keyword of both sides yields two rows; keep one.
     x = x.where((F.col("k_doc") != F.col("t_doc")) &
                 ~(F.col("t_kw") & (F.col("t_doc") > F.col("k_doc"))))

@@ -31,6 +31,18 @@ def similarity_pairs(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_ST
     return cut_lineage(pairs) if materialize else pairs
 
 
+def related_pairs(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORDS,
+                  k: int = S.TOP_KEYWORDS, now: str = S.QUERY_NOW, mode: str = "words",
+                  max_gap: int = S.RELATED_MAX_GAP_MIN, salt_rows: int = SIM.SALT_ROWS) -> DataFrame:
+    """J1 restricted to what related titles can use: same section (an extra
+    join key) and ages at most `max_gap` apart (filtered before aggregation)."""
+    dated = R.with_age(articles, now)
+    tk = SIM.term_table(dated, stopwords, k, mode, attrs=PAIR_ATTRS)
+    near = F.abs(F.col("k_age") - F.col("t_age")) <= F.lit(max_gap)
+    return SIM.pair_similarity(tk, same=("section",), carry=("age",), salt_rows=salt_rows,
+                               block=("section",), row_filter=near)
+
+
 def hotness_scores(articles: DataFrame, pairs: DataFrame, now: str = S.QUERY_NOW,
                    threshold: float = S.VOTE_THRESHOLD, g: float = S.GRAVITY) -> DataFrame:
     """Votes (J3) → raw score (R1) → 0..100 (R2)."""

@@ -130,3 +130,11 @@ def test_word_counts_sum_to_tokens(spark):
     assert top == [("x", 3), ("y", 1)]
     total = lines.select(F.size(F.split("value", " ", -1)).alias("k")).agg(F.sum("k")).first()[0]
     assert sum(wc.values()) == total
+
+
+def test_j2_blocked_pairs_give_same_titles(spark):
+    arts = articles(spark)
+    full = RP.related_articles(arts, RP.similarity_pairs(arts, STOP, 20, NOW, "space"))
+    blocked = RP.related_articles(arts, RP.related_pairs(arts, STOP, 20, NOW, "space"))
+    key = lambda df: sorted((r.doc_id, r.rank, r.title, round(r.sim, 9)) for r in df.collect())
+    assert key(full) == key(blocked)
