@@ -4,7 +4,7 @@
 
 Each query is executed end to end into Spark's `noop` sink (the whole plan
 runs, nothing is collected on the driver).  Before timing, every headline
-query runs once on the smallest table set (JVM and code-generation warm-up);
+query runs once on the sf0.001 tables (JVM and code-generation warm-up);
 cached intermediates are dropped before each timed query so no query profits
 from another's work.  Prints one JSON line.
 """

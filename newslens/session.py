@@ -45,6 +45,14 @@ def build_session(app: str = "newslens", master: str | None = None,
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None where the session has none (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions raise here
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the reliable checkpoint folder of this session.
 
@@ -53,7 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     private folder (tests, laptops); on a cluster we never invent a
     machine-local path and return None instead.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:  # e.g. a Spark Connect client: the server owns the folder
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -89,8 +99,15 @@ def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
     The check is on the planned split count only: a large input already has
     enough splits and is left untouched (no extra shuffle at scale).
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    sc = _context(df.sparkSession)
+    if sc is None:
+        return df
+    target = sc.defaultParallelism
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view: leave the plan as it is
+        return df
+    if splits >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
