@@ -54,7 +54,8 @@ def term_table(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORD
 
 def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str] = (),
                     salt_rows: int = SALT_ROWS, max_slices: int = MAX_SLICES,
-                    block: Sequence[str] = (), row_filter: Column | None = None) -> DataFrame:
+                    block: Sequence[str] = (), row_filter: Column | None = None,
+                    pre_shuffle: bool = True) -> DataFrame:
     """(lo, hi, dot, norm_lo, norm_hi, sim, [<s>_eq], [<c>_lo, <c>_hi]) for lo < hi.
 
     Only pairs sharing at least one term of K(lo) ∪ K(hi) appear; all others
@@ -92,29 +93,39 @@ def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str
     # A term that is a keyword of both sides yields two rows; keep one.
     x = x.where((F.col("k_doc") != F.col("t_doc")) &
                 ~(F.col("t_kw") & (F.col("t_doc") > F.col("k_doc"))))
-    lo = F.least("k_doc", "t_doc")
-    hi = F.greatest("k_doc", "t_doc")
+    # Each joined row becomes its fixed-width contribution to one pair.
     k_is_lo = F.col("k_doc") < F.col("t_doc")
     sq = F.col("t_c") * F.col("t_c")
     extra_t = ~F.col("t_kw")
-    aggs = [
-        F.sum(F.col("k_c") * F.col("t_c")).alias("dot"),
-        F.sum(F.when(extra_t & ~k_is_lo, sq).otherwise(F.lit(0))).alias("e_lo"),
-        F.sum(F.when(extra_t & k_is_lo, sq).otherwise(F.lit(0))).alias("e_hi"),
-        F.max(F.when(k_is_lo, F.col("k_n")).otherwise(F.col("t_n"))).alias("n_lo"),
-        F.max(F.when(k_is_lo, F.col("t_n")).otherwise(F.col("k_n"))).alias("n_hi"),
+    parts = [
+        F.least("k_doc", "t_doc").alias("lo"),
+        F.greatest("k_doc", "t_doc").alias("hi"),
+        (F.col("k_c") * F.col("t_c")).alias("d"),
+        F.when(extra_t & ~k_is_lo, sq).otherwise(F.lit(0)).alias("el"),
+        F.when(extra_t & k_is_lo, sq).otherwise(F.lit(0)).alias("eh"),
+        F.when(k_is_lo, F.col("k_n")).otherwise(F.col("t_n")).alias("nl"),
+        F.when(k_is_lo, F.col("t_n")).otherwise(F.col("k_n")).alias("nh"),
     ]
     for a in same:
-        aggs.append(F.max(F.coalesce(F.col(f"k_{a}") == F.col(f"t_{a}"), F.lit(False))).alias(f"{a}_eq"))
+        parts.append(F.coalesce(F.col(f"k_{a}") == F.col(f"t_{a}"), F.lit(False)).alias(f"{a}_eq"))
     for a in carry:
-        aggs.append(F.max(F.when(k_is_lo, F.col(f"k_{a}")).otherwise(F.col(f"t_{a}"))).alias(f"{a}_lo"))
-        aggs.append(F.max(F.when(k_is_lo, F.col(f"t_{a}")).otherwise(F.col(f"k_{a}"))).alias(f"{a}_hi"))
-    p = x.groupBy(lo.alias("lo"), hi.alias("hi")).agg(*aggs)
+        parts.append(F.when(k_is_lo, F.col(f"k_{a}")).otherwise(F.col(f"t_{a}")).alias(f"{a}_lo"))
+        parts.append(F.when(k_is_lo, F.col(f"t_{a}")).otherwise(F.col(f"k_{a}")).alias(f"{a}_hi"))
+    x = x.select(*parts)
+    # The rows of one pair come from different terms, i.e. from different join
+    # partitions, so a map-side partial aggregate would hash every row for
+    # almost no reduction: shuffle the narrow rows by pair and aggregate once.
+    if pre_shuffle:
+        x = x.repartition("lo", "hi")
+    extra = [f"{a}_eq" for a in same] + [c for a in carry for c in (f"{a}_lo", f"{a}_hi")]
+    p = x.groupBy("lo", "hi").agg(
+        F.sum("d").alias("dot"), F.sum("el").alias("e_lo"), F.sum("eh").alias("e_hi"),
+        F.max("nl").alias("n_lo"), F.max("nh").alias("n_hi"),
+        *[F.max(c).alias(c) for c in extra])
     norm_lo = F.col("n_lo") + F.col("e_lo")
     norm_hi = F.col("n_hi") + F.col("e_hi")
     sim = F.try_divide(F.col("dot").cast("double"),
                        F.sqrt(norm_lo.cast("double") * norm_hi.cast("double")))
-    extra = [f"{a}_eq" for a in same] + [c for a in carry for c in (f"{a}_lo", f"{a}_hi")]
     return p.select("lo", "hi", "dot", norm_lo.alias("norm_lo"), norm_hi.alias("norm_hi"),
                     sim.alias("sim"), *extra)
 
