@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newslens import schema as S
 from newslens.functions import exprs as X
+from newslens.session import reuse
 
 
 # R1 ---------------------------------------------------------------------------
@@ -30,7 +31,12 @@ def raw_hotness(votes: Column, age: Column, depth: Column, section: Column,
 
 # A6 / R2 ------------------------------------------------------------------------
 def min_max_scale(df: DataFrame, col: str, out: str, top: float = 100.0) -> DataFrame:
-    """Scale `col` to 0..top by the global min and max (equal values → 0.0)."""
+    """Scale `col` to 0..top by the global min and max (equal values → 0.0).
+
+    `df` is read twice (bounds, then every row): it is kept so the bounds
+    subquery does not recompute its upstream plan.
+    """
+    df = reuse(df)
     bounds = df.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
     scaled = F.try_divide(F.col(col) - bounds["lo"], bounds["hi"] - bounds["lo"]) * F.lit(top)
     return df.withColumn(out, F.coalesce(scaled, F.lit(0.0)))
