@@ -37,7 +37,7 @@ MAX_SLICES = 4_096
 def term_table(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORDS,
                k: int = S.TOP_KEYWORDS, mode: str = "words",
                attrs: Sequence[str] = ()) -> DataFrame:
-    """tk(doc_id, term, tf, df, is_kw, kw_norm, *attrs).
+    """tk(doc_id, term, tf, df, tfidf, rank, is_kw, kw_norm, *attrs).
 
     `attrs` are per-article columns (e.g. section, age) carried on every row so
     later steps need no join back to the articles; they are attached by an
@@ -49,7 +49,8 @@ def term_table(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORD
         w = w.join(articles.select("doc_id", *attrs), "doc_id")
     # Both sides of the similarity join read this table: keep only what they use.
     flagged = TX.flag_keywords(w, k)
-    return reuse(flagged.select("doc_id", "term", "tf", "df", "is_kw", "kw_norm", *attrs))
+    return reuse(flagged.select("doc_id", "term", "tf", "df", "tfidf", "rank", "is_kw", "kw_norm",
+                                *attrs))
 
 
 def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str] = (),

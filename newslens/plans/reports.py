@@ -70,8 +70,11 @@ def hot_news_report(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STO
 
     Parts are attached by equi-joins on doc_id (J6), never by position.
     """
-    pairs = similarity_pairs(articles, stopwords, k, now, mode, materialize=True)
-    kw = TX.article_keywords(articles, stopwords, k, mode)
+    dated = R.with_age(articles, now)
+    tk = SIM.term_table(dated, stopwords, k, mode, attrs=PAIR_ATTRS)
+    pairs = cut_lineage(SIM.pair_similarity(tk, same=("section",), carry=("age",)))
+    # Keywords are the flagged rows of the same term table: one tokenizer pass.
+    kw = tk.where("is_kw").select("doc_id", "rank", "term", "tf", "tfidf")
     hot = hotness_scores(articles, pairs, now)
     rel = related_articles(articles, pairs, related_k)
     return (articles.select("doc_id", "title")
