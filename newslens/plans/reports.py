@@ -109,3 +109,36 @@ def ingest_pages(pages: DataFrame, existing_urls: DataFrame | None = None,
     if existing_urls is not None:
         arts = PG.unseen(arts, existing_urls)
     return arts
+
+
+def publish_reports(articles: DataFrame, out_dir: str, at: str,
+                    stopwords: TX.StopWords = S.DEFAULT_STOPWORDS, now: str = S.QUERY_NOW,
+                    last_n: int = S.BLOCK_LAST_N, mode: str = "words") -> None:
+    """S6 + Y5 + Y2: write `<out>/hot_news` (one JSON object per article) and
+    `<out>/window_keywords` (one object: time, timekeyword[])."""
+    from newslens.sources import sinks as SK
+
+    report = hot_news_report(articles, stopwords, now=now, mode=mode)
+    SK.write_report(report.select("title", "attention", "keyword", "samenews"), f"{out_dir}/hot_news")
+    block = TX.block_keywords(articles, stopwords, last_n, mode=mode)
+    SK.write_report(SK.window_keyword_report(block, at), f"{out_dir}/window_keywords")
+
+
+def crawl_batch(pages: DataFrame, store_path: str, tokens_path: str, fetched_at: str,
+                stopwords: TX.StopWords = S.DEFAULT_STOPWORDS, count_repeats: bool = True,
+                rules: PG.ExtractRules = PG.DEFAULT_RULES, mode: str = "words") -> DataFrame:
+    """Y8 with its two sinks: token lines for the word-count stream (S10) and the
+    article store (S9).  With `count_repeats` (the original behaviour, Q11) every
+    fetched article feeds the token files, also when its URL is already stored;
+    otherwise only newly stored ones do.  Returns the newly stored articles.
+    """
+    from newslens.sources import sinks as SK
+
+    extracted = PG.first_per_url(PG.extract_articles(pages, rules), "page_id")
+    stored = SK.append_new_articles(extracted, store_path)
+    counted = extracted if count_repeats else stored
+    lines = counted.select(F.col("page_id").alias("doc_id"),
+                           F.concat_ws(" ", "content").alias("text"),
+                           F.lit(fetched_at).cast("timestamp_ntz").alias("pub_ts"))
+    SK.write_token_files(lines, tokens_path, stopwords, mode=mode)
+    return stored

@@ -201,3 +201,27 @@ def test_s6_report_json(spark, scratch):
                    for f in os.listdir(path) if f.endswith(".json"))
     assert json.loads(text) == {"title": "标题", "attention": 1.5, "keyword": ["a"], "samenews": ["b"]}
     assert "标题" in text
+
+
+def test_crawl_batch_counts_repeats_but_stores_once(spark, scratch):
+    from newslens.plans import reports as RP
+    page = lambda i, body: (i, f"https://news.example.com/a{i % 2}", f"<article><h1>T{i}</h1><p>{body}</p></article>")
+    pages = spark.createDataFrame([page(0, "alpha beta"), page(1, "gamma")], "page_id long, url string, html string")
+    store, toks = os.path.join(scratch, "store"), os.path.join(scratch, "tokens")
+    RP.crawl_batch(pages, store, toks, "2020-11-28 10:00:00", ["the"])
+    again = spark.createDataFrame([page(2, "alpha delta")], "page_id long, url string, html string")
+    new = RP.crawl_batch(again, store, toks, "2020-11-28 10:05:00", ["the"])
+    assert new.count() == 0 and spark.read.parquet(store).count() == 2
+    words = sorted(w for r in spark.read.text(toks).collect() for w in r.value.split(" "))
+    assert words == ["alpha", "alpha", "beta", "delta", "gamma"]
+    RP.crawl_batch(again, store, os.path.join(scratch, "t2"), "2020-11-28 10:06:00", ["the"], count_repeats=False)
+    assert not os.path.exists(os.path.join(scratch, "t2")) or spark.read.text(os.path.join(scratch, "t2")).count() == 0
+
+
+def test_publish_reports(spark, scratch):
+    from newslens.plans import reports as RP
+    RP.publish_reports(articles(spark), scratch, "2020-11-29 00:00:00", ["the"], "2020-11-29 00:00:00", 2, "space")
+    hot = spark.read.json(os.path.join(scratch, "hot_news"))
+    assert hot.count() == 6 and set(hot.columns) == {"title", "attention", "keyword", "samenews"}
+    wk = spark.read.json(os.path.join(scratch, "window_keywords")).first()
+    assert wk.time == "2020-11-29 00:00:00" and wk.timekeyword[:2] == ["old", "recap"]
