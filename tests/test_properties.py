@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from golden import STOP, articles
-from newslens.operators import similarity as SIM
 from newslens.operators import text as TX
 from newslens.plans import reports as RP
 from newslens.plans.queries import QUERIES
