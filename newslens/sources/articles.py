@@ -53,19 +53,25 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
     Rows of one file split stay together in one partition and keep their order,
     so (file, split start, monotonically_increasing_id) orders them.  A small
-    per-split table (one row per split) gets running offsets; every row then
-    gets `offset + position in split`.  Only the per-split table is ordered in
-    one task; the rows themselves are never funnelled through one task.
+    per-split table (one row per split) gets running offsets within its file
+    (a window partitioned by file); files are numbered over the distinct file
+    paths (one row per file, the only unpartitioned step).  Every row then gets
+    `file_number << 40 | offset_in_file + position_in_split`: unique, ordered,
+    and dense within the first file.  The rows themselves never meet in one task.
     """
     keyed = (df.withColumn("_f", F.col("_metadata.file_path"))
                .withColumn("_b", F.col("_metadata.file_block_start"))
                .withColumn("_m", F.monotonically_increasing_id()))
     splits = keyed.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (keyed.join(splits.select("_f", "_b", "_m0", "_off"), ["_f", "_b"])
-                 .withColumn("ingest_pos", F.col("_off") + F.col("_m") - F.col("_m0"))
-                 .drop("_f", "_b", "_m", "_m0", "_off"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    files = splits.select("_f").distinct() \
+                  .withColumn("_fi", F.row_number().over(Window.orderBy("_f")) - 1)
+    splits = splits.join(files, "_f")
+    pos = F.shiftleft(F.col("_fi").cast("bigint"), 40) + F.col("_off") + F.col("_m") - F.col("_m0")
+    return (keyed.join(splits.select("_f", "_b", "_m0", "_off", "_fi"), ["_f", "_b"])
+                 .withColumn("ingest_pos", pos)
+                 .drop("_f", "_b", "_m", "_m0", "_off", "_fi"))
 
 
 def articles_from_records(records: DataFrame, order_col: str = "ingest_pos") -> DataFrame:

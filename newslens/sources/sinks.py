@@ -7,6 +7,7 @@ job leaves no partial output visible); nothing is gathered on the driver.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from newslens import schema as S
@@ -40,8 +41,8 @@ def append_new_articles(new: DataFrame, store_path: str, order_col: str = "page_
     try:
         stored = spark.read.parquet(store_path).select("url")
         fresh = PG.unseen(fresh, stored)
-    except Exception as e:  # noqa: BLE001 - first write: the store does not exist yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+    except AnalysisException as e:  # first write: the store does not exist yet
+        if (e.getCondition() or "") != "PATH_NOT_FOUND" and "does not exist" not in str(e):
             raise
     # Materialise first: the returned frame must not be re-evaluated against
     # the store after this batch has been appended to it.

@@ -225,3 +225,15 @@ def test_publish_reports(spark, scratch):
     assert hot.count() == 6 and set(hot.columns) == {"title", "attention", "keyword", "samenews"}
     wk = spark.read.json(os.path.join(scratch, "window_keywords")).first()
     assert wk.time == "2020-11-29 00:00:00" and wk.timekeyword[:2] == ["old", "recap"]
+
+
+def test_s1_order_across_files(spark, scratch):
+    folder = os.path.join(scratch, "store")
+    os.makedirs(folder)
+    for name, urls in (("a.json", ["a0", "a1", "a2"]), ("b.json", ["b0", "b1"])):
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+            for u in urls:
+                f.write(json.dumps({"url": u, "content": ["x"]}))
+    got = sorted((r.ingest_pos, r.url) for r in SA.read_concat_json(spark, folder).collect())
+    assert [u for _, u in got] == ["a0", "a1", "a2", "b0", "b1"]
+    assert [p for p, _ in got][:3] == [0, 1, 2] and got[3][0] == 1 << 40
