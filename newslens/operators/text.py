@@ -120,7 +120,8 @@ def attach_doc_freq(tf: DataFrame, hot_terms_max: int = HOT_TERMS_MAX,
     rows = tf.select(F.count(F.lit(1))).scalar()
     floor = F.greatest(F.lit(hot_rows_min), F.ceil(rows / F.lit(hot_terms_max)))
     hot = F.broadcast(df.where(F.col("df") >= floor))
-    cold = df.where(F.col("df") < floor)
+    # One row per cold term: hash it per partition instead of sorting every tf row by term.
+    cold = df.where(F.col("df") < floor).hint("shuffle_hash")
     hot_part = tf.join(hot, "term")
     cold_part = tf.join(hot.select("term"), "term", "left_anti").join(cold, "term")
     return hot_part.unionByName(cold_part)
