@@ -46,7 +46,9 @@ def term_table(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORD
     tf = reuse(TX.term_freq(TX.tokens(articles, mode, stopwords)))
     w = TX.tfidf(tf, TX.article_count(articles))
     if attrs:
-        w = w.join(articles.select("doc_id", *attrs), "doc_id")
+        # Hash the per-article side: the keyword window re-sorts anyway, so a
+        # sort-merge join's sort by doc_id alone would be wasted work.
+        w = w.join(articles.select("doc_id", *attrs).hint("shuffle_hash"), "doc_id")
     # Both sides of the similarity join read this table: keep only what they use.
     flagged = TX.flag_keywords(w, k)
     return reuse(flagged.select("doc_id", "term", "tf", "df", "tfidf", "rank", "is_kw", "kw_norm",
