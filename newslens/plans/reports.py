@@ -16,7 +16,7 @@ from newslens.operators import pages as PG
 from newslens.operators import ranking as R
 from newslens.operators import similarity as SIM
 from newslens.operators import text as TX
-from newslens.session import cut_lineage
+from newslens.session import cut_lineage, release
 
 PAIR_ATTRS = ("section", "age")
 
@@ -118,10 +118,13 @@ def publish_reports(articles: DataFrame, out_dir: str, at: str,
     `<out>/window_keywords` (one object: time, timekeyword[])."""
     from newslens.sources import sinks as SK
 
-    report = hot_news_report(articles, stopwords, now=now, mode=mode)
-    SK.write_report(report.select("title", "attention", "keyword", "samenews"), f"{out_dir}/hot_news")
-    block = TX.block_keywords(articles, stopwords, last_n, mode=mode)
-    SK.write_report(SK.window_keyword_report(block, at), f"{out_dir}/window_keywords")
+    try:
+        report = hot_news_report(articles, stopwords, now=now, mode=mode)
+        SK.write_report(report.select("title", "attention", "keyword", "samenews"), f"{out_dir}/hot_news")
+        block = TX.block_keywords(articles, stopwords, last_n, mode=mode)
+        SK.write_report(SK.window_keyword_report(block, at), f"{out_dir}/window_keywords")
+    finally:
+        release()
 
 
 def crawl_batch(pages: DataFrame, store_path: str, tokens_path: str, fetched_at: str,

@@ -112,14 +112,26 @@ def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
+_KEPT: list[DataFrame] = []
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Keep an intermediate that several branches of one plan read.
 
     Without it each branch recomputes the upstream (scan, tokenizer, first
     aggregate).  MEMORY_AND_DISK spills instead of failing; a block lost with
-    its executor is recomputed from lineage.
+    its executor is recomputed from lineage.  `release()` drops what this
+    package kept once the results that needed it are written.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Unpersist every intermediate kept by `reuse` (user caches are untouched)."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
 
 def table_path(sf_dir: str, name: str) -> str:
