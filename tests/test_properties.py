@@ -105,3 +105,12 @@ def test_registered_queries_run_on_smoke_scale(spark):
         df = fn(spark, SF_SMALL)
         assert df.columns, name
         assert df.count() >= 0
+
+
+@pytest.mark.parametrize("hot_rows_min", [1, 5, 10**9])
+def test_hot_term_split_matches_plain_join(spark, arts, hot_rows_min):
+    tf = TX.term_freq(TX.tokens(arts, stopwords=TX.S.DEFAULT_STOPWORDS)).cache()
+    plain = tf.join(TX.doc_freq(tf), "term").select("doc_id", "term", "tf", "df")
+    split = TX.attach_doc_freq(tf, hot_rows_min=hot_rows_min).select("doc_id", "term", "tf", "df")
+    assert split.count() == plain.count()
+    assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
