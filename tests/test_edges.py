@@ -237,3 +237,9 @@ def test_s1_order_across_files(spark, scratch):
     got = sorted((r.ingest_pos, r.url) for r in SA.read_concat_json(spark, folder).collect())
     assert [u for _, u in got] == ["a0", "a1", "a2", "b0", "b1"]
     assert [p for p, _ in got][:3] == [0, 1, 2] and got[3][0] == 1 << 40
+
+
+def test_t1_cjk_bigrams(spark):
+    got = _one(spark, lambda c: X.segment(c, "cjk_bigram"), "中国人民 ABC 好, x2")
+    assert got == ["中国", "国人", "人民", "abc", "好", "x2"]
+    assert _one(spark, lambda c: X.segment(c, "space"), "  A  b\tc ") == ["a", "b", "c"]
