@@ -72,7 +72,8 @@ def hour_grid(articles: DataFrame, days: list[str] | None = None) -> DataFrame:
     counts = dated.groupBy(day.alias("day"), X.hour_of("pub_ts").alias("hour")) \
                   .agg(F.count(F.lit(1)).alias("n"))
     if days is None:
-        day_df = dated.select(day.alias("day")).distinct()
+        # Days with an article are exactly the days in the counts: reuse them.
+        day_df = counts.select("day").distinct()
     else:
         day_df = articles.sparkSession.createDataFrame([(d,) for d in days], "day string")
     grid = day_df.select("day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))

@@ -63,10 +63,10 @@ def remove_stopwords(toks: DataFrame, stopwords: StopWords, term_col: str = "ter
 
 
 def token_sentence(articles: DataFrame, stopwords: Iterable[str] = (), mode: str = "words",
-                   text_col: str = "text") -> DataFrame:
-    """T2 in array form: (doc_id, words ARRAY, sentence) with order and duplicates kept."""
+                   text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """T2 in array form: (doc_id, *keep, words ARRAY, sentence), order and duplicates kept."""
     words = X.drop_stopwords_array(X.segment(text_col, mode), stopwords)
-    return articles.select("doc_id", words.alias("words")) \
+    return articles.select("doc_id", *keep, words.alias("words")) \
                    .withColumn("sentence", F.concat_ws(" ", "words"))
 
 

@@ -140,9 +140,8 @@ def a5_distinct_urls(spark, sf_dir):
 def _token_lines(spark, sf_dir):
     """What the fetcher writes to token files: one stop-filtered line per article."""
     arts = _articles(spark, sf_dir).where(F.col("pub_ts").isNotNull())
-    sent = TX.token_sentence(arts, S.DEFAULT_STOPWORDS)
-    return sent.join(arts.select("doc_id", "pub_ts"), "doc_id") \
-               .select("pub_ts", F.col("sentence").alias("value"))
+    sent = TX.token_sentence(arts, S.DEFAULT_STOPWORDS, keep=("pub_ts",))
+    return sent.select("pub_ts", F.col("sentence").alias("value"))
 
 
 def w1_window_word_count(spark, sf_dir):

@@ -55,8 +55,7 @@ def append_new_articles(new: DataFrame, store_path: str, order_col: str = "page_
 def write_token_files(articles: DataFrame, path: str, stopwords=S.DEFAULT_STOPWORDS,
                       ts_col: str = "pub_ts", mode: str = "words") -> None:
     """One line of blank-separated, stop-filtered tokens per article, one folder per minute."""
-    sent = TX.token_sentence(articles.where(F.col(ts_col).isNotNull()), stopwords, mode)
-    sent = sent.join(articles.select("doc_id", ts_col), "doc_id")
+    sent = TX.token_sentence(articles.where(F.col(ts_col).isNotNull()), stopwords, mode, keep=(ts_col,))
     (sent.select(F.date_format(ts_col, S.FILE_MINUTE_FORMAT).alias("minute"),
                  F.col("sentence").alias("value"))
          .write.mode("append").partitionBy("minute").text(path))
