@@ -110,12 +110,13 @@ def article_columns(d: DataFrame, e: DataFrame) -> list[Column]:
 
 def articles_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` joined to `events` on id: prose + a publish time per article."""
-    d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text", "lang", "source")
-    d = ensure_parallel(d, "doc_id")
+    d = spark.read.parquet(table_path(sf_dir, "documents")).select(
+        "doc_id", "text", "lang", "source", "n_chars")
+    # P2 on the stored text length: a query that needs no text (counts,
+    # attributes, thresholds) then never reads the text column at all.
+    d = ensure_parallel(d.where(F.col("n_chars") > 0), "doc_id")
     e = spark.read.parquet(table_path(sf_dir, "events")).select("event_id", "ts")
-    return (d.join(e, d.doc_id == e.event_id)
-             .select(*article_columns(d, e))
-             .where(F.length("text") > 0))
+    return d.join(e, d.doc_id == e.event_id).select(*article_columns(d, e))
 
 
 # S3 / S5 / S13 --------------------------------------------------------------
