@@ -163,10 +163,19 @@ def related(pairs: DataFrame, titles: DataFrame, k: int = S.TOP_RELATED,
     cand = pairs.where((F.col("sim") > 0) & F.col("section_eq") &
                        (F.abs(F.col("age_lo") - F.col("age_hi")) <= F.lit(max_gap)))
     both = both_directions(cand)
-    named = both.join(titles.select(F.col("doc_id").alias("other"), "title"), "other")
-    best = named.groupBy("doc_id", "title").agg(F.max("sim").alias("sim")) \
-                .withColumn("s9", F.round("sim", 9))
+    # Partners are deduplicated on a numeric title id (the smallest doc_id with
+    # that title: one id per title), so the pair-sized steps handle no strings.
+    title_ids = titles.groupBy("title").agg(F.min("doc_id").alias("tid"))
+    doc_tid = titles.join(title_ids, "title").select(F.col("doc_id").alias("other"), "tid")
+    best = (both.join(doc_tid, "other")
+                .groupBy("doc_id", "tid").agg(F.max("sim").alias("sim"))
+                .withColumn("s9", F.round("sim", 9)))
+    # The final top-k by (similarity, title) lies within rank-by-similarity <= k
+    # (rank keeps every tie at the boundary), so only those rows get titles.
+    by_sim = Window.partitionBy("doc_id").orderBy(F.col("s9").desc())
+    short = best.withColumn("r", F.rank().over(by_sim)).where(F.col("r") <= k)
+    named = short.join(title_ids, "tid")
     ranked = Window.partitionBy("doc_id").orderBy(F.col("s9").desc(), F.col("title").asc())
-    return (best.withColumn("rank", F.row_number().over(ranked))
+    return (named.withColumn("rank", F.row_number().over(ranked))
                 .where(F.col("rank") <= k)
                 .select("doc_id", "rank", "title", "sim"))
