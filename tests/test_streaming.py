@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from newslens.operators import counts as C
-from newslens.streaming import wordcount as WC
+from newslens.streaming import word_history as WC
 
 T0 = 61 * 26_500_000  # start of a 61 s window (epoch-aligned), 2021-04-...
 
