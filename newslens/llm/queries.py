@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import secret_scan, sharding, sp_codec
+from newslens.llm import secret_scan, sharding, sp_codec, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(_read(spark, sf_dir, "embeddings"), scale=256)
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_texts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -32,8 +37,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_secret_scan": op7_secret_scan,
     "op9_sharding": op9_sharding,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_topk_search": """
+        with v as (
+          select vec_id, list_transform(embedding, x -> floor(256 * x::double)) v from embeddings
+          where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        s as (
+          select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
+          from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
+        select query_id, "rank", vec_id, score from r where "rank" <= 5""",
+}
