@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import secret_scan, sharding, sp_codec, topk
+from newslens.llm import secret_scan, sharding, sp_codec, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,11 +36,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_secret_scan": op7_secret_scan,
     "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {
     "op1_topk_search": """
@@ -52,4 +58,15 @@ ORACLE: dict[str, str] = {
           from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
         select query_id, "rank", vec_id, score from r where "rank" <= 5""",
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x, strlen(coalesce(html, ''))::bigint n from pages),
+        d as (
+          select page_id, n, x, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((
+              (strpos('0123456789abcdef', substr(x, (5 * i // 4 + 1)::int, 1)) - 1) * 16
+              + strpos('0123456789abcdef', substr(x || '0', (5 * i // 4 + 2)::int, 1)) - 1)::int >> (3 - (5 * i) % 4)::int) & 31) + 1, 1)), '') payload_digest
+          from p),
+        m as (select x, max(page_id) latest from d group by x)
+        select page_id, n payload_bytes, payload_digest, case when page_id = latest then 'response' else 'revisit' end record_type,
+               case when page_id <> latest then latest end refers_to
+        from d join m using (x)""",
 }
