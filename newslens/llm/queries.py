@@ -51,8 +51,8 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_topk_search": """
         with v as (
-          select vec_id, list_transform(embedding, x -> floor(256 * x::double)) v from embeddings
-          where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+          select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+          where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (
           select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
           from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
@@ -61,7 +61,7 @@ ORACLE: dict[str, str] = {
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x, strlen(coalesce(html, ''))::bigint n from pages),
         d as (
-          select page_id, n, x, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((
+          select page_id, n, x, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((
               (strpos('0123456789abcdef', substr(x, (5 * i // 4 + 1)::int, 1)) - 1) * 16
               + strpos('0123456789abcdef', substr(x || '0', (5 * i // 4 + 2)::int, 1)) - 1)::int >> (3 - (5 * i) % 4)::int) & 31) + 1, 1)), '') payload_digest
           from p),
