@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 
@@ -52,6 +53,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
+    """A broadcast hint for a table of counted rows, up to `most`; beyond it Spark shuffles.  The rows must be narrow."""
+    return F.broadcast(df) if rows <= most else df
+
+
 # --- Arrow text -------------------------------------------------------------------------
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about `most` bytes of text, and one row at least."""
@@ -131,7 +137,7 @@ def spans(separator: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """A 64-bit hash of each byte run; bytes whose code is 0 don't count.  The runs are in order and bytes between them must have no code or be outside [start, end)."""
+    """A 64-bit hash of each byte run [start, end); bytes whose code is 0 don't count."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(data) + 1)

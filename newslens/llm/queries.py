@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import quality, secret_scan, sharding, sp_codec, topk, warc
+from newslens.llm import line_dedup, quality, secret_scan, sharding, sp_codec, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_texts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = secret_scan.scan(docs, secret_scan.train(docs))
@@ -52,11 +57,35 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {
+    "op6_line_dedup": r"""
+        with l as (
+          select doc_id, unnest(string_split(text, chr(10))) ln, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents),
+        w as (
+          select doc_id, line_no, ln, doc_id * 10000000 + line_no place,
+            regexp_extract_all(translate(ln, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from l),
+        k as (select *, array_to_string(ws, ' ') k from w),
+        d as (select k, any_value(ws) ws, min(place) first from k where len(ws) > 0 group by k),
+        v as (
+          select k, first, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') v
+          from (select *, unnest(range(1, len(ws) + 1)) i from d where len(ws) >= 8)),
+        near as (
+          select a.k from v a join v b on a.v = b.v and a.i = b.i where b.first < a.first
+          union select a.k from v a join d b on a.v = b.k and len(b.ws) >= 8 where b.first < a.first
+          union select b.k from v a join d b on a.v = b.k and len(b.ws) >= 8 where a.first < b.first),
+        gone as (
+          select k.doc_id, k.line_no from k join d using (k) where k.place <> d.first
+          union select doc_id, line_no from k where k in (select k from near)),
+        r as (
+          select k.doc_id, count(*) filter (where len(ws) > 0)::int n_lines, count(g.line_no)::int n_removed,
+            sha256(coalesce(string_agg(ln, chr(10) order by k.line_no) filter (where g.line_no is null), '')) text_sha256
+          from k left join gone g on k.doc_id = g.doc_id and k.line_no = g.line_no group by k.doc_id)
+        select doc_id, n_lines, n_removed, text_sha256 from r""",
     "op1_topk_search": """
         with v as (
           select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
