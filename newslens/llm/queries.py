@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import line_dedup, quality, secret_scan, sharding, sp_codec, topk, warc
+from newslens.llm import line_dedup, near_dedup, quality, secret_scan, sharding, sp_codec, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +20,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, similarity=Fraction(85, 100))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     network = quality.train(docs, _read(spark, sf_dir, "labels"), learnable=~quality.held_out("id"))
@@ -55,6 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
@@ -63,6 +70,21 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 ORACLE: dict[str, str] = {
+    "op2_near_dedup": r"""
+        with recursive w as (
+          select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+        s as (
+          select doc_id, case when ws is null or len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+            else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) end sh from w),
+        e as (select doc_id, len(sh) n, unnest(sh) x from s),
+        p as (
+          select a.doc_id a, b.doc_id b, any_value(a.n) na, any_value(b.n) nb, count(*) c
+          from e a join e b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2),
+        l as (select a, b from p where 100 * c >= 85 * (na + nb - c)),
+        g as (select a, b from l union select b, a from l),
+        r as (select doc_id, doc_id reached from s union select r.doc_id, g.b from r join g on g.a = r.reached),
+        c as (select doc_id, min(reached) component_id from r group by doc_id)
+        select doc_id, len(sh)::bigint n_shingles, component_id, doc_id = component_id kept from s join c using (doc_id)""",
     "op6_line_dedup": r"""
         with l as (
           select doc_id, unnest(string_split(text, chr(10))) ln, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents),
