@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import line_dedup, near_dedup, quality, secret_scan, sharding, sp_codec, topk, warc
+from newslens.llm import decontaminate, line_dedup, near_dedup, quality, secret_scan, sharding, sp_codec, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_texts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_sharding": op9_sharding,
