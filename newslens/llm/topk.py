@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 16
     n, n_queries = (x or 0 for x in rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first())
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
     place = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", "dim", place.alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("v"), F.col("dim").alias("dim"), place.alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     points = rows.withColumn("shard", place)
     found: DataFrame | None = None
     done = 0
@@ -167,8 +167,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 16
         wave = wave.withColumn("step", F.explode(F.sequence(F.lit(done), F.lit(end - 1)))).withColumn("shard", F.pmod(F.col("home") + F.col("step"), F.lit(shards)))
         copies = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         keys = ("shard", "block", "dim")
-        left = copies.select(*keys, "vec_id", "v").groupBy(*keys)
-        right = wave.select(*keys, "query_id", "v", "best").groupBy(*keys)
+        # names of their own on each side of the cogroup: both come from the same table
+        left = copies.select(*(F.col(c).alias(c) for c in (*keys, "vec_id", "v"))).groupBy(*keys)
+        right = wave.select(*(F.col(c).alias(c) for c in (*keys, "query_id", "v", "best"))).groupBy(*keys)
         got = left.cogroup(right).applyInArrow(_search_group(k), RESULT)
         merged = got if found is None else got.unionByName(found)
         # each shard returns k rows for a query at most; the best k go on
