@@ -2,7 +2,8 @@
 
 A passage may stand anywhere inside other text, so texts are cut into paragraphs at
 places that their own words choose: a paragraph of `size` words begins at every word
-whose two-word hash is least among its 4 neighbours on either side.  A repeated passage
+whose two-word hash is least among its 4 neighbours on either side (and, where one word is said
+over and over, every `size` words).  A repeated passage
 then yields the same paragraphs in every document that holds it.
 
 1. Each paragraph has MinHash values over its 5-word shingles, in bands of two; the
@@ -73,6 +74,10 @@ def _paragraphs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np
     for k in range(1, AROUND + 1):
         chosen &= (place < k) | (two < np.roll(two, k))
         chosen &= (left <= k) | (two <= np.roll(two, -k))
+    # a word said over and over has no least place: cut its run every `size` words
+    here = np.arange(len(words))
+    run = here - np.maximum.accumulate(np.where((place > 0) & (two == np.roll(two, 1)), 0, here))
+    chosen |= (left >= size) & (two == np.roll(two, -1)) & (run % size == 0)
     at = np.flatnonzero(chosen)
     shingles = _grams(words, SHINGLE)[at[:, None] + np.arange(size - SHINGLE + 1)]
     own = mix((shingles * (rule(size, 97)[: shingles.shape[1]])).sum(axis=1, dtype=np.uint64))
