@@ -26,6 +26,8 @@ columns pass through; columns named like the added ones are replaced.
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from newslens.llm.common import FOLD, SPACES, Scratch, mix, powers, run_hashes, signed, small, spans, text_bytes, text_slices
 
 NEAR_WORDS = 8
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 ORDER = ("doc", "body", "line_no")
 ORDERED = "doc long, body long, line_no int"
 
@@ -81,7 +85,7 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
 
 
 def folded_words(line: str) -> list[str]:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r" else c for c in line).split(" ")
+    return WORD.findall(line.translate(LOWER))
 
 
 def find_lines(docs: DataFrame, near_words: int) -> DataFrame:
