@@ -108,16 +108,23 @@ def window_rows(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame
         for batch in batches:
             for part in text_slices(batch, "text"):
                 tokens, plain, kind, rows = templates(part.column("text"))
+                of, size = np.repeat(np.arange(len(rows) - 1), np.diff(rows)), np.diff(rows)
+                hashes = np.zeros(len(tokens), np.uint64)
+                if len(tokens) >= WINDOW:
+                    hashes[: len(tokens) - WINDOW + 1] = shingle_hashes(tokens, WINDOW)
+                whole = np.arange(len(tokens)) + WINDOW <= rows[of + 1]  # the window ends inside its text
+                for r in np.flatnonzero((size > 0) & (size < WINDOW)):
+                    hashes[rows[r]] = shingle_hashes(tokens[rows[r] : rows[r + 1]], WINDOW)[0]
+                    whole[rows[r]] = True
+                if wanted is not None:
+                    place = np.searchsorted(wanted, hashes)
+                    whole &= wanted[np.minimum(place, len(wanted) - 1)] == hashes if len(wanted) else False
                 out: dict[tuple, int] = {}
-                for r, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)):
-                    hashes = shingle_hashes(tokens[a:b], WINDOW)
-                    at = np.arange(len(hashes))
-                    if wanted is not None:
-                        at = at[np.isin(hashes, wanted, kind="sort")] if len(wanted) else at[:0]
-                    for i in at.tolist():
-                        end = min(a + i + WINDOW, b)
-                        slots = plain[a + i : end][kind[a + i : end] != WORD]
-                        out.setdefault((r, int(hashes[i].view(np.int64)), *slots.view(np.int64).tolist()), i)
+                for i in np.flatnonzero(whole).tolist():
+                    r = int(of[i])
+                    end = min(i + WINDOW, int(rows[r + 1]))
+                    slots = plain[i:end][kind[i:end] != WORD].view(np.int64).tolist()
+                    out.setdefault((r, int(hashes[i].view(np.int64)), *slots), i - int(rows[r]))
                 yield pa.RecordBatch.from_pydict({
                     "id": part.column("id").take(pa.array([k[0] for k in out], pa.int64())), "window": pa.array([k[1] for k in out], pa.int64()),
                     "at": pa.array(list(out.values()), pa.int32()), "slots": pa.array([list(k[2:]) for k in out], pa.list_(pa.int64())),
