@@ -40,7 +40,7 @@ ENDS = 128
 RATES = 8
 FEATURES = 256 + ENDS + RATES
 HIDDEN = 24
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -88,7 +88,7 @@ class Network:
     def fresh(cls, x: np.ndarray, seed: int) -> Network:
         r = np.random.default_rng(seed)
         w = {"a": r.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "c": r.normal(0, HIDDEN**-0.5, HIDDEN), "d": np.zeros(1)}
-        return cls(x.mean(axis=0), 1 / np.maximum(x.std(axis=0), 0.05), {k: v.astype(np.float64) for k, v in w.items()})
+        return cls(x.mean(axis=0, dtype=np.float64), 1 / np.maximum(x.std(axis=0, dtype=np.float64), 0.05), {k: v.astype(np.float64) for k, v in w.items()})
 
     def layers(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = np.clip((x - self.mean) * self.scale, -8, 8)
@@ -96,7 +96,8 @@ class Network:
         return s, h, h @ self.w["c"] + self.w["d"][0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.layers(x)[2])
+        parts = [_sigmoid(self.layers(x[i : i + 512])[2]) for i in range(0, len(x), 512)]
+        return np.concatenate([*parts, np.zeros(0)])
 
     def fit(self, p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int = 25, rate: float = 3e-3, decay: float = 1e-3, seed: int = 3) -> Network:
         """Minimise the non-negative risk; with no prior, the plain loss of P against U."""
@@ -146,21 +147,24 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
     if learnable is not None:
         marked = marked.withColumn("least", F.when(learnable, F.col("least")))
     share = max(1, docs.count() // (4 * sample_rows))
-    picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sides = picked.join(marked.withColumn("labelled", F.lit(1)), "id", "left").where("labelled is null or least = 1")
+    # who is sampled is settled on ids alone; texts are read for the chosen rows only
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit(1)).alias("key")).where(F.pmod("key", F.lit(share)) == 0).distinct()
+    sides = ids.join(marked.withColumn("labelled", F.lit(1)), "id", "left").where("labelled is null or least = 1").select("id", "key", F.col("labelled").isNotNull().alias("positive"))
+    chosen = [sides.where(side).orderBy("key").limit(sample_rows) for side in (F.col("positive"), ~F.col("positive"))]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")  # 2 * sample_rows rows at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                rows = features(part.column("text")).astype("<f4")
-                yield pa.RecordBatch.from_pydict({"positive": part.column("positive"), "key": part.column("key"), "x": pa.array([r.tobytes() for r in rows], pa.binary())})
+                x = [r.tobytes() for r in features(part.column("text")).astype("<f4")]
+                yield pa.RecordBatch.from_pydict({"positive": part.column("positive"), "key": part.column("key"), "x": pa.array(x, pa.binary())})
 
-    rows = sides.select("text", F.col("labelled").isNotNull().alias("positive"), F.xxhash64("id", F.lit(1)).alias("key"))
-    rows = rows.mapInArrow(extract, "positive boolean, key long, x binary")
-    two = [np.frombuffer(b"".join(r.x for r in rows.where(F.col("positive") == side).orderBy("key").limit(sample_rows).collect()), "<f4").reshape(-1, FEATURES) for side in (True, False)]
+    found = rows.select("text", "positive", "key").mapInArrow(extract, "positive boolean, key long, x binary").groupBy("key", "positive").agg(F.min("x").alias("x")).collect()
+    found.sort(key=lambda r: (r.key, r.x))
+    two = [np.frombuffer(b"".join(bytes(r.x) for r in found if r.positive == side), "<f4").reshape(-1, FEATURES) for side in (True, False)]
     if min(map(len, two)) < 10:
         return None
-    p, u = (x.astype(np.float64) for x in two)
+    p, u = two
     return Network.fresh(np.concatenate([p, u]), 1).fit(p, u, estimate_prior(p, u))
 
 
