@@ -3,13 +3,13 @@
 Every function here takes and returns `Column`s built from native Spark SQL
 functions, so they stay inside whole-stage code generation and are pushed
 through Catalyst like any hand-written expression.  Patterns are written in the
-subset shared by Java regex and RE2 so the DuckDB twins in
-`newslens.plans.oracle` use the very same strings.
+subset shared by Java regex and RE2; the DuckDB twins in `newslens.plans.oracle`
+write theirs out anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +36,11 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # P1 -------------------------------------------------------------------------
 def content_text(content: str | Column, sep: str = "") -> Column:
     """Join paragraphs: no separator for analysis, a blank for token files."""
@@ -171,6 +176,9 @@ def segment(text: str | Column, mode: str = "words") -> Column:
 
 
 def drop_stopwords_array(arr: str | Column, stopwords: Iterable[str]) -> Column:
-    """T2 on an array column: order and duplicates kept, blanks dropped."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
-    return F.filter(col_(arr), lambda x: (F.length(x) > 0) & ~F.array_contains(stop, x))
+    """T2 on an array column: order and duplicates kept, blanks dropped.
+
+    `isin` over many literals is a hash-set look-up, whatever the list's length.
+    """
+    words = sorted(set(stopwords))
+    return F.filter(col_(arr), lambda x: (F.length(x) > 0) & (~x.isin(words) if words else F.lit(True)))

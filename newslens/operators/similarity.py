@@ -12,26 +12,41 @@ and all term rows, and ONE aggregation by unordered pair.  No cross product,
 no per-document loop: the work is proportional to the number of
 (keyword-holder, term-holder) rows sharing a term.
 
-Hot terms: the term-holder side is split into `ceil(df / salt_rows)` salted
-slices and the (small, ≤ k rows per document) keyword side is replicated once
-per slice, so a term present in a third of all documents is spread over many
-tasks instead of one.  AQE skew-join splitting stays on as a second line.
+Hot terms: both sides of a term are split.  Its holders fall into
+`ceil(df / salt_rows)` slices and its keyword rows into `ceil(kdf / floor)`
+slices, and each side is replicated once per slice of the other: a grid of
+cells, none of which meets more than `salt_rows` by `floor` rows, whatever the
+term.  There is no cap on the number of slices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens import schema as S
 from newslens.operators import text as TX
 from newslens.session import reuse
 
-# Term-holder rows per salted slice of one term, and the most slices per term.
+# Rows per salted slice of one term, and the most terms whose keyword side is split
+# (`split_keywords`): that table is broadcast, and this bounds it.
 SALT_ROWS = 2_000
-MAX_SLICES = 4_096
+SPLIT_TERMS_MAX = 100_000
+
+
+def split_keywords(tk: DataFrame, salt_rows: int, most: int = SPLIT_TERMS_MAX) -> DataFrame:
+    """(term, k_slices) of the terms that more than `floor` articles have as a keyword.
+
+    floor = max(salt_rows, keyword rows / most); as the terms' keyword rows sum to
+    all of them, fewer than `most` terms can be above it.
+    """
+    kw = tk.where("is_kw").groupBy("term").agg(F.count(F.lit(1)).alias("kdf"))
+    rows = tk.where("is_kw").select(F.count(F.lit(1))).scalar()
+    floor = F.greatest(F.lit(salt_rows), F.ceil(rows / F.lit(most)))
+    return F.broadcast(kw.where(F.col("kdf") > floor)
+                         .select("term", F.ceil(F.col("kdf") / floor).cast("int").alias("k_slices")))
 
 
 def term_table(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORDS,
@@ -56,8 +71,8 @@ def term_table(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORD
 
 
 def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str] = (),
-                    salt_rows: int = SALT_ROWS, max_slices: int = MAX_SLICES,
-                    block: Sequence[str] = (), row_filter: Column | None = None,
+                    salt_rows: int = SALT_ROWS, block: Sequence[str] = (),
+                    near: tuple[str, int] | None = None, min_sim: float | None = None,
                     pre_shuffle: bool = True) -> DataFrame:
     """(lo, hi, dot, norm_lo, norm_hi, sim, [<s>_eq], [<c>_lo, <c>_hi]) for lo < hi.
 
@@ -70,29 +85,41 @@ def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str
     the pair aggregate keeps fixed-width buffers only (codegen'd hash
     aggregation, no string state).
 
-    `block` columns become extra equi-join keys (only pairs equal on them are
-    produced) and `row_filter` (over `k_<attr>` / `t_<attr>`) drops joined rows
-    before aggregation.  Both are exact when they depend on per-article
-    attributes only, since every row of a pair carries the same values.
+    `block` columns become extra equi-join keys: only pairs equal on them are
+    produced.  `near` (column, gap) keeps pairs at most `gap` apart: the column's
+    bucket of that width is a join key too, the term side standing in its own and
+    both neighbouring buckets, so far-apart rows never meet.  Both depend on
+    per-article attributes only, so every row of a pair passes or none.  `min_sim`
+    drops less similar pairs right after the aggregate.
     """
-    slices = F.least(F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(salt_rows))),
-                     F.lit(max_slices)).cast("int")
+    attrs = list(dict.fromkeys((*same, *carry, *block, *([near[0]] if near else []))))
+    tk = tk.join(split_keywords(tk, salt_rows), "term", "left").withColumn("k_slices", F.coalesce("k_slices", F.lit(1)))
+    slices = F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(salt_rows))).cast("int")
+    if near:
+        tk = tk.where(F.col(near[0]).isNotNull()).withColumn("bucket", F.floor(F.col(near[0]) / F.lit(near[1])))
     kw = tk.where("is_kw").select(
         F.col("doc_id").alias("k_doc"), "term", F.col("tf").alias("k_c"),
         F.col("kw_norm").alias("k_n"),
+        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("k_slices")).cast("int").alias("k_part"),
         F.explode(F.sequence(F.lit(0), slices - 1)).alias("salt"),
-        *[F.col(a).alias(f"k_{a}") for a in dict.fromkeys((*same, *carry, *block))])
+        *([F.col("bucket").alias("k_bucket")] if near else []),
+        *[F.col(a).alias(f"k_{a}") for a in attrs])
     allt = tk.select(
         F.col("doc_id").alias("t_doc"), F.col("term").alias("t_term"),
         F.col("tf").alias("t_c"), F.col("is_kw").alias("t_kw"), F.col("kw_norm").alias("t_n"),
         F.pmod(F.xxhash64("doc_id"), slices).cast("int").alias("t_salt"),
-        *[F.col(a).alias(f"t_{a}") for a in dict.fromkeys((*same, *carry, *block))])
-    on = (F.col("term") == F.col("t_term")) & (F.col("salt") == F.col("t_salt"))
+        F.explode(F.sequence(F.lit(0), F.col("k_slices") - 1)).alias("t_part"),
+        *([F.col("bucket").alias("own_bucket")] if near else []),
+        *[F.col(a).alias(f"t_{a}") for a in attrs])
+    on = (F.col("term") == F.col("t_term")) & (F.col("salt") == F.col("t_salt")) & (F.col("k_part") == F.col("t_part"))
+    if near:
+        allt = allt.withColumn("t_bucket", F.explode(F.sequence(F.col("own_bucket") - 1, F.col("own_bucket") + 1)))
+        on = on & (F.col("k_bucket") == F.col("t_bucket"))
     for a in block:
         on = on & (F.col(f"k_{a}") == F.col(f"t_{a}"))
     x = kw.join(allt, on)
-    if row_filter is not None:
-        x = x.where(row_filter)
+    if near:
+        x = x.where(F.abs(F.col(f"k_{near[0]}") - F.col(f"t_{near[0]}")) <= F.lit(near[1]))
     # A term that is a keyword of both sides yields two rows; keep one.
     x = x.where((F.col("k_doc") != F.col("t_doc")) &
                 ~(F.col("t_kw") & (F.col("t_doc") > F.col("k_doc"))))
@@ -129,8 +156,9 @@ def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str
     norm_hi = F.col("n_hi") + F.col("e_hi")
     sim = F.try_divide(F.col("dot").cast("double"),
                        F.sqrt(norm_lo.cast("double") * norm_hi.cast("double")))
-    return p.select("lo", "hi", "dot", norm_lo.alias("norm_lo"), norm_hi.alias("norm_hi"),
-                    sim.alias("sim"), *extra)
+    out = p.select("lo", "hi", "dot", norm_lo.alias("norm_lo"), norm_hi.alias("norm_hi"),
+                   sim.alias("sim"), *extra)
+    return out if min_sim is None else out.where(F.col("sim") >= F.lit(min_sim))
 
 
 def both_directions(pairs: DataFrame) -> DataFrame:

@@ -62,12 +62,24 @@ def remove_stopwords(toks: DataFrame, stopwords: StopWords, term_col: str = "ter
     return toks.where(~F.col(term_col).isin(words))
 
 
-def token_sentence(articles: DataFrame, stopwords: Iterable[str] = (), mode: str = "words",
+def token_sentence(articles: DataFrame, stopwords: StopWords = (), mode: str = "words",
                    text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """T2 in array form: (doc_id, *keep, words ARRAY, sentence), order and duplicates kept."""
-    words = X.drop_stopwords_array(X.segment(text_col, mode), stopwords)
-    return articles.select("doc_id", *keep, words.alias("words")) \
-                   .withColumn("sentence", F.concat_ws(" ", "words"))
+    """T2 in array form: (doc_id, *keep, words ARRAY, sentence), order and duplicates kept.
+
+    A list is filtered inside the array; a table is anti-joined over positions
+    and the arrays are put together again (an article may lose all its words).
+    """
+    words = X.segment(text_col, mode)
+    if isinstance(stopwords, DataFrame):
+        rows = articles.select("doc_id", F.posexplode(words).alias("pos", "term"))
+        left = remove_stopwords(rows.where(F.length("term") > 0), stopwords)
+        arr = F.array_sort(F.collect_list(F.struct("pos", "term")))
+        kept = left.groupBy("doc_id").agg(F.transform(arr, lambda s: s["term"]).alias("words"))
+        out = articles.select("doc_id", *keep).join(kept, "doc_id", "left") \
+                      .withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    else:
+        out = articles.select("doc_id", *keep, X.drop_stopwords_array(words, stopwords or ()).alias("words"))
+    return out.withColumn("sentence", F.concat_ws(" ", "words"))
 
 
 def tokenize_space(sentence: str | Column) -> Column:

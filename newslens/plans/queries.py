@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newslens import schema as S
 from newslens.functions import exprs as X
@@ -20,8 +21,10 @@ from newslens.operators import ranking as R
 from newslens.operators import similarity as SIM
 from newslens.operators import text as TX
 from newslens.plans import reports as RP
-from newslens.session import ensure_parallel, table_path
-from newslens.sources.articles import articles_from_tables
+from newslens.session import ensure_parallel, reuse, table_path
+from newslens.sources import articles as AR
+from newslens.sources import sinks as SK
+from newslens.streaming import word_history as WH
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +36,7 @@ SEP = " | "
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles_from_tables(spark, sf_dir)
+    return AR.articles_from_tables(spark, sf_dir)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,7 @@ def t5_doc_freq(spark, sf_dir):
 
 def t6_tfidf(spark, sf_dir):
     arts = _articles(spark, sf_dir)
-    tf = TX.term_freq(TX.tokens(arts, stopwords=S.DEFAULT_STOPWORDS))
+    tf = reuse(TX.term_freq(TX.tokens(arts, stopwords=S.DEFAULT_STOPWORDS)))
     return TX.tfidf(tf, TX.article_count(arts)).select("doc_id", "term", "tf", _r6("tfidf"))
 
 
@@ -79,18 +82,18 @@ def j1_pair_similarity(spark, sf_dir):
 
 
 def j3_votes(spark, sf_dir):
-    return SIM.votes(RP.similarity_pairs(_articles(spark, sf_dir)))
+    return SIM.votes(RP.similarity_pairs(_articles(spark, sf_dir), min_sim=S.VOTE_THRESHOLD))
 
 
 def y4_hotness(spark, sf_dir):
     arts = _articles(spark, sf_dir)
-    hot = RP.hotness_scores(arts, RP.similarity_pairs(arts))
+    hot = RP.hotness_scores(arts, RP.similarity_pairs(arts, min_sim=S.VOTE_THRESHOLD))
     return hot.select("doc_id", "votes", "age", F.round("raw", 9).alias("raw"), _r6("hotness"))
 
 
 def r4_hot_board(spark, sf_dir):
     arts = _articles(spark, sf_dir)
-    hot = RP.hotness_scores(arts, RP.similarity_pairs(arts))
+    hot = RP.hotness_scores(arts, RP.similarity_pairs(arts, min_sim=S.VOTE_THRESHOLD))
     top = R.hot_board(hot, HOT_BOARD_N)
     return R.top_k_per_group(top.withColumn("_g", F.lit(0)), "_g",
                              [F.col("hotness").desc(), F.col("doc_id").asc()], HOT_BOARD_N) \
@@ -137,23 +140,28 @@ def a5_distinct_urls(spark, sf_dir):
 
 
 # Streams, batch twins ---------------------------------------------------------
-def _token_lines(spark, sf_dir):
+def _dated_lines(spark, sf_dir):
     """What the fetcher writes to token files: one stop-filtered line per article."""
     arts = _articles(spark, sf_dir).where(F.col("pub_ts").isNotNull())
     sent = TX.token_sentence(arts, S.DEFAULT_STOPWORDS, keep=("pub_ts",))
-    return sent.select("pub_ts", F.col("sentence").alias("value"))
+    return sent.select("doc_id", "pub_ts", F.col("sentence").alias("value"))
 
 
 def w1_window_word_count(spark, sf_dir):
-    words = C.words_of_lines(_token_lines(spark, sf_dir), "value", keep=("pub_ts",))
-    return (words.groupBy(F.window("pub_ts", S.STREAM_INTERVAL).alias("w"), "word")
-                 .agg(F.count(F.lit(1)).alias("n"))
-                 .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                         "word", "n"))
+    counts = RP.window_word_count(_dated_lines(spark, sf_dir), "pub_ts")
+    return counts.select(F.date_format("window_start", S.BATCH_KEY_FORMAT).alias("window_start"), "word", "n")
 
 
 def w3_word_history(spark, sf_dir):
-    return RP.word_history(_token_lines(spark, sf_dir), "pub_ts")
+    return RP.word_history(_dated_lines(spark, sf_dir), "pub_ts")
+
+
+def w2_word_history_20s(spark, sf_dir):
+    return RP.word_history(_dated_lines(spark, sf_dir), "pub_ts", "20 seconds")
+
+
+def w2_word_history_90s(spark, sf_dir):
+    return RP.word_history(_dated_lines(spark, sf_dir), "pub_ts", "90 seconds")
 
 
 def w1_event_counts(spark, sf_dir):
@@ -164,26 +172,114 @@ def w1_event_counts(spark, sf_dir):
                       "event_type", "n"))
 
 
+def w3_batches_by_arrival(spark, sf_dir):
+    """The stream's batch functions over stored lines: a conversation's number says in which batch it arrived."""
+    talk = spark.read.parquet(table_path(sf_dir, "conversations"))
+    at = F.format_string("2024-01-01 00:00:%02d.000", F.col("conv_id") % 60)
+    words = C.words_of_lines(C.text_lines(talk.select(at.alias("batch_time"), "text"), keep=("batch_time",)), "value", keep=("batch_time",))
+    counts = words.groupBy("batch_time", "word").agg(F.count(F.lit(1)).alias("n"))
+    return WH.batch_history(counts)
+
+
 def r5_history_frames(spark, sf_dir):
-    hist = RP.word_history(_token_lines(spark, sf_dir), "pub_ts")
-    frames = R.top_k_per_group(hist, "batch_minute",
-                               [F.col("n").asc(), F.col("keyword").asc()], S.HISTORY_TOP, "pos")
-    return frames.select("batch_minute", F.col("pos").cast("int").alias("pos"), "keyword", "n")
+    hist = RP.word_history(_dated_lines(spark, sf_dir), "pub_ts")
+    return SK.history_frames(hist).select("batch_time", F.col("pos").cast("int").alias("pos"), "keyword", "n")
+
+
+# Formats: parsers and renderers over strings made from the tables -------------------
+def s1_concat_json(spark, sf_dir):
+    """Articles as pieces of a concatenated file, every seventh one torn: records come back, the torn ones don't."""
+    d = spark.read.parquet(table_path(sf_dir, "documents")).where(~F.col("text").contains("}{"))
+    nested = F.to_json(F.struct(F.col("doc_id"), F.col("source"), F.split("text", "\n").alias("content"), F.struct("lang").alias("site")))
+    middle = F.expr("substring(j, 2, length(j) - 2)")
+    piece = (F.when(F.col("doc_id") % 7 == 3, F.expr("substring(j, 2, 9)"))
+              .when(F.col("doc_id") % 7 == 4, F.expr("substring(j, 1, length(j) - 1)"))  # opens a file
+              .when(F.col("doc_id") % 7 == 5, F.concat(F.expr("substring(j, 2)"), F.lit("\n")))  # closes one
+              .otherwise(middle))
+    schema = "doc_id long, source string, content array<string>, site struct<lang: string>"
+    rec = AR.parse_pieces(d.withColumn("j", nested).select(piece.alias("value")), T.StructType.fromDDL(schema), keep_rejects=True)
+    return rec.select("doc_id", "source", F.col("site.lang").alias("lang"), X.content_text("content", "\n").alias("text"), F.col("rejected").isNotNull().alias("torn"))
+
+
+def s3_stopword_list(spark, sf_dir):
+    return AR.stopwords_of_lines(_stop_lines(spark, sf_dir))
+
+
+def _stop_lines(spark, sf_dir):
+    """A long stop list, one word per line with blanks around: the words of the benchmark texts."""
+    b = spark.read.parquet(table_path(sf_dir, "benchmark"))
+    word = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    return b.select(word.alias("w")).select(F.concat(F.lit(" \u3000"), "w", F.lit("\t ")).alias("value"))
+
+
+def j5_stopword_antijoin(spark, sf_dir):
+    toks = TX.tokens(_articles(spark, sf_dir), stopwords=s3_stopword_list(spark, sf_dir))
+    return toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("n_terms"))
+
+
+def t2_table_sentences(spark, sf_dir):
+    sent = TX.token_sentence(_articles(spark, sf_dir), s3_stopword_list(spark, sf_dir))
+    return sent.select("doc_id", F.size("words").alias("n_words"), "sentence")
+
+
+def s6_report_rows(spark, sf_dir):
+    kw = RP.collect_ranked(TX.article_keywords(_articles(spark, sf_dir)), "doc_id", "term", "keyword")
+    return kw.select("doc_id", F.to_json(F.struct("doc_id", "keyword")).alias("value"))
+
+
+def s10_token_lines(spark, sf_dir):
+    return SK.token_lines(_articles(spark, sf_dir))
+
+
+def s11_legacy_counts(spark, sf_dir):
+    """Counts as lines of tuples, with quotes and backslashes in the words, and lines that are none."""
+    words = C.word_count(C.text_lines(_texts(spark, sf_dir, "documents"))).withColumn("word", F.concat("word", F.when(F.length("word") % 5 == 0, F.lit("'\\x")).otherwise(F.lit(""))))
+    inner = F.replace("word", F.lit("\\"), F.lit("\\\\"))
+    quoted = F.when(F.col("word").contains("'"), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(F.concat(F.lit("'"), inner, F.lit("'")))
+    line = F.concat(F.lit("("), quoted, F.lit(", "), F.col("n").cast("string"), F.lit(")"))
+    lines = words.where(~F.col("word").contains('"')).select(F.explode(F.array(line, F.concat(F.lit("# "), line))).alias("value"))
+    return SK.parse_counts(lines)
+
+
+def s12_history_json(spark, sf_dir):
+    hist = RP.word_history(_dated_lines(spark, sf_dir), "pub_ts")
+    return SK.parse_history(SK.history_objects(hist))
 
 
 # Pages -----------------------------------------------------------------------------
-def y8_ingest_pages(spark, sf_dir):
+def _recrawled(spark, sf_dir):
+    """The pages, some fetched again later under another query string."""
     pages = _pages(spark, sf_dir)
-    seen = PG.urls_in_pages(pages)
+    again = pages.where("page_id % 10 = 1").select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat(X.canonical_url("url"), F.lit("?again=1")).alias("url"), "html")
+    return pages.unionByName(again)
+
+
+def y8_ingest_pages(spark, sf_dir):
+    pages = _recrawled(spark, sf_dir)
+    # already stored: the URLs of the even pages
+    seen = _pages(spark, sf_dir).where("page_id % 2 = 0").select(X.canonical_url("url").alias("url"))
     arts = RP.ingest_pages(pages, seen)
     return arts.select("page_id", "url", "title", "section", "time",
                        F.coalesce("source", F.lit(S.MISSING)).alias("source"),
                        F.size("content").alias("n_paragraphs"),
-                       F.concat_ws(" ", "content").alias("content_text"))
+                       X.content_text("content", " ").alias("content_text"))
+
+
+def p14_marked_pages(spark, sf_dir):
+    """Extraction over pages with a time block, inline tags, references, an unclosed and an empty paragraph."""
+    pages = _pages(spark, sf_dir)
+    time = F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.format_string("2024-01-02 03:04:%02d　来源: ", F.col("page_id") % 60))
+    block = F.concat(F.lit('<div class="post_time_source"> '), time, F.when(F.col("page_id") % 3 == 0, F.lit('<a href="/s">Desk &amp; Co</a>')).otherwise(F.lit("")), F.lit("</div>"))
+    body = F.concat(F.lit("<article><p>one <b>two</b> three &#39;&#x4e2d;</p><p> </p><p class='x'>open "), F.col("page_id").cast("string"), F.lit("<p>\u3000last&nbsp;</p></article>"))
+    return PG.extract_articles(pages.select("page_id", "url", F.concat("html", block, body).alias("html"))).select(
+        "page_id", "title", "time", F.coalesce("source", F.lit(S.MISSING)).alias("source"), F.size("content").alias("n_paragraphs"), X.content_text("content", "|").alias("content_text"))
 
 
 def p5_url_fields(spark, sf_dir):
     pages = _pages(spark, sf_dir)
+    # every third page on a host of the news section
+    url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", r"://([^./]+)\.", "://$1.news.")).otherwise(F.col("url"))
+    pages = pages.withColumn("url", url)
     return pages.select(
         "page_id",
         X.canonical_url("url").alias("canonical"),
@@ -197,10 +293,34 @@ def p15_links(spark, sf_dir):
     return PG.extract_links(_pages(spark, sf_dir))
 
 
+def p15_link_forms(spark, sf_dir):
+    """Every form of link on every page: quotings, dot segments, query and fragment only, other schemes, references."""
+    forms = ["<a href='#top'>", '<a href="?p=2">', '<a class="c" href=../q.html>', "<A HREF = './a/../b/./c'>", '<a href="mailto:a@b.c">',
+             '<a href="//h.example/x/..">', '<a href="/p?a=1&amp;b=2#f">', '<a href="">', '<a data-href="no">', '<link href="style.css">', "<area href='/%20map'>", '<a href="HTTPS://H.example/k">', '<a href="&#47;dec">']
+    return PG.extract_links(_pages(spark, sf_dir).select("page_id", "url", F.lit("".join(forms)).alias("html")))
+
+
+def p16_urls_in_text(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" or (http://x.org/%41?q=ü) \""), F.col("url"), F.lit('/more" https:/no '), F.substring("html", 1, 300))
+    return pages.select("page_id", F.explode(F.array_distinct(X.urls_in_text(text))).alias("url"))
+
+
+def j4_unseen_urls(spark, sf_dir):
+    """Links not yet stored: all but those of the even pages."""
+    links = PG.extract_links(_pages(spark, sf_dir))
+    seen = links.where("page_id % 2 = 0").select(F.col("dst").alias("url"))
+    return PG.unseen(links.select(F.col("dst").alias("url")).distinct(), seen)
+
+
 def j7_link_depth(spark, sf_dir):
+    """From the first page: pages lead to two further ones each, and to the links they hold."""
     pages = _pages(spark, sf_dir)
-    edges = PG.extract_links(pages)
-    seeds = pages.select(X.canonical_url("url").alias("url"))
+    own = X.canonical_url("url")
+    child = pages.where("page_id > 0").select(F.expr("(page_id - 1) div 2").alias("parent"), own.alias("dst"))
+    tree = child.join(pages.select(F.col("page_id").alias("parent"), own.alias("src")), "parent").select("src", "dst")
+    edges = PG.extract_links(pages).select("src", "dst").unionByName(tree)
+    seeds = pages.where("page_id = 0").select(own.alias("url"))
     return PG.link_depth(edges, seeds)
 
 
@@ -210,8 +330,25 @@ def p10_int_words(spark, sf_dir):
     return words.where(X.is_int_token("word"))
 
 
+def p1_content_text(spark, sf_dir):
+    """Paragraphs trimmed and joined without and with a blank (P1, P9); some texts made empty are dropped."""
+    d = ensure_parallel(spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text"), "doc_id")
+    pad = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("\u3000 "), x, F.lit("\t\u00a0")))
+    content = X.trim_all(F.when(F.col("doc_id") % 10 == 3, F.array(F.lit(" \u3000"))).otherwise(pad))
+    rows = d.select("doc_id", X.content_text(content).alias("text"), X.content_text(content, " ").alias("spaced"))
+    return AR.non_empty(rows).select("doc_id", F.md5("text").alias("text_md5"), F.md5("spaced").alias("spaced_md5"))
+
+
+def p3_publish_times(spark, sf_dir):
+    """Time texts as pages hold them: padded, trailed by the source label, missing or bad."""
+    e = spark.read.parquet(table_path(sf_dir, "events")).select("event_id", "ts")
+    shown = F.concat(F.lit(" \u3000\n"), F.date_format("ts", S.TIME_FORMAT), F.lit("\u3000来源: "))
+    raw = F.when(F.col("event_id") % 11 == 0, F.lit(" ")).when(F.col("event_id") % 13 == 0, F.lit("2024-13-01 00:00:00")).otherwise(shown)
+    return e.select("event_id", X.with_default(X.clean_time(raw)).alias("time"), X.parse_pub_time(X.clean_time(raw)).alias("pub_ts"))
+
+
 def p12_depth_cap(spark, sf_dir):
-    arts = _articles(spark, sf_dir).where(F.col("depth") <= S.MAX_DEPTH)
+    arts = _articles(spark, sf_dir).withColumn("depth", (1 + F.col("doc_id") % 6).cast("int")).where(F.col("depth") <= S.MAX_DEPTH)
     return arts.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -229,6 +366,21 @@ def t2_token_sentences(spark, sf_dir):
     return sent.select("doc_id", F.size("words").alias("n_words"), "sentence")
 
 
+def t1_cjk_bigrams(spark, sf_dir):
+    """Texts with ten letters written as Han characters: bigrams of Han runs, other runs whole."""
+    d = ensure_parallel(spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text"), "doc_id")
+    han = F.translate(F.lower("text"), "aeiourstnh", "中文汉字测试数据分析")
+    toks = TX.tokens(d.select("doc_id", han.alias("text")), mode="cjk_bigram")
+    return toks.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def t4h_hashed_tf(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    hashed = TX.hashed_tf(_articles(spark, sf_dir), stopwords=S.DEFAULT_STOPWORDS, num_features=1 << 10)
+    return hashed.select("doc_id", F.aggregate(vector_to_array("raw_features"), F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("n_tokens"))
+
+
 def t3_space_tokens(spark, sf_dir):
     docs = ensure_parallel(spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text"))
     return docs.select("doc_id", F.size(TX.tokenize_space("text")).alias("n_tokens"))
@@ -259,6 +411,25 @@ QUERIES: dict[str, QueryFn] = {
     "w1_window_word_count": w1_window_word_count,
     "w1_event_counts": w1_event_counts,
     "w3_word_history": w3_word_history,
+    "w2_word_history_20s": w2_word_history_20s,
+    "w2_word_history_90s": w2_word_history_90s,
+    "w3_batches_by_arrival": w3_batches_by_arrival,
+    "s1_concat_json": s1_concat_json,
+    "s3_stopword_list": s3_stopword_list,
+    "j5_stopword_antijoin": j5_stopword_antijoin,
+    "t2_table_sentences": t2_table_sentences,
+    "s6_report_rows": s6_report_rows,
+    "s10_token_lines": s10_token_lines,
+    "s11_legacy_counts": s11_legacy_counts,
+    "s12_history_json": s12_history_json,
+    "p14_marked_pages": p14_marked_pages,
+    "p15_link_forms": p15_link_forms,
+    "p16_urls_in_text": p16_urls_in_text,
+    "j4_unseen_urls": j4_unseen_urls,
+    "p1_content_text": p1_content_text,
+    "p3_publish_times": p3_publish_times,
+    "t1_cjk_bigrams": t1_cjk_bigrams,
+    "t4h_hashed_tf": t4h_hashed_tf,
     "r5_history_frames": r5_history_frames,
     "y8_ingest_pages": y8_ingest_pages,
     "p5_url_fields": p5_url_fields,

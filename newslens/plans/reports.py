@@ -1,8 +1,7 @@
 """Composite queries a user calls.
 
-Each takes DataFrames and returns a lazy DataFrame; only the similarity
-table, which three consumers share, is materialised (reliable checkpoint
-where the cluster names one, see `newslens.session.cut_lineage`).
+Each takes DataFrames and returns a lazy DataFrame; nothing runs while a plan is
+built.  Intermediates that several branches read are kept by `session.reuse`.
 """
 
 from __future__ import annotations
@@ -16,31 +15,27 @@ from newslens.operators import pages as PG
 from newslens.operators import ranking as R
 from newslens.operators import similarity as SIM
 from newslens.operators import text as TX
-from newslens.session import cut_lineage, release
+from newslens.session import kept, reuse
 
 PAIR_ATTRS = ("section", "age")
 
 
 def similarity_pairs(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORDS,
-                     k: int = S.TOP_KEYWORDS, now: str = S.QUERY_NOW, mode: str = "words",
-                     salt_rows: int = SIM.SALT_ROWS, materialize: bool = False) -> DataFrame:
-    """J1 over a corpus, carrying section and age for the related-titles step."""
-    dated = R.with_age(articles, now)
-    tk = SIM.term_table(dated, stopwords, k, mode, attrs=PAIR_ATTRS)
-    pairs = SIM.pair_similarity(tk, same=("section",), carry=("age",), salt_rows=salt_rows)
-    return cut_lineage(pairs) if materialize else pairs
+                     k: int = S.TOP_KEYWORDS, mode: str = "words",
+                     salt_rows: int = SIM.SALT_ROWS, min_sim: float | None = None) -> DataFrame:
+    """J1 over a corpus: pairs with their similarity, and no other attribute."""
+    tk = SIM.term_table(articles, stopwords, k, mode)
+    return SIM.pair_similarity(tk, salt_rows=salt_rows, min_sim=min_sim)
 
 
 def related_pairs(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORDS,
                   k: int = S.TOP_KEYWORDS, now: str = S.QUERY_NOW, mode: str = "words",
                   max_gap: int = S.RELATED_MAX_GAP_MIN, salt_rows: int = SIM.SALT_ROWS) -> DataFrame:
-    """J1 restricted to what related titles can use: same section (an extra
-    join key) and ages at most `max_gap` apart (filtered before aggregation)."""
-    dated = R.with_age(articles, now)
-    tk = SIM.term_table(dated, stopwords, k, mode, attrs=PAIR_ATTRS)
-    near = F.abs(F.col("k_age") - F.col("t_age")) <= F.lit(max_gap)
+    """J1 restricted to what related titles can use: section and a time bucket are
+    join keys, so articles of other sections or days never meet."""
+    tk = SIM.term_table(R.with_age(articles, now), stopwords, k, mode, attrs=PAIR_ATTRS)
     return SIM.pair_similarity(tk, same=("section",), carry=("age",), salt_rows=salt_rows,
-                               block=("section",), row_filter=near)
+                               block=("section",), near=("age", max_gap))
 
 
 def hotness_scores(articles: DataFrame, pairs: DataFrame, now: str = S.QUERY_NOW,
@@ -72,7 +67,10 @@ def hot_news_report(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STO
     """
     dated = R.with_age(articles, now)
     tk = SIM.term_table(dated, stopwords, k, mode, attrs=PAIR_ATTRS)
-    pairs = cut_lineage(SIM.pair_similarity(tk, same=("section",), carry=("age",)))
+    pairs = SIM.pair_similarity(tk, same=("section",), carry=("age",))
+    # What is kept: pairs that vote, and pairs that can be related titles.
+    nearby = F.col("section_eq") & (F.abs(F.col("age_lo") - F.col("age_hi")) <= F.lit(S.RELATED_MAX_GAP_MIN))
+    pairs = reuse(pairs.where((F.col("sim") >= F.lit(S.VOTE_THRESHOLD)) | (nearby & (F.col("sim") > 0))))
     # Keywords are the flagged rows of the same term table: one tokenizer pass.
     kw = tk.where("is_kw").select("doc_id", "rank", "term", "tf", "tfidf")
     hot = hotness_scores(articles, pairs, now)
@@ -88,20 +86,27 @@ def hot_news_report(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STO
 
 def word_history(token_lines: DataFrame, ts_col: str, interval: str = S.STREAM_INTERVAL,
                  k: int = S.HISTORY_TOP) -> DataFrame:
-    """Y6 batch form: (batch_minute, rank, keyword, n) — top-k words per interval.
+    """Y6 batch form: (batch_time, rank, keyword, n) — top-k words per interval.
 
     `token_lines` holds (ts, value) lines of blank-separated tokens; windows are
-    tumbling `interval` windows on `ts`, keyed by the minute of their end.
+    tumbling `interval` windows on `ts`, keyed by their end to the second, so
+    windows shorter than a minute have keys of their own (W2).
     """
-    words = C.words_of_lines(token_lines, "value", keep=(ts_col,))
-    counts = (words.groupBy(F.window(ts_col, interval).alias("w"), "word")
-                   .agg(F.count(F.lit(1)).alias("n"))
-                   .withColumn("batch_minute", F.date_format("w.end", S.MINUTE_KEY_FORMAT)))
-    top = C.top_words(counts, k, group="batch_minute")
-    return top.select("batch_minute", F.col("rank").cast("int").alias("rank"),
+    counts = window_word_count(token_lines, ts_col, interval) \
+        .withColumn("batch_time", F.date_format("window_end", S.BATCH_KEY_FORMAT))
+    top = C.top_words(counts, k, group="batch_time")
+    return top.select("batch_time", F.col("rank").cast("int").alias("rank"),
                       F.col("word").alias("keyword"), "n")
 
 
+def window_word_count(token_lines: DataFrame, ts_col: str, interval: str = S.STREAM_INTERVAL) -> DataFrame:
+    """W1 / W2 over stored lines: (window_start, window_end, word, n), not cumulative."""
+    words = C.words_of_lines(token_lines, "value", keep=(ts_col,))
+    return (words.groupBy(F.window(ts_col, interval).alias("w"), "word")
+                 .agg(F.count(F.lit(1)).alias("n"))
+                 .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "word", "n"))
+
+
 def ingest_pages(pages: DataFrame, existing_urls: DataFrame | None = None,
                  rules: PG.ExtractRules = PG.DEFAULT_RULES) -> DataFrame:
     """Extract articles, keep each canonical URL once, skip URLs already stored."""
@@ -118,30 +123,32 @@ def publish_reports(articles: DataFrame, out_dir: str, at: str,
     `<out>/window_keywords` (one object: time, timekeyword[])."""
     from newslens.sources import sinks as SK
 
-    try:
+    with kept():
         report = hot_news_report(articles, stopwords, now=now, mode=mode)
         SK.write_report(report.select("title", "attention", "keyword", "samenews"), f"{out_dir}/hot_news")
         block = TX.block_keywords(articles, stopwords, last_n, mode=mode)
         SK.write_report(SK.window_keyword_report(block, at), f"{out_dir}/window_keywords")
-    finally:
-        release()
 
 
 def crawl_batch(pages: DataFrame, store_path: str, tokens_path: str, fetched_at: str,
                 stopwords: TX.StopWords = S.DEFAULT_STOPWORDS, count_repeats: bool = True,
-                rules: PG.ExtractRules = PG.DEFAULT_RULES, mode: str = "words") -> DataFrame:
+                rules: PG.ExtractRules = PG.DEFAULT_RULES, mode: str = "words",
+                batch_id: str | None = None) -> DataFrame:
     """Y8 with its two sinks: token lines for the word-count stream (S10) and the
     article store (S9).  With `count_repeats` (the original behaviour, Q11) every
     fetched article feeds the token files, also when its URL is already stored;
-    otherwise only newly stored ones do.  Returns the newly stored articles.
+    otherwise only newly stored ones do.  Both sinks are keyed by `batch_id` (by
+    default the fetch time), so a batch that is run again replaces its own rows.
+    Returns the newly stored articles.
     """
     from newslens.sources import sinks as SK
 
+    batch_id = batch_id or "".join(c for c in fetched_at if c.isdigit())
     extracted = PG.first_per_url(PG.extract_articles(pages, rules), "page_id")
-    stored = SK.append_new_articles(extracted, store_path)
+    stored = SK.append_new_articles(extracted, store_path, batch_id=batch_id)
     counted = extracted if count_repeats else stored
     lines = counted.select(F.col("page_id").alias("doc_id"),
                            F.concat_ws(" ", "content").alias("text"),
                            F.lit(fetched_at).cast("timestamp_ntz").alias("pub_ts"))
-    SK.write_token_files(lines, tokens_path, stopwords, mode=mode)
+    SK.write_token_files(lines, tokens_path, stopwords, mode=mode, batch_id=batch_id)
     return stored

@@ -26,7 +26,7 @@ REPORT_SCHEMA = T.StructType([
 
 # Word-count history, long form.
 HISTORY_SCHEMA = T.StructType([
-    T.StructField("batch_minute", T.StringType()),
+    T.StructField("batch_time", T.StringType()),
     T.StructField("rank", T.IntegerType()),
     T.StructField("keyword", T.StringType()),
     T.StructField("n", T.LongType()),
@@ -47,6 +47,8 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 MINUTE_KEY_FORMAT = "yyyy-MM-dd HH:mm"
 OLD_MINUTE_KEY_FORMAT = "yyyy-MM-dd HH-mm"
 FILE_MINUTE_FORMAT = "yyyyMMddHHmm"
+# Own history keys: to the second, as batches may be shorter than a minute.
+BATCH_KEY_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # Characters stripped from the right of the time text (a trim *set*).
 TIME_TRAILER = "　来源: "
 # Field names of one history entry ("keyword", "count").

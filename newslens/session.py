@@ -7,8 +7,10 @@ command-line use only, and it never overrides a master chosen by spark-submit.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -112,7 +114,9 @@ def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
-_KEPT: list[DataFrame] = []
+# Frames kept for the innermost `kept()` block; outside of one, by session.
+_BLOCKS: list[list[DataFrame]] = []
+_LOOSE: list[DataFrame] = []
 
 
 def reuse(df: DataFrame) -> DataFrame:
@@ -120,18 +124,35 @@ def reuse(df: DataFrame) -> DataFrame:
 
     Without it each branch recomputes the upstream (scan, tokenizer, first
     aggregate).  MEMORY_AND_DISK spills instead of failing; a block lost with
-    its executor is recomputed from lineage.  `release()` drops what this
-    package kept once the results that needed it are written.
+    its executor is recomputed from lineage.  Nothing runs here: the frame is
+    kept when a result that needs it runs.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _KEPT.append(kept)
-    return kept
+    frame = df.persist(StorageLevel.MEMORY_AND_DISK)
+    (_BLOCKS[-1] if _BLOCKS else _LOOSE).append(frame)
+    return frame
 
 
-def release() -> None:
-    """Unpersist every intermediate kept by `reuse` (user caches are untouched)."""
-    while _KEPT:
-        _KEPT.pop().unpersist()
+@contextlib.contextmanager
+def kept() -> Iterator[None]:
+    """What `reuse` keeps inside the block is given back at its end, and nothing else is."""
+    _BLOCKS.append([])
+    try:
+        yield
+    finally:
+        _drop(_BLOCKS.pop())
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Give back the frames kept outside of any block (of one session, or of all)."""
+    own = [f for f in _LOOSE if spark is None or f.sparkSession is spark]
+    _LOOSE[:] = [f for f in _LOOSE if not any(f is o for o in own)]
+    _drop(own)
+
+
+def _drop(frames: list[DataFrame]) -> None:
+    for f in frames:
+        with contextlib.suppress(Exception):  # the frame's session may have ended
+            f.unpersist()
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -24,28 +24,45 @@ CORRUPT = "_corrupt_record"
 
 # S1 -------------------------------------------------------------------------
 def read_concat_json(spark: SparkSession, path: str, schema=S.ARTICLE_SCHEMA,
-                     keep_order: bool = True) -> DataFrame:
+                     keep_order: bool = True, keep_rejects: bool = False) -> DataFrame:
     """Read objects glued together as `{...}{...}`; unparsable pieces are dropped.
 
     Splitting is done by the text source itself (`lineSep="}{"`), so large
-    files are read in parallel splits; each piece gets its braces back and is
-    parsed with an explicit schema (no inference pass).  With `keep_order` an
-    `ingest_pos` column numbers the records in file order (see `with_file_order`).
+    files are read in parallel splits; `parse_pieces` restores and parses them.
+    With `keep_order` an `ingest_pos` column numbers the records in file order
+    (see `with_file_order`).
     """
     raw = spark.read.option("lineSep", "}{").option("wholetext", False).text(path)
     if keep_order:
         raw = with_file_order(raw)
-    body = F.regexp_replace(F.col("value"), r"^\s*\{|\}\s*$", "")
-    full_schema = schema if CORRUPT in schema.fieldNames() else T.StructType(
-        list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), full_schema,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    out = raw.where(F.length(F.trim(F.col("value"))) > 0).withColumn("_rec", parsed)
-    out = out.where(F.col(f"_rec.{CORRUPT}").isNull())
-    cols = [F.col(f"_rec.{f}").alias(f) for f in schema.fieldNames() if f != CORRUPT]
-    if keep_order:
-        cols.append(F.col("ingest_pos"))
-    return out.select(*cols)
+    return parse_pieces(raw, schema, keep=("ingest_pos",) if keep_order else (), keep_rejects=keep_rejects)
+
+
+def parse_pieces(pieces: DataFrame, schema=S.ARTICLE_SCHEMA, keep: tuple[str, ...] = (),
+                 keep_rejects: bool = False) -> DataFrame:
+    """Pieces (`value`) of a file cut at `}{` → records with an explicit schema (no inference).
+
+    A piece lacks its first brace unless it opens the file, and its last one
+    unless it closes it.  Only the missing ones are added: a piece that ends in
+    the brace of a nested object gets its own back.  Pieces that don't parse are
+    dropped, or kept with their text in `rejected` (null for records) so that
+    they can be counted and looked at.
+    """
+    fields = [f for f in schema.fieldNames() if f != CORRUPT]
+    full_schema = T.StructType([schema[f] for f in fields] + [T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    piece = F.regexp_replace("value", r"^\s+|\s+$", "")
+    opened = F.when(piece.startswith("{"), piece).otherwise(F.concat(F.lit("{"), piece))
+    out = pieces.where(F.length(piece) > 0) \
+                .withColumn("_closed", F.from_json(F.concat(opened, F.lit("}")), full_schema, options)) \
+                .withColumn("_last", F.from_json(opened, full_schema, options))
+    rec = F.when(F.col(f"_closed.{CORRUPT}").isNull(), F.col("_closed")).otherwise(F.col("_last"))
+    out = out.withColumn("_rec", rec)
+    good = F.col(f"_rec.{CORRUPT}").isNull()
+    cols = [F.when(good, F.col(f"_rec.{f}")).alias(f) for f in fields] + [F.col(c) for c in keep]
+    if keep_rejects:
+        return out.select(*cols, F.when(~good, F.col("value")).alias("rejected"))
+    return out.where(good).select(*cols)
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
@@ -95,37 +112,48 @@ def articles_from_records(records: DataFrame, order_col: str = "ingest_pos") ->
 
 
 # The test tables as articles ------------------------------------
+NO_TIME_EVERY = 97  # every so many articles have no publish time in the view
+
+
 def article_columns(d: DataFrame, e: DataFrame) -> list[Column]:
     return [
         d.doc_id,
         F.lit(None).cast("string").alias("url"),
-        F.substring(d.text, 1, 30).alias("title"),
+        F.substring_index(d.text, "\n", 1).alias("title"),
         F.when(d.lang == "en", F.lit(S.NEWS_SECTION)).otherwise(d.lang).alias("section"),
         F.nullif(d.source, F.lit("src0")).alias("source"),
-        e.ts.cast("timestamp_ntz").alias("pub_ts"),
+        F.when(d.doc_id % NO_TIME_EVERY != 0, e.ts.cast("timestamp_ntz")).alias("pub_ts"),
         (F.lit(1) + d.doc_id % 3).cast("int").alias("depth"),
         d.text,
     ]
 
 
 def articles_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` joined to `events` on id: prose + a publish time per article."""
+    """`documents` with a publish time from `events` where the ids meet: the title is
+    the whole first line; an article without an event has no publish time."""
     d = spark.read.parquet(table_path(sf_dir, "documents")).select(
         "doc_id", "text", "lang", "source", "n_chars")
     # P2 on the stored text length: a query that needs no text (counts,
     # attributes, thresholds) then never reads the text column at all.
     d = ensure_parallel(d.where(F.col("n_chars") > 0), "doc_id")
     e = spark.read.parquet(table_path(sf_dir, "events")).select("event_id", "ts")
-    return d.join(e, d.doc_id == e.event_id).select(*article_columns(d, e))
+    return d.join(e, d.doc_id == e.event_id, "left").select(*article_columns(d, e))
 
 
 # S3 / S5 / S13 --------------------------------------------------------------
 def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
     """One stop word per line, stripped, UTF-8; blank lines ignored."""
-    return (spark.read.text(path)
-                 .select(X.py_strip("value").alias("term"))
-                 .where(F.length("term") > 0)
-                 .distinct())
+    return stopwords_of_lines(spark.read.text(path))
+
+
+def stopwords_of_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+    """S3 over lines already read: (term), stripped, distinct, blank lines ignored."""
+    return lines.select(X.py_strip(col).alias("term")).where(F.length("term") > 0).distinct()
+
+
+def non_empty(articles: DataFrame, col: str = "text") -> DataFrame:
+    """Rows whose text is there and not empty."""
+    return articles.where(F.length(col) > 0)
 
 
 def read_text(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:

@@ -14,7 +14,6 @@ from newslens import schema as S
 from newslens.functions import exprs as X
 from newslens.operators import pages as PG
 from newslens.operators import text as TX
-from newslens.session import cut_lineage
 
 
 # S6 ---------------------------------------------------------------------------
@@ -31,34 +30,48 @@ def window_keyword_report(block_kw: DataFrame, at: str) -> DataFrame:
 
 
 # S9 ---------------------------------------------------------------------------
-def append_new_articles(new: DataFrame, store_path: str, order_col: str = "page_id") -> DataFrame:
-    """Append articles whose canonical URL is not stored yet; one row per URL.
-
-    Returns what was appended.  The store is read for its `url` column only.
+def append_new_articles(new: DataFrame, store_path: str, order_col: str = "page_id",
+                        batch_id: str = "0") -> DataFrame:
+    """Append articles whose canonical URL no other batch has stored; one row per URL.
+
+    The store is partitioned by `batch_id`.  A batch that is run again is compared
+    with the other batches only and replaces its own partition, so the result
+    does not depend on how often it ran.  Returns what the batch has stored, read
+    back from its partition.
     """
     spark = new.sparkSession
     fresh = PG.first_per_url(new, order_col)
     try:
-        stored = spark.read.parquet(store_path).select("url")
+        stored = spark.read.parquet(store_path).where(F.col("batch_id").cast("string") != F.lit(batch_id)).select("url")
         fresh = PG.unseen(fresh, stored)
     except AnalysisException as e:  # first write: the store does not exist yet
         if (e.getCondition() or "") != "PATH_NOT_FOUND" and "does not exist" not in str(e):
             raise
-    # Materialise first: the returned frame must not be re-evaluated against
-    # the store after this batch has been appended to it.
-    fresh = cut_lineage(fresh)
-    fresh.write.mode("append").parquet(store_path)
-    return fresh
+    own = f"{store_path}/batch_id={batch_id}"
+    fresh.write.mode("overwrite").parquet(own)
+    return spark.read.schema(fresh.schema).parquet(own)
 
 
 # S10 --------------------------------------------------------------------------
-def write_token_files(articles: DataFrame, path: str, stopwords=S.DEFAULT_STOPWORDS,
-                      ts_col: str = "pub_ts", mode: str = "words") -> None:
-    """One line of blank-separated, stop-filtered tokens per article, one folder per minute."""
+def token_lines(articles: DataFrame, stopwords=S.DEFAULT_STOPWORDS, ts_col: str = "pub_ts",
+                mode: str = "words") -> DataFrame:
+    """(doc_id, minute, value): one line of blank-separated, stop-filtered tokens per dated article."""
     sent = TX.token_sentence(articles.where(F.col(ts_col).isNotNull()), stopwords, mode, keep=(ts_col,))
-    (sent.select(F.date_format(ts_col, S.FILE_MINUTE_FORMAT).alias("minute"),
-                 F.col("sentence").alias("value"))
-         .write.mode("append").partitionBy("minute").text(path))
+    return sent.select("doc_id", F.date_format(ts_col, S.FILE_MINUTE_FORMAT).alias("minute"), F.col("sentence").alias("value"))
+
+
+def write_token_files(articles: DataFrame, path: str, stopwords=S.DEFAULT_STOPWORDS,
+                      ts_col: str = "pub_ts", mode: str = "words", batch_id: str = "0") -> None:
+    """The token lines as text files, one folder per batch and minute.
+
+    A batch that is run again replaces its folders; rows meet by minute before
+    they are written, so a minute is few files.
+    """
+    (token_lines(articles, stopwords, ts_col, mode)
+        .select(F.lit(batch_id).alias("batch_id"), "minute", "value")
+        .repartition("minute")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id", "minute").text(path))
 
 
 # S11 --------------------------------------------------------------------------
@@ -72,7 +85,12 @@ def read_counts(spark: SparkSession, path: str, legacy: bool = False) -> DataFra
     """
     if not legacy:
         return spark.read.parquet(path).select("word", "n")
-    lines = spark.read.text(path).where(F.col("value").rlike(LEGACY_COUNT))
+    return parse_counts(spark.read.text(path))
+
+
+def parse_counts(lines: DataFrame) -> DataFrame:
+    """S11 over lines already read (`value`); other lines are dropped."""
+    lines = lines.where(F.col("value").rlike(LEGACY_COUNT))
     word = F.regexp_extract("value", LEGACY_COUNT, 2)
     word = F.replace(F.replace(F.replace(word, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"')),
                      F.lit("\\\\"), F.lit("\\"))
@@ -86,36 +104,52 @@ HISTORY_JSON = (f"map<string, array<struct<`{S.HISTORY_KEYWORD_FIELD}`: string,
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """History JSON object(s) → (batch_minute, rank, keyword, n).
+    """History JSON object(s) → (batch_time, rank, keyword, n); each file is one object.
+
+    Files are read in parallel.  An object of the original tool is one file's
+    size; our own export (`export_history_json`) has one small object per frame.
+    """
+    return parse_history(spark.read.option("wholetext", True).text(path))
+
+
+def parse_history(objects: DataFrame) -> DataFrame:
+    """S12 over JSON objects already read (`value`).
 
     Keys in either `HH:mm` or the older `HH-mm` form are read and normalised to
-    `yyyy-MM-dd HH:mm`; `rank` is the position within the frame as written.
-    Each file is one object (read whole); files are parsed in parallel.
+    the former; `rank` is the position within the frame as written.
     """
-    raw = spark.read.option("wholetext", True).text(path)
-    frames = raw.select(F.explode(F.from_json("value", HISTORY_JSON)).alias("k", "entries"))
+    frames = objects.select(F.explode(F.from_json("value", HISTORY_JSON)).alias("k", "entries"))
     key = F.regexp_replace("k", r"^(\d{4}-\d{2}-\d{2} \d{2})-(\d{2})$", "$1:$2")
-    pos = frames.select(key.alias("batch_minute"), F.posexplode("entries").alias("pos", "e"))
-    return pos.select("batch_minute", (F.col("pos") + 1).cast("int").alias("rank"),
+    pos = frames.select(key.alias("batch_time"), F.posexplode("entries").alias("pos", "e"))
+    return pos.select("batch_time", (F.col("pos") + 1).cast("int").alias("rank"),
                       F.col(f"e.{S.HISTORY_KEYWORD_FIELD}").alias("keyword"),
                       F.col(f"e.{S.HISTORY_COUNT_FIELD}").alias("n"))
 
 
 def history_frames(hist: DataFrame) -> DataFrame:
-    """Each frame ascending by count (ties: keyword) → (batch_minute, pos, keyword, n).
+    """Each frame ascending by count (ties: keyword) → (batch_time, pos, keyword, n).
 
     Frames hold at most k rows each, so the window per frame is bounded.
     """
-    w = Window.partitionBy("batch_minute").orderBy(F.col("n").asc(), F.col("keyword").asc())
-    return hist.select("batch_minute", F.row_number().over(w).alias("pos"), "keyword", "n")
+    w = Window.partitionBy("batch_time").orderBy(F.col("n").asc(), F.col("keyword").asc())
+    return hist.select("batch_time", F.row_number().over(w).alias("pos"), "keyword", "n")
+
+
+def history_objects(hist: DataFrame) -> DataFrame:
+    """(batch_time, value): each frame as the JSON object that `parse_history` reads."""
+    entry = F.struct(F.col("rank"), F.col("keyword").alias(S.HISTORY_KEYWORD_FIELD),
+                     F.col("n").alias(S.HISTORY_COUNT_FIELD))
+    frames = hist.groupBy("batch_time").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    entries = F.transform("e", lambda s: s.dropFields("rank"))
+    return frames.select("batch_time", F.to_json(F.create_map(F.col("batch_time"), entries)).alias("value"))
 
 
 def export_history_json(hist: DataFrame, path: str) -> None:
-    """One JSON object per frame: {"batch_minute", "entries": [{keyword, count}, …]}."""
+    """One JSON object per line and frame: {"batch_time", "entries": [{keyword, count}, …]}."""
     entry = F.struct(F.col("rank"), F.col("keyword").alias(S.HISTORY_KEYWORD_FIELD),
                      F.col("n").alias(S.HISTORY_COUNT_FIELD))
-    frames = hist.groupBy("batch_minute").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    frames = frames.select("batch_minute", F.transform("e", lambda s: s.dropFields("rank")).alias("entries"))
+    frames = hist.groupBy("batch_time").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    frames = frames.select("batch_time", F.transform("e", lambda s: s.dropFields("rank")).alias("entries"))
     write_report(frames, path)
 
 
