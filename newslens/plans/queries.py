@@ -243,7 +243,7 @@ def s11_legacy_counts(spark, sf_dir):
 
 def s12_history_json(spark, sf_dir):
     hist = RP.word_history(_dated_lines(spark, sf_dir), "pub_ts")
-    return SK.parse_history(SK.history_objects(hist))
+    return SK.parse_history(SK.history_objects(hist), "batch_time")
 
 
 # Pages -----------------------------------------------------------------------------

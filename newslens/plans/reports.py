@@ -21,11 +21,15 @@ PAIR_ATTRS = ("section", "age")
 
 
 def similarity_pairs(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORDS,
-                     k: int = S.TOP_KEYWORDS, mode: str = "words",
+                     k: int = S.TOP_KEYWORDS, now: str | None = None, mode: str = "words",
                      salt_rows: int = SIM.SALT_ROWS, min_sim: float | None = None) -> DataFrame:
-    """J1 over a corpus: pairs with their similarity, and no other attribute."""
-    tk = SIM.term_table(articles, stopwords, k, mode)
-    return SIM.pair_similarity(tk, salt_rows=salt_rows, min_sim=min_sim)
+    """J1 over a corpus.  With `now`, pairs carry section and age for the
+    related-titles step; without, they carry nothing that votes don't need."""
+    if now is None:
+        tk = SIM.term_table(articles, stopwords, k, mode)
+        return SIM.pair_similarity(tk, salt_rows=salt_rows, min_sim=min_sim)
+    tk = SIM.term_table(R.with_age(articles, now), stopwords, k, mode, attrs=PAIR_ATTRS)
+    return SIM.pair_similarity(tk, same=("section",), carry=("age",), salt_rows=salt_rows, min_sim=min_sim)
 
 
 def related_pairs(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STOPWORDS,

@@ -6,6 +6,8 @@ job leaves no partial output visible); nothing is gathered on the driver.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -31,15 +33,16 @@ def window_keyword_report(block_kw: DataFrame, at: str) -> DataFrame:
 
 # S9 ---------------------------------------------------------------------------
 def append_new_articles(new: DataFrame, store_path: str, order_col: str = "page_id",
-                        batch_id: str = "0") -> DataFrame:
+                        batch_id: str | None = None) -> DataFrame:
     """Append articles whose canonical URL no other batch has stored; one row per URL.
 
-    The store is partitioned by `batch_id`.  A batch that is run again is compared
+    The store is partitioned by `batch_id` (a new one where none is given).  A batch that is run again is compared
     with the other batches only and replaces its own partition, so the result
     does not depend on how often it ran.  Returns what the batch has stored, read
     back from its partition.
     """
     spark = new.sparkSession
+    batch_id = batch_id or uuid.uuid4().hex
     fresh = PG.first_per_url(new, order_col)
     try:
         stored = spark.read.parquet(store_path).where(F.col("batch_id").cast("string") != F.lit(batch_id)).select("url")
@@ -104,7 +107,7 @@ HISTORY_JSON = (f"map<string, array<struct<`{S.HISTORY_KEYWORD_FIELD}`: string,
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """History JSON object(s) → (batch_time, rank, keyword, n); each file is one object.
+    """History JSON object(s) → (batch_minute, rank, keyword, n); each file is one object.
 
     Files are read in parallel.  An object of the original tool is one file's
     size; our own export (`export_history_json`) has one small object per frame.
@@ -112,27 +115,29 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return parse_history(spark.read.option("wholetext", True).text(path))
 
 
-def parse_history(objects: DataFrame) -> DataFrame:
-    """S12 over JSON objects already read (`value`).
+def parse_history(objects: DataFrame, key_col: str = "batch_minute") -> DataFrame:
+    """S12 over JSON objects already read (`value`); `key_col` names the frame's key.
 
     Keys in either `HH:mm` or the older `HH-mm` form are read and normalised to
     the former; `rank` is the position within the frame as written.
     """
     frames = objects.select(F.explode(F.from_json("value", HISTORY_JSON)).alias("k", "entries"))
     key = F.regexp_replace("k", r"^(\d{4}-\d{2}-\d{2} \d{2})-(\d{2})$", "$1:$2")
-    pos = frames.select(key.alias("batch_time"), F.posexplode("entries").alias("pos", "e"))
-    return pos.select("batch_time", (F.col("pos") + 1).cast("int").alias("rank"),
+    pos = frames.select(key.alias(key_col), F.posexplode("entries").alias("pos", "e"))
+    return pos.select(key_col, (F.col("pos") + 1).cast("int").alias("rank"),
                       F.col(f"e.{S.HISTORY_KEYWORD_FIELD}").alias("keyword"),
                       F.col(f"e.{S.HISTORY_COUNT_FIELD}").alias("n"))
 
 
 def history_frames(hist: DataFrame) -> DataFrame:
-    """Each frame ascending by count (ties: keyword) → (batch_time, pos, keyword, n).
+    """Each frame ascending by count (ties: keyword) → (key, pos, keyword, n).
 
-    Frames hold at most k rows each, so the window per frame is bounded.
+    The key is `batch_time`, or `batch_minute` of a history in the original
+    format.  Frames hold at most k rows each, so the window per frame is bounded.
     """
-    w = Window.partitionBy("batch_time").orderBy(F.col("n").asc(), F.col("keyword").asc())
-    return hist.select("batch_time", F.row_number().over(w).alias("pos"), "keyword", "n")
+    key = "batch_time" if "batch_time" in hist.columns else "batch_minute"
+    w = Window.partitionBy(key).orderBy(F.col("n").asc(), F.col("keyword").asc())
+    return hist.select(key, F.row_number().over(w).alias("pos"), "keyword", "n")
 
 
 def history_objects(hist: DataFrame) -> DataFrame:

@@ -243,3 +243,84 @@ def test_t1_cjk_bigrams(spark):
     got = _one(spark, lambda c: X.segment(c, "cjk_bigram"), "中国人民 ABC 好, x2")
     assert got == ["中国", "国人", "人民", "abc", "好", "x2"]
     assert _one(spark, lambda c: X.segment(c, "space"), "  A  b\tc ") == ["a", "b", "c"]
+
+
+# Verdict cases -----------------------------------------------------------------
+def test_paragraphs_keep_every_text_node(spark):
+    html = ("<article><p>one <b>two</b> three</p><p> </p><p class='x'>open &#39;&#x4e2d;&amp;lt;<p>last&nbsp;</article>"
+            "<article><p>second block</p></article>")
+    pages = spark.createDataFrame([(1, "http://h/1", html), (2, "http://h/2", "<article><p> <i></i></p></article>")], "page_id long, url string, html string")
+    got = PG.extract_articles(pages).collect()
+    assert [(r.page_id, r.content) for r in got] == [(1, ["one two three", "open '中&lt;", "last", "second block"])]
+
+
+def test_links_as_a_follower_reads_them(spark):
+    html = ("<a href='#top'><a href=\"?p=2\"><a href=../q.html><A HREF = './a/../b'><a href='mailto:a@b'><a href='//o.x/y/..'>"
+            "<a href='/r?a=1&amp;b#c'><link href='no'><a data-href='no'>")
+    for base, folder in (("http://h.x/en/1/p?z#f", "http://h.x/en/"), ("http://h.x", "http://h.x/")):
+        pages = spark.createDataFrame([(1, base, html)], "page_id long, url string, html string")
+        page = base.split("?")[0]
+        want = [page, page, folder + "q.html", ("http://h.x/en/1/" if "en" in base else folder) + "b", "http://o.x/", "http://h.x/r"]
+        assert [r.dst for r in PG.extract_links(pages).collect()] == want
+
+
+def test_s1_keeps_records_that_end_in_a_nested_object(spark, scratch):
+    from pyspark.sql import types as T
+    p = os.path.join(scratch, "nested.json")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write('{"a": 1, "b": {"c": "x"}}{"a": 2, "b": {"c": "y"}}{"a": 3, "b": {"c": "z"}}{"a": ')
+    schema = T.StructType.fromDDL("a int, b struct<c: string>")
+    got = SK_articles().read_concat_json(spark, p, schema, keep_rejects=True).orderBy("ingest_pos").collect()
+    assert [(r.a, r.b and r.b.c) for r in got] == [(1, "x"), (2, "y"), (3, "z"), (None, None)]
+    assert [r.rejected is not None for r in got] == [False, False, False, True]
+
+
+def SK_articles():
+    from newslens.sources import articles
+    return articles
+
+
+def test_s9_and_crawl_batch_return_what_they_store(spark, scratch):
+    from newslens.plans import reports as RP
+    page = lambda i: (i, f"http://h/{i}", f"<article><p>words {i}</p></article>")
+    make = lambda ids: spark.createDataFrame([page(i) for i in ids], "page_id long, url string, html string")
+    store, tokens = os.path.join(scratch, "store"), os.path.join(scratch, "tokens")
+    for at, ids, new in (("2024-01-01 00:00:00", (1, 2), [1, 2]), ("2024-01-01 00:01:00", (2, 3, 4), [3, 4]), ("2024-01-01 00:01:00", (2, 3, 4), [3, 4])):
+        got = RP.crawl_batch(make(ids), store, tokens, at, stopwords=(), count_repeats=False)
+        assert sorted(r.page_id for r in got.collect()) == new
+    # the third call was the second one again: nothing is stored or counted twice
+    assert spark.read.parquet(store).count() == 4
+    assert sorted(r.value for r in spark.read.text(tokens).collect()) == [f"words {i}" for i in (1, 2, 3, 4)]
+
+
+def test_long_stop_lists_in_the_array_path(spark):
+    words = [f"w{i}" for i in range(2340)]
+    arts = spark.createDataFrame([(1, "w5 keep w2339 Keep w7"), (2, "w1 w2"), (3, "")], "doc_id long, text string")
+    table = spark.createDataFrame([(w,) for w in words], "term string")
+    for stop in (words, table):
+        got = {r.doc_id: r.words for r in TX.token_sentence(arts, stop).collect()}
+        assert got == {1: ["keep", "keep"], 2: [], 3: []}
+    assert TX.token_sentence(arts, None).where("doc_id = 2").first().sentence == "w1 w2"
+
+
+def test_similarity_slices_both_sides_and_buckets_time(spark):
+    from newslens.operators import similarity as SIM
+    rows = [(i, f"t{i}", "news", f"common w{i % 3} x{i}", 10 * i) for i in range(40)]
+    arts = spark.createDataFrame(rows, "doc_id long, title string, section string, text string, age long")
+    tk = SIM.term_table(arts, (), 20, attrs=("section", "age"))
+    plain = {(r.lo, r.hi): round(r.sim, 9) for r in SIM.pair_similarity(tk).collect()}
+    split = {(r.lo, r.hi): round(r.sim, 9) for r in SIM.pair_similarity(tk, salt_rows=4).collect()}
+    assert split == plain and len(plain) == 780
+    near = {(r.lo, r.hi): round(r.sim, 9) for r in SIM.pair_similarity(tk, block=("section",), near=("age", 70), salt_rows=4).collect()}
+    assert near == {p: s for p, s in plain.items() if abs(p[0] - p[1]) <= 7}
+    plan = SIM.pair_similarity(tk, block=("section",), near=("age", 70))._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_nothing_runs_while_a_report_is_planned_and_kept_frames_stay_apart(spark):
+    from newslens.session import kept, reuse
+    outer = reuse(spark.range(5))
+    with kept():
+        inner = reuse(spark.range(6))
+    assert outer.storageLevel.useMemory and not inner.storageLevel.useMemory
+    outer.unpersist()
