@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of a few MB while a table is written, for the memory of tasks with long texts."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    before = {k: spark.conf.get(k) for k in most}
+    for k, v in most.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v.removesuffix("b"))
+
+
+def in_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`mapInArrow` whose tasks give memory back when they end, as Python workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            if _POWERS and len(_POWERS[0]) > 1 << 20:
+                _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 class Scratch:
     """Tables that cut the lineage: Parquet in the shared folder, so a lost executor costs only its running tasks."""
 
@@ -41,7 +73,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        with _small_batches(self.spark):
+            df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
@@ -59,9 +92,9 @@ def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
 
 
 # --- Arrow text -------------------------------------------------------------------------
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each slice holds about `most` bytes of text, and one row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+def text_slices(batch: pa.RecordBatch, *columns: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each slice holds about `most` bytes of text in these columns, and one row at least."""
+    sizes = sum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) for c in columns)
     at, total = 0, 0
     for i, n in enumerate(sizes):
         if i > at and total + n > most:

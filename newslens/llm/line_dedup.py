@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import FOLD, SPACES, Scratch, mix, powers, run_hashes, signed, small, spans, text_bytes, text_slices
+from newslens.llm.common import FOLD, SPACES, Scratch, in_arrow, mix, powers, run_hashes, signed, small, spans, text_bytes, text_slices
 
 NEAR_WORDS = 8
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,7 +106,7 @@ def find_lines(docs: DataFrame, near_words: int) -> DataFrame:
                     "tails": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.tile([False, True, False, True], (len(keep), 1))[keep])),
                 })
 
-    return docs.mapInArrow(lines, f"{ORDERED}, line long, halves array<long>, tails array<boolean>")
+    return in_arrow(docs, lines, f"{ORDERED}, line long, halves array<long>, tails array<boolean>")
 
 
 def variants(docs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def variants(docs: DataFrame) -> DataFrame:
                     "line": signed(own[owner]),
                 })
 
-    return docs.mapInArrow(emit, f"variant long, place int, {ORDERED}, line long")
+    return in_arrow(docs, emit, f"variant long, place int, {ORDERED}, line long")
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _verify(pairs: DataFrame) -> DataFrame:
             keep = [within_one_edit(folded_words(a), folded_words(b)) for a, b in zip(batch.column("text").to_pylist(), batch.column("other").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("line").filter(pa.array(keep, pa.bool_()))], names=["line"])
 
-    return pairs.select("line", "text", "other").mapInArrow(check, "line long")
+    return in_arrow(pairs.select("line", "text", "other"), check, "line long")
 
 
 def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, scratch: Scratch | None = None) -> DataFrame:
