@@ -1,22 +1,23 @@
 """Substring dedup across documents by paragraph MinHash (operator 8).
 
-A passage may stand anywhere inside other text, so texts are cut into paragraphs at
-places that their own words choose: a paragraph of `size` words begins at every word
-whose two-word hash is least among its 4 neighbours on either side (and, where one word is said
-over and over, every `size` words).  A repeated passage
-then yields the same paragraphs in every document that holds it.
-
-1. Each paragraph has MinHash values over its 5-word shingles, in bands of two; the
-   number of bands is the least that finds a pair of the asked similarity with the asked
+Paragraphs are the lines of `size` words or more.
+
+1. Each has MinHash values over its 5-word shingles, in bands of two; the number of
+   bands is the least that finds a pair of the asked similarity with the asked
    probability (`bands_for`).
 2. Paragraphs that collide in a band form a list; equal paragraphs are one entry, put
-   together in the tasks first, so a passage of a third of all documents is one entry.
+   together in the tasks first, so a paragraph of a third of all documents is one entry.
    Each entry is paired with the 4 before it; exact Jaccard verifies; components are
-   formed; and entries of longer lists that lie outside the list's largest component
-   are compared with all entries in other components.
-3. Paragraphs of a component (or equal paragraphs) are kept in the smallest document id
-   that holds one, and are removals in all others; overlapping removals of a document are
-   one span of words.
+   formed; and entries of longer lists that lie outside their group's largest component
+   are compared with the whole group, in blocks (`rest.rest_links`).
+3. A passage may also stand inside other text of its line.  So every text is cut once more
+   at places that its own words choose: a piece of `size` words begins at every word whose
+   two-word hash is least among its 4 neighbours on either side (and, where one word is
+   said over and over, every `size` words).  A repeated passage yields the same pieces in
+   every document that holds it; equal pieces (Jaccard 1) need no banding.
+4. Paragraphs of a component, and equal pieces, are kept in the smallest document id that
+   holds one, and are removals in all others; overlapping removals of a document are one
+   span of words.
 
 Repeats inside one document alone are not removed.  Texts of fewer than `size` words,
 nulls and empty texts have no paragraphs.  Rows without an id take no part.  Rows that
@@ -29,14 +30,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import STEP, Scratch, mix, rule, signed, small, text_slices, word_hashes
+from newslens.llm.common import FOLD, SPACES, STEP, Scratch, in_arrow, mix, powers, rule, run_hashes, signed, small, spans, text_bytes, text_slices
 from newslens.llm.graph import components
+from newslens.llm.rest import rest_links
 
 SIZE = 25
 SHINGLE = 5
@@ -59,41 +62,61 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def _paragraphs(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each paragraph its row, first word, hash, and the matrix of its shingle hashes."""
-    words, rows = word_hashes(column)
-    if not len(words):
-        none = np.zeros(0, np.int64)
-        return none, none, words, np.zeros((0, size - SHINGLE + 1), np.uint64)
-    of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    place = np.arange(len(words)) - rows[of]
-    left = rows[of + 1] - np.arange(len(words))  # words from here to the end
-    two, most = _grams(words, 2), np.uint64(2**64 - 1)
-    two[left == 1] = most
-    chosen = left >= size
-    for k in range(1, AROUND + 1):
-        chosen &= (place < k) | (two < np.roll(two, k))
-        chosen &= (left <= k) | (two <= np.roll(two, -k))
-    # a word said over and over has no least place: cut its run every `size` words
-    here = np.arange(len(words))
-    run = here - np.maximum.accumulate(np.where((place > 0) & (two == np.roll(two, 1)), 0, here))
-    chosen |= (left >= size) & (two == np.roll(two, -1)) & (run % size == 0)
-    at = np.flatnonzero(chosen)
-    shingles = _grams(words, SHINGLE)[at[:, None] + np.arange(size - SHINGLE + 1)]
-    own = mix((shingles * (rule(size, 97)[: shingles.shape[1]])).sum(axis=1, dtype=np.uint64))
-    return of[at], place[at], own, shingles
+class Units:
+    """Of some texts: pieces and paragraphs with row, first word, number of words and hash."""
+
+    def __init__(self, column: pa.Array, size: int):
+        data, offsets = text_bytes(column)
+        data = FOLD[data]
+        starts, ends, rows = spans(SPACES[data], offsets)
+        words = run_hashes(data, starts, ends)
+        n = len(words)
+        of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+        here = np.arange(n)
+        place, left = here - rows[of], rows[of + 1] - here
+        # paragraphs: the words of a line
+        line = np.cumsum(np.append(0, data == 10))[starts]
+        first = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (of[1:] != of[:-1]))) if n else here
+        length = np.diff(np.append(first, n))
+        self.first, self.length = first[length >= size], length[length >= size]
+        self.shingles = _grams(words, SHINGLE) if n else words
+        up, down = powers(n + 1)
+        sums = np.append(np.uint64(0), np.cumsum(words * up[:n], dtype=np.uint64))
+        whole = lambda at, size, kind: mix((sums[at + size] - sums[at]) * down[at] + np.uint64(kind) + np.asarray(size, np.uint64) * STEP[1])
+        self.line_hash, self.line_row = whole(self.first, self.length, 1), of[self.first]
+        # pieces
+        chosen = left >= size
+        if n:
+            two = _grams(words, 2)
+            two[left == 1] = np.uint64(2**64 - 1)
+            for k in range(1, AROUND + 1):
+                chosen &= (place < k) | (two < np.roll(two, k))
+                chosen &= (left <= k) | (two <= np.roll(two, -k))
+            # a word said over and over has no least place: cut its run every `size` words
+            run = here - np.maximum.accumulate(np.where((place > 0) & (two == np.roll(two, 1)), 0, here))
+            chosen |= (left >= size) & (two == np.roll(two, -1)) & (run % size == 0)
+        at = np.flatnonzero(chosen)
+        self.row = np.concatenate([self.line_row, of[at]])
+        self.at = np.concatenate([place[self.first], place[at]])
+        self.size = np.concatenate([self.length, np.full(len(at), size)])
+        self.hash = np.concatenate([self.line_hash, whole(at, size, 0)])
+
+    def line_shingles(self, k: int) -> np.ndarray:
+        return self.shingles[self.first[k] : self.first[k] + self.length[k] - SHINGLE + 1]
 
 
 def occurrences(docs: DataFrame, size: int) -> DataFrame:
-    """para (hash), doc, at (first word) of every paragraph."""
+    """para (hash), doc, at (first word), words of every paragraph and piece."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                row, at, own, _ = _paragraphs(part.column("text"), size)
-                yield pa.RecordBatch.from_pydict({"para": signed(own), "doc": part.column("doc").take(pa.array(row)), "at": pa.array(at.astype(np.int32))})
+                x = Units(part.column("text"), size)
+                yield pa.RecordBatch.from_pydict({
+                    "para": signed(x.hash), "doc": part.column("doc").take(pa.array(x.row)), "at": pa.array(x.at.astype(np.int32)), "words": pa.array(x.size.astype(np.int32)),
+                })
 
-    return docs.mapInArrow(emit, "para long, doc long, at int")
+    return in_arrow(docs, emit, "para long, doc long, at int, words int")
 
 
 def band_rows(docs: DataFrame, size: int, bands: int) -> DataFrame:
@@ -102,31 +125,31 @@ def band_rows(docs: DataFrame, size: int, bands: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 4 << 20):
-                _, _, own, shingles = _paragraphs(part.column("text"), size)
-                own, first = np.unique(own, return_index=True)
-                shingles = shingles[first]
-                keys = []
-                for b in range(bands):
-                    low = [(shingles * factor[b * ROWS + j]).min(axis=1, initial=np.uint64(2**64 - 1)) for j in range(ROWS)]
-                    keys.append(mix(sum((v * STEP[j] for j, v in enumerate(low)), start=np.uint64(b))))
-                yield pa.RecordBatch.from_pydict({"key": signed(np.concatenate(keys)), "para": signed(np.tile(own, bands))})
+            for part in text_slices(batch, "text", most=4 << 20):
+                x = Units(part.column("text"), size)
+                own, first = np.unique(x.line_hash, return_index=True)
+                keys = np.zeros((len(own), bands), np.uint64)
+                for k, f in enumerate(first.tolist()):
+                    low = (x.line_shingles(f)[:, None] * factor).min(axis=0).reshape(bands, ROWS)
+                    keys[k] = (low * STEP[:ROWS]).sum(axis=1, dtype=np.uint64)
+                keys = mix(keys + np.arange(bands, dtype=np.uint64))
+                yield pa.RecordBatch.from_pydict({"key": signed(keys.T.ravel()), "para": signed(np.tile(own, bands))})
 
-    return docs.mapInArrow(emit, "key long, para long")
+    return in_arrow(docs, emit, "key long, para long")
 
 
 def _shingles(docs: DataFrame, size: int) -> DataFrame:
-    """para, shingles (sorted distinct) of the places in `wanted`."""
+    """para, shingles (sorted distinct) of the paragraphs in `wanted`."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                row, _, own, shingles = _paragraphs(part.column("text"), size)
-                wanted = [np.array(w, np.int64).view(np.uint64) for w in part.column("wanted").to_pylist()]
-                keep = [k for k, r in enumerate(row.tolist()) if own[k] in wanted[r]]
-                yield pa.RecordBatch.from_pydict({"para": signed(own[keep]), "shingles": pa.array([np.unique(shingles[k]).tobytes() for k in keep], pa.binary())})
+                x = Units(part.column("text"), size)
+                wanted = [set(w) for w in part.column("wanted").to_pylist()]
+                found = {h: k for k, (r, h) in enumerate(zip(x.line_row.tolist(), x.line_hash.view(np.int64).tolist(), strict=True)) if h in wanted[r]}
+                yield pa.RecordBatch.from_pydict({"para": pa.array(list(found), pa.int64()), "shingles": pa.array([np.unique(x.line_shingles(k)).tobytes() for k in found.values()], pa.binary())})
 
-    return docs.mapInArrow(emit, "para long, shingles binary").groupBy("para").agg(F.first("shingles").alias("shingles"))
+    return in_arrow(docs, emit, "para long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -139,7 +162,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda end, name: sets.select(F.col("para").alias(end), F.col("shingles").alias(name))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return in_arrow(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y"), verify, "a long, b long")
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -153,10 +176,10 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, similarity: float = 0.8
     by = Window.partitionBy("key")
     # one shuffle by key serves the distinct, the count and the order
     lists = band_rows(rows, size, bands_for(similarity, recall)).repartition("key").groupBy("key", "para").agg(F.lit(1).alias("one"))
-    lists = lists.withColumn("length", F.count("*").over(by)).where("length > 1")
+    lists = scratch.table(lists.select("key", "para", F.count("*").over(by).alias("length")).where("length > 1"), "lists")
     member = by.orderBy("para")
-    lists = scratch.table(lists.withColumn("before", F.array(*(F.lag("para", i).over(member) for i in range(1, BEFORE + 1)))).select("key", "para", "length", F.array_compact("before").alias("before")), "lists")
-    pairs = scratch.table(lists.select("para", F.explode("before").alias("o")).select(*_pair(F.col("para"), F.col("o"))).distinct(), "pairs")
+    before = lists.withColumn("before", F.array_compact(F.array(*(F.lag("para", i).over(member) for i in range(1, BEFORE + 1)))))
+    pairs = scratch.table(before.select("para", F.explode("before").alias("o")).select(*_pair(F.col("para"), F.col("o"))).distinct(), "pairs")
     asked = lists.select("para").distinct().withColumn("asked", F.lit(True))
     # of equal paragraphs: the first place, and whether they stand in several documents
     first = occurrences(rows, size).groupBy("para").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"))
@@ -167,22 +190,22 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, similarity: float = 0.8
     links = scratch.table(_verified(pairs, sets, similarity), "links")
     found = components(links, scratch)
     # the rest of longer lists
-    rest = lists.where(F.col("length") > BEFORE + 1).select("key", F.col("para").alias("node"))
-    rest = scratch.table(rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
-    main = rest.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    minor = rest.join(main, "key").where("component <> main").select("key", F.col("node").alias("o"), F.col("component").alias("other"))
-    more = minor.join(rest, "key").where("other <> component").select(*_pair(F.col("node"), F.col("o"))).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = scratch.table(links.unionByName(_verified(more, sets, similarity)), "links")
-    found = components(links, scratch)
+    rest = scratch.table(lists.where(F.col("length") > BEFORE + 1).select("key", F.col("para").alias("node")), "rest")
+    if not rest.isEmpty():
+        values = sets.select(F.col("para").alias("node"), F.col("shingles").alias("values"))
+        links = scratch.table(links.unionByName(rest_links(rest, found, values, Fraction(similarity).limit_denominator(1000), scratch)), "links")
+        found = components(links, scratch)
     # the smallest document of each component keeps the passage
     marked = first.join(found.select(F.col("node").alias("para"), "component"), "para", "left").where("several or component is not null").withColumn("component", F.coalesce("component", "para"))
     keeper = marked.groupBy("component").agg(F.min("doc").alias("kept_in"))
     keeper = scratch.table(marked.join(keeper, "component").select("para", "kept_in"), "keeper")
-    gone = occurrences(rows, size).join(small(keeper, keeper.count()), "para").where("doc <> kept_in").select("doc", "at", "kept_in").distinct()
-    along = Window.partitionBy("doc").orderBy("at", "kept_in")
-    gone = gone.withColumn("new", (F.col("at") > F.lag("at").over(along) + size).cast("int")).withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = gone.groupBy("doc", "span").agg(F.min("at").alias("start"), (F.max("at") + size).alias("end"), F.min("kept_in").alias("kept_in"))
-    return spans.select(F.col("doc").alias(id_col), "start", "end", "kept_in")
+    gone = occurrences(rows, size).join(small(keeper, keeper.count()), "para").where("doc <> kept_in")
+    gone = gone.groupBy("doc", "at").agg((F.col("at") + F.max("words")).alias("end"), F.min("kept_in").alias("kept_in"))
+    along = Window.partitionBy("doc").orderBy("at")
+    gone = gone.withColumn("new", (F.col("at") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
+    gone = gone.withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = gone.groupBy("doc", "span").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.min("kept_in").alias("kept_in"))
+    return cuts.select(F.col("doc").alias(id_col), "start", "end", "kept_in")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
