@@ -59,7 +59,7 @@ def clean_lines(docs, near_words):
     for d, i, _, w in order:
         if not w:
             continue
-        if any(v == w or len(v) >= near_words and len(w) >= near_words and one_edit(v, w) for v in seen):
+        if any(v == w or len(v) >= near_words and len(w) >= near_words and abs(len(v) - len(w)) <= 1 and len(set(v) ^ set(w)) <= 2 and one_edit(v, w) for v in seen):
             gone.add((d, i))
         seen.append(w)
     for d, text in docs.items():
