@@ -14,17 +14,20 @@ with the logistic loss, so its sigmoid is the score.  Labels of 0 are not used.
 Features are read off whole texts in numpy: byte frequencies, the last bytes of words,
 and rates of repeated words, repeated lines and case.  The network is fitted on the
 driver from a bounded sample, `sample_rows` positives and as many unlabelled texts,
-taken by hash of the id; scoring covers every row in Arrow batches.
+taken by hash of the id from each side by itself, so that neither side's sample shrinks
+as the other grows; scoring covers every row in Arrow batches.
 
 Nulls and empty texts get the score of the empty text.  Documents with conflicting
-labels are no positives.  Ties and repeated rows score alike.  Without positives or
-unlabelled texts there is nothing to learn from and every score is 1 (all are kept).
+labels are no positives.  Ties and repeated rows score alike.  With fewer than
+`LEAST` positives or unlabelled texts there is nothing to learn from: `train` warns and
+gives no network, and every score is 1 (all are kept).
 An empty table gives no rows.  Other columns pass through; a column that has the name
 of the score column is replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,13 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslens.llm.common import SPACES, run_hashes, spans, text_bytes, text_slices
+from newslens.llm.common import SPACES, Scratch, run_hashes, spans, text_bytes, text_slices
 
 ENDS = 128
 RATES = 8
 FEATURES = 256 + ENDS + RATES
 HIDDEN = 24
 SAMPLE_ROWS = 6_000
+LEAST = 10
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -146,11 +150,15 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
     marked = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("least"))
     if learnable is not None:
         marked = marked.withColumn("least", F.when(learnable, F.col("least")))
-    share = max(1, docs.count() // (4 * sample_rows))
     # who is sampled is settled on ids alone; texts are read for the chosen rows only
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit(1)).alias("key")).where(F.pmod("key", F.lit(share)) == 0).distinct()
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit(1)).alias("key")).distinct()
     sides = ids.join(marked.withColumn("labelled", F.lit(1)), "id", "left").where("labelled is null or least = 1").select("id", "key", F.col("labelled").isNotNull().alias("positive"))
-    chosen = [sides.where(side).orderBy("key").limit(sample_rows) for side in (F.col("positive"), ~F.col("positive"))]
+    sides = Scratch(docs.sparkSession, "quality").table(sides, "sides")
+    sizes = {r.positive: r["count"] for r in sides.groupBy("positive").count().collect()}
+    chosen = []
+    for side, positive in ((F.col("positive"), True), (~F.col("positive"), False)):
+        share = max(1, sizes.get(positive, 0) // (4 * sample_rows))  # leaves four times the sample, for a small sort
+        chosen.append(sides.where(side & (F.pmod("key", F.lit(share)) == 0)).orderBy("key").limit(sample_rows))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")  # 2 * sample_rows rows at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
     found = rows.select("text", "positive", "key").mapInArrow(extract, "positive boolean, key long, x binary").groupBy("key", "positive").agg(F.min("x").alias("x")).collect()
     found.sort(key=lambda r: (r.key, r.x))
     two = [np.frombuffer(b"".join(bytes(r.x) for r in found if r.positive == side), "<f4").reshape(-1, FEATURES) for side in (True, False)]
-    if min(map(len, two)) < 10:
+    if min(map(len, two)) < LEAST:
+        warnings.warn(f"quality: {len(two[0])} positives and {len(two[1])} unlabelled texts are too few to learn from, every score will be 1", stacklevel=2)
         return None
     p, u = two
     return Network.fresh(np.concatenate([p, u]), 1).fit(p, u, estimate_prior(p, u))
