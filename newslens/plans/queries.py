@@ -302,7 +302,7 @@ def p15_link_forms(spark, sf_dir):
 
 def p16_urls_in_text(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    text = F.concat(F.lit("see "), F.col("url"), F.lit(" or (http://x.org/%41?q=ü) \""), F.col("url"), F.lit('/more" https:/no '), F.substring("html", 1, 300))
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" or (http://x.org/%41?q=ü) \""), F.col("url"), F.lit('/more" https:/no '), F.col("html"))
     return pages.select("page_id", F.explode(F.array_distinct(X.urls_in_text(text))).alias("url"))
 
 
