@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc  # a fresh Python worker has only what is imported here
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
 # --- Arrow text -------------------------------------------------------------------------
 def text_slices(batch: pa.RecordBatch, *columns: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about `most` bytes of text in these columns, and one row at least."""
-    sizes = sum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) for c in columns)
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) for c in columns)
     at, total = 0, 0
     for i, n in enumerate(sizes):
         if i > at and total + n > most:
@@ -107,7 +108,7 @@ def text_slices(batch: pa.RecordBatch, *columns: str, most: int = 1 << 20) -> It
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(column) or offsets[-1] == offsets[0]:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
