@@ -45,3 +45,21 @@ def test_the_optional_parts_may_be_missing(tmp_path):
             shutil.copy(source, tmp_path / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'y1_article_keywords' in q and 'pipeline' not in q; assert 'pipeline' not in e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_a_missing_dependency_of_the_optional_parts_leaves_the_other_queries(tmp_path):
+    import subprocess
+    import sys
+
+    code = """
+import sys, warnings
+sys.modules["public_tokenizers"] = None
+import __spark_entry__ as e
+with warnings.catch_warnings(record=True) as said:
+    warnings.simplefilter("always")
+    q = e.queries()
+assert "y1_article_keywords" in q and "pipeline" not in q
+import importlib.util
+assert not importlib.util.find_spec("newslens.llm") or any("left out" in str(w.message) for w in said)
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={**os.environ, "PYTHONPATH": ROOT})
