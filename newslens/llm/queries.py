@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import decontaminate, line_dedup, near_dedup, quality, secret_scan, sharding, sp_codec, substring, topk, warc
+from newslens.llm import decontaminate, filter_audit, line_dedup, near_dedup, quality, secret_scan, sharding, sp_codec, substring, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_near_dedup": op2_near_dedup,
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLE: dict[str, str] = {
     "op2_near_dedup": r"""
@@ -138,4 +143,34 @@ ORACLE: dict[str, str] = {
         select page_id, n payload_bytes, payload_digest, case when page_id = latest then 'response' else 'revisit' end record_type,
                case when page_id <> latest then latest end refers_to
         from d join m using (x)""",
+    "op12_filter_audit": r"""
+        with t as (
+          select doc_id, coalesce(source, '') part, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+        y as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by doc_id),
+        m as (
+          select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+            len(ws) < 50 A, 100 * len(list_distinct(ws)) < 65 * len(ws) B, 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 5 * length(x) C,
+            regexp_matches(x, '[#$%&*|]') D, coalesce(t.doc_id > min(t.doc_id) over (partition by x), false) E
+          from t left join y on t.doc_id = y.doc_id),
+        c as (
+          select part, list_filter([case when A then 'A' end, case when B then 'B' end, case when C then 'C' end, case when D then 'D' end, case when E then 'E' end], lambda f: f is not null) fails,
+            count(*) n, sum(good) good, sum(toxic) toxic from m group by all),
+        l as (select unnest(['A', 'B', 'C', 'D', 'E']) f),
+        o as (
+          select a.f || b.f || c.f || d.f || e.f filter_order from l a, l b, l c, l d, l e
+          where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        s as (
+          select part, filter_order, step, substr(filter_order, step, 1) f, fails, n, good, toxic,
+            len(list_filter(fails, lambda x: strpos(filter_order, x) < step)) earlier
+          from c, o, (select unnest(range(1, 6)) step)),
+        r as (
+          select part, filter_order, step::int step, f,
+            sum(n) filter (where earlier = 0 and not list_contains(fails, f)) kept, sum(n) filter (where earlier = 0 and list_contains(fails, f)) removed,
+            sum(n) filter (where earlier > 0 and list_contains(fails, f)) redundant, sum(n) filter (where fails = [f]) unique_fails,
+            sum(good) filter (where earlier = 0 and list_contains(fails, f)) good_lost, sum(toxic) filter (where earlier = 0 and list_contains(fails, f)) toxic_lost
+          from s group by all)
+        select part, filter_order, step, coalesce(kept, 0)::bigint kept, coalesce(removed, 0)::bigint removed, coalesce(redundant, 0)::bigint redundant,
+          coalesce(unique_fails, 0)::bigint unique_fails, coalesce(good_lost, 0)::bigint good_lost, coalesce(toxic_lost, 0)::bigint toxic_lost,
+          sum(coalesce(removed, 0)) over (partition by part, f)::bigint shapley
+        from r""",
 }
