@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import decontaminate, filter_audit, line_dedup, near_dedup, quality, secret_scan, sharding, sp_codec, substring, topk, warc
+from newslens.llm import decontaminate, divergence, filter_audit, line_dedup, near_dedup, quality, secret_scan, sharding, sp_codec, substring, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,
 }
 ORACLE: dict[str, str] = {
@@ -143,6 +148,28 @@ ORACLE: dict[str, str] = {
         select page_id, n payload_bytes, payload_digest, case when page_id = latest then 'response' else 'revisit' end record_type,
                case when page_id <> latest then latest end refers_to
         from d join m using (x)""",
+    "op11_source_divergence": r"""
+        with d as (
+          select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x from documents),
+        w as (select id, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+        c as (select lang, source, term, count(*)::hugeint n from w group by all),
+        k as (select lang, term from (select distinct lang, term, id from w) group by lang, term having count(*) >= 30),
+        g as (select distinct lang, source from d),
+        v as (select lang, count(*)::hugeint v from k group by lang),
+        t as (select g.lang, g.source, k.term, coalesce(c.n, 0) n from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        p as (select lang, source, term, n, 1 + 1000000000 * (n + 5) // (sum(n) over (partition by lang, source) + 5 * v) p from t join v using (lang)),
+        q as (
+          select lang, term, 1 + 1000000000 * (n + 5) // (sum(n) over (partition by lang) + 5 * v) q
+          from (select lang, term, sum(n)::hugeint n from t group by lang, term) join v using (lang)),
+        f as (
+          select a.lang, a.source, 'pair' part, b.source item, sum(abs(a.p - b.p)) value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+          union all
+          select a.lang, a.source, 'pair', b.source, 0 from g a join g b on a.lang = b.lang and a.source <> b.source where a.lang not in (select lang from v)
+          union all
+          select lang, source, 'term', term, p - q from p join q using (lang, term) where n > 0 and p > q),
+        r as (select *, row_number() over (partition by lang, source, part order by value desc, item) r from f)
+        select lang, source, part, item, value::bigint "value", r::int "rank" from r where part = 'pair' or r <= 50""",
     "op12_filter_audit": r"""
         with t as (
           select doc_id, coalesce(source, '') part, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
