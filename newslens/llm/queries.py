@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import decontaminate, divergence, filter_audit, line_dedup, near_dedup, quality, secret_scan, sharding, sp_codec, substring, topk, warc
+from newslens.llm import decontaminate, divergence, filter_audit, line_dedup, near_dedup, quality, secret_scan, sharding, sp_codec, substring, token_files, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_near_dedup": op2_near_dedup,
@@ -88,6 +92,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,
+    "op13_token_files": op13_token_files,
 }
 ORACLE: dict[str, str] = {
     "op2_near_dedup": r"""
