@@ -1,8 +1,8 @@
 """Source divergence audit by in-mapper stripes (operator 11).
 
 A task folds whole documents into stripes in memory: (lang, term) -> (document frequency,
-count in each source).  When the stripes pass `SPILL_CELLS` counts they are spilled into
-the shuffle as rows and a new fold begins.  Stripes of one key then meet sorted and are
+count in each source), terms by hash, counts in arrays.  When the stripes pass `SPILL_CELLS`
+counts they are spilled into the shuffle as rows and a new fold begins.  Stripes of one key then meet sorted and are
 merged as they stream by, one stripe in memory at a time; a key comes in at most once per
 spill, so no term, however frequent, brings a task more than one row per spill of the fold.
 The stripe of the empty term, which no text holds, counts the documents of each source,
@@ -40,124 +40,139 @@ LEAST_DOCS = 30
 TOP_TERMS = 50
 SCALE = 1_000_000_000
 SMOOTH = 5
-SPILL_CELLS = 400_000
+SPILL_CELLS = 1_000_000
+ROWS = 4096
 SLICE_BYTES = 4 << 20
-BLOCK_TERMS = 64
+BLOCK_TERMS = 512
 TILE = 128
 
 #: Bytes of a term: letters, and all of a character beyond ASCII.
 IN_TERM = np.zeros(256, bool)
 IN_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-Stripes = dict[tuple[str, str], list]
-
 STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
 
 
+def stripe_rows(langs: pa.Array, terms: pa.Array, df: np.ndarray, ends: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Stripes as rows; `ends`: where each one's sources and counts end."""
+    offsets = pa.array(np.append(0, ends), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, sources.cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays([langs.cast(pa.string()), terms.cast(pa.string()), pa.array(df, pa.int64()), *lists], names=["lang", "term", "df", "sources", "counts"])
+
+
 # --- the fold in a task ------------------------------------------------------------------
-def fold(stripes: Stripes, texts: pa.Array, langs: list[str], sources: list[str]) -> int:
-    """Add whole documents to the stripes; the number of new counts in them."""
-    data, offsets = text_bytes(texts)
-    data = FOLD[data]
-    starts, ends, rows = spans(~IN_TERM[data], offsets)
-    codes, terms = distinct_words(data, starts, ends)
-    # documents of one (lang, source) share a group
-    groups: dict[tuple[str, str], int] = {}
-    group_of = np.array([groups.setdefault(g, len(groups)) for g in zip(langs, sources, strict=True)], np.int64)
-    grown = 0
-    for (lang, source), n in zip(groups, np.bincount(group_of, minlength=len(groups)).tolist(), strict=True):
-        grown += _add(stripes, lang, "", n, source, n)
-    if not len(codes):
-        return grown
-    width = len(terms)
-    row = np.repeat(np.arange(len(texts)), np.diff(rows))
-    held, n = np.unique(row * width + codes, return_counts=True)  # (document, term) and its occurrences
-    cell = group_of[held // width] * width + held % width
-    order = np.argsort(cell, kind="stable")
-    first = np.flatnonzero(np.diff(cell[order], prepend=-1))
-    counts = np.add.reduceat(n[order], first)
-    docs = np.diff(np.append(first, len(cell)))
-    names = list(groups)
-    words = terms.to_pylist()
-    for c, d, k in zip(cell[order][first].tolist(), docs.tolist(), counts.tolist(), strict=True):
-        lang, source = names[c // width]
-        grown += _add(stripes, lang, words[c % width], d, source, k)
-    return grown
-
-
-def _add(stripes: Stripes, lang: str, term: str, df: int, source: str, count: int) -> int:
-    stripe = stripes.get((lang, term))
-    if stripe is None:
-        stripes[lang, term] = [df, {source: count}]
-        return 1
-    stripe[0] += df
-    by = stripe[1]
-    before = by.get(source)
-    by[source] = count if before is None else before + count
-    return before is None
-
-
-def _rows(stripes: Stripes) -> Iterator[pa.RecordBatch]:
-    """The stripes as rows, in batches of about 64,000 counts."""
-    columns: list[list] = [[], [], [], [], []]
-    cells = 0
-    for (lang, term), (df, by) in stripes.items():
-        for column, value in zip(columns, (lang, term, df, list(by), list(by.values())), strict=True):
-            column.append(value)
-        cells += len(by)
-        if cells >= 1 << 16:
-            yield _batch(columns)
-            columns, cells = [[], [], [], [], []], 0
-    if columns[0]:
-        yield _batch(columns)
-
-
-def _batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "term", "df", "sources", "counts"])
+class Stripes:
+    """Hash stripes of whole documents: terms and (lang, source) groups by number, and per cell (term, group) the documents and the occurrences."""
+
+    def __init__(self):
+        self.term: dict[str, int] = {"": 0}
+        self.group: dict[tuple[str, str], int] = {}
+        self.cells: list[np.ndarray] = []
+        self.size = 0
+
+    def _add(self, term: np.ndarray, group: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> None:
+        self.cells.append(np.stack([term, group, docs, counts]))
+        self.size += len(term)
+
+    def fold(self, texts: pa.Array, langs: list[str], sources: list[str]) -> None:
+        """Add whole documents."""
+        data, offsets = text_bytes(texts)
+        data = FOLD[data]
+        starts, ends, rows = spans(~IN_TERM[data], offsets)
+        codes, terms = distinct_words(data, starts, ends)
+        group = self.group
+        group_of = np.array([group.setdefault(g, len(group)) for g in zip(langs, sources, strict=True)], np.int64)
+        here, n = np.unique(group_of, return_counts=True)
+        self._add(np.zeros(len(here), np.int64), here, n, n)
+        if not len(codes):
+            return
+        width = len(terms)
+        row = np.repeat(np.arange(len(texts)), np.diff(rows))
+        held, n = np.unique(row * width + codes, return_counts=True)  # (document, term) and its occurrences
+        cell = group_of[held // width] * width + held % width
+        order = np.argsort(cell, kind="stable")
+        first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        number = self.term
+        own = np.fromiter((number.setdefault(t, len(number)) for t in terms.to_pylist()), np.int64, width)
+        cell = cell[order][first]
+        self._add(own[cell % width], cell // width, np.diff(np.append(first, len(held))), np.add.reduceat(n[order], first))
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        """The stripes as rows, and none are left."""
+        if self.size:
+            term, group, docs, counts = np.concatenate(self.cells, axis=1)
+            groups = sorted(self.group)
+            place = np.empty(len(groups), np.int64)  # of each group, by lang and source
+            place[[self.group[g] for g in groups]] = np.arange(len(groups))
+            langs = pa.array([g[0] for g in groups], pa.string())
+            lang_of = np.cumsum([i > 0 and groups[i][0] != groups[i - 1][0] for i in range(len(groups))])
+            cell = term * len(groups) + place[group]
+            order = np.argsort(cell, kind="stable")
+            first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+            docs, counts, cell = np.add.reduceat(docs[order], first), np.add.reduceat(counts[order], first), cell[order][first]
+            term, at = cell // len(groups), cell % len(groups)
+            stripe = np.flatnonzero(np.diff(term * len(groups) + lang_of[at], prepend=-1))
+            batch = stripe_rows(
+                langs.take(pa.array(at[stripe])), pa.array(list(self.term), pa.large_string()).take(pa.array(term[stripe])), np.add.reduceat(docs, stripe),
+                np.append(stripe[1:], len(cell)), pa.array([g[1] for g in groups], pa.string()).take(pa.array(at)), counts,
+            )
+            yield from (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS))
+        self.__init__()
 
 
 def folded(docs: DataFrame, spill_cells: int = SPILL_CELLS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Partial stripes: what each task's folds have spilled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: Stripes = {}
-        cells = 0
+        stripes = Stripes()
         for batch in batches:
             for part in text_slices(batch, "text", most=SLICE_BYTES):
-                cells += fold(stripes, part.column("text"), part.column("lang").to_pylist(), part.column("source").to_pylist())
-                if cells >= spill_cells:
-                    yield from _rows(stripes)
-                    stripes, cells = {}, 0
-        yield from _rows(stripes)
+                stripes.fold(part.column("text"), part.column("lang").to_pylist(), part.column("source").to_pylist())
+                if stripes.size >= spill_cells:
+                    yield from stripes.spill()
+        yield from stripes.spill()
 
     empty = lambda c, name: F.coalesce(F.col(c), F.lit("")).alias(name)
     return in_arrow(docs.select(empty(text_col, "text"), empty(lang_col, "lang"), empty(source_col, "source")), run, STRIPE)
 
 
+def merge(rows: pa.RecordBatch, least_docs: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Merged stripes of rows sorted by key: those of the kept keys, and the last key's, which may go on."""
+    lang, term = rows.column("lang"), rows.column("term")
+    n = rows.num_rows
+    new = np.ones(n, bool)
+    new[1:] = np.asarray(pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])))
+    first = np.flatnonzero(new)
+    df = np.add.reduceat(rows.column("df").to_numpy(), first)
+    wanted = (df >= least_docs) | np.asarray(pc.equal(term.take(pa.array(first)), ""))
+    wanted[-1] = True
+    key = np.cumsum(new) - 1
+    rows = rows.filter(pa.array(wanted[key]))
+    key = (np.cumsum(wanted) - 1)[key[wanted[key]]]
+    sources, counts = rows.column("sources"), rows.column("counts")
+    named = sources.flatten().dictionary_encode()
+    names = len(named.dictionary)
+    cell = np.repeat(key, pc.list_value_length(sources).to_numpy()) * names + named.indices.to_numpy()
+    order = np.argsort(cell, kind="stable")
+    at = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    total, cell = np.add.reduceat(counts.flatten().to_numpy()[order], at), cell[order][at]
+    heads = pa.array(first[wanted])
+    whole = stripe_rows(lang.take(heads), term.take(heads), df[wanted], np.searchsorted(cell // names, np.arange(len(heads)), side="right"), named.dictionary.take(pa.array(cell % names)), total)
+    return whole.slice(0, len(heads) - 1), whole.slice(len(heads) - 1)
+
+
 def merged(partial: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """One stripe per kept (lang, term), and the empty term's stripe of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, df, by, done = None, 0, {}, {}
-
-        def close() -> None:
-            if key is not None and (df >= least_docs or not key[1]):
-                done[key] = [df, by]
-
+        last = None
         for batch in batches:
-            for lang, term, n, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, term) != key:
-                    close()
-                    key, df, by = (lang, term), 0, {}
-                    if len(done) >= 4096:
-                        yield from _rows(done)
-                        done = {}
-                df += n
-                for s, k in zip(sources, counts, strict=True):
-                    by[s] = by.get(s, 0) + k
-        close()
-        yield from _rows(done)
+            if batch.num_rows:
+                rows = pa.concat_batches([last, batch.cast(last.schema)]) if last is not None else batch
+                done, last = merge(rows, least_docs)
+                yield done
+        if last is not None and (last.column("df")[0].as_py() >= least_docs or last.column("term")[0].as_py() == ""):
+            yield last
 
     return in_arrow(partial.repartition("lang", "term").sortWithinPartitions("lang", "term"), run, STRIPE)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark import StorageLevel
@@ -80,17 +81,18 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a reused intermediate in reliable storage.
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path for files that all executors share: below ``spark.checkpoint.dir``.
 
-    A reliable checkpoint survives executor loss without recomputing the
-    upstream plan.  Without a shared checkpoint folder we fall back to a
-    MEMORY_AND_DISK persist, which Spark recomputes from lineage for any lost
-    block (never a local checkpoint, whose blocks die with the executor).
+    Only a local-mode session without that setting gets a folder of its own.
     """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="newslens-work-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:

@@ -17,27 +17,74 @@ from pyspark.sql import types as T
 
 from newslens import schema as S
 from newslens.functions import exprs as X
-from newslens.session import ensure_parallel, table_path
+from newslens.session import ensure_parallel, reuse, table_path
 
 CORRUPT = "_corrupt_record"
 
 
 # S1 -------------------------------------------------------------------------
 def read_concat_json(spark: SparkSession, path: str, schema=S.ARTICLE_SCHEMA,
-                     keep_order: bool = True, keep_rejects: bool = False) -> DataFrame:
+                     keep_order: bool = True, keep_rejects: bool = False,
+                     quoted: bool = False) -> DataFrame:
     """Read objects glued together as `{...}{...}`; unparsable pieces are dropped.
 
     Splitting is done by the text source itself (`lineSep="}{"`), so large
     files are read in parallel splits; `parse_pieces` restores and parses them.
     With `keep_order` an `ingest_pos` column numbers the records in file order
-    (see `with_file_order`).
+    (see `with_file_order`).  By default every `}{` cuts, also inside a string
+    (Q6); with `quoted` only those outside of strings do (`join_quoted`).
     """
     raw = spark.read.option("lineSep", "}{").option("wholetext", False).text(path)
-    if keep_order:
+    if quoted:
+        raw = join_quoted(with_file_order(raw, keep_split=True))
+    elif keep_order:
         raw = with_file_order(raw)
     return parse_pieces(raw, schema, keep=("ingest_pos",) if keep_order else (), keep_rejects=keep_rejects)
 
 
+def join_quoted(pieces: DataFrame) -> DataFrame:
+    """Pieces (`value`, `ingest_pos`, `_split`) of files cut at every `}{` → (value, ingest_pos) of the
+    records, cut only where `}{` stands outside of a string.
+
+    The automaton has two states, inside and outside of a string: a quote flips
+    it, a backslash takes the next character with it, and a raw line break,
+    which no JSON string holds, leads outside, so a torn string ends there.
+    Pieces therefore map states to states in two ways only, flip by a parity or
+    (with a line break) end in a fixed state, and parities add up.  They are
+    composed inside each split, then over the one row a split leaves, and the
+    state carried into a split is added to its pieces.  All this runs on narrow
+    rows; texts are joined and grouped only for records of several pieces, so
+    those of one piece are never shuffled.
+    """
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    last_line = F.substring_index(bare, "\n", -1)
+    flips = F.length(last_line) - F.length(F.replace(last_line, F.lit('"')))
+    file = F.shiftright("ingest_pos", 40)
+    split, here = ["_f", "_s"], Window.partitionBy("_f", "_s").orderBy("ingest_pos")
+    narrow = pieces.select("ingest_pos", file.alias("_f"), F.col("_split").alias("_s"), (flips % 2).alias("_flip"),
+                           bare.contains("\n").cast("int").alias("_fixed"))
+    narrow = narrow.withColumn("_run", F.sum("_fixed").over(here))
+    narrow = narrow.withColumn("_odd", F.sum("_flip").over(Window.partitionBy("_f", "_s", "_run").orderBy("ingest_pos")) % 2)
+    # over the splits: one row each
+    over = Window.partitionBy("_f").orderBy("_s")
+    splits = narrow.groupBy(*split).agg(F.max_by("_odd", "ingest_pos").alias("_out"), (F.max("_run") > 0).cast("int").alias("_fixed"))
+    splits = splits.withColumn("_run", F.sum("_fixed").over(over))
+    splits = splits.withColumn("_after", F.sum("_out").over(Window.partitionBy("_f", "_run").orderBy("_s")) % 2)
+    splits = splits.select(*split, F.lag("_after", 1, 0).over(over).alias("_carried"))
+    known = narrow.join(splits, split)
+    known = known.withColumn("_open", (F.col("_odd") + F.when(F.col("_run") == 0, F.col("_carried")).otherwise(0)) % 2)
+    known = known.withColumn("_goes_on", F.coalesce(F.lag("_open").over(here), "_carried") == 1)
+    known = known.withColumn("_first", F.max(F.when(~F.col("_goes_on"), F.col("ingest_pos"))).over(here))
+    # a record that began in an earlier split: the last beginning before this one
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    begun = known.groupBy(*split).agg(F.max("_first").alias("_last")).select(*split, F.max("_last").over(before).alias("_begun"))
+    several = known.where(F.col("_goes_on") | (F.col("_open") == 1)).join(begun, split)
+    several = reuse(several.select("ingest_pos", F.coalesce("_first", "_begun").alias("_record")))
+    single = pieces.join(several, "ingest_pos", "left_anti").select("value", "ingest_pos")
+    parts = pieces.join(several, "ingest_pos").groupBy("_record").agg(F.array_sort(F.collect_list(F.struct("ingest_pos", "value"))).alias("_p"))
+    return single.unionByName(parts.select(F.array_join(F.transform("_p", lambda x: x["value"]), "}{").alias("value"), F.col("_record").alias("ingest_pos")))
+
+
 def parse_pieces(pieces: DataFrame, schema=S.ARTICLE_SCHEMA, keep: tuple[str, ...] = (),
                  keep_rejects: bool = False) -> DataFrame:
     """Pieces (`value`) of a file cut at `}{` → records with an explicit schema (no inference).
@@ -65,7 +112,7 @@ def parse_pieces(pieces: DataFrame, schema=S.ARTICLE_SCHEMA, keep: tuple[str, ..
     return out.where(good).select(*cols)
 
 
-def with_file_order(df: DataFrame) -> DataFrame:
+def with_file_order(df: DataFrame, keep_split: bool = False) -> DataFrame:
     """Number rows of a file scan in (file, offset) order without a global sort.
 
     Rows of one file split stay together in one partition and keep their order,
@@ -75,6 +122,7 @@ def with_file_order(df: DataFrame) -> DataFrame:
     paths (one row per file, the only unpartitioned step).  Every row then gets
     `file_number << 40 | offset_in_file + position_in_split`: unique, ordered,
     and dense within the first file.  The rows themselves never meet in one task.
+    `keep_split` keeps the offset at which a row's split begins as `_split`.
     """
     keyed = (df.withColumn("_f", F.col("_metadata.file_path"))
                .withColumn("_b", F.col("_metadata.file_block_start"))
@@ -88,7 +136,8 @@ def with_file_order(df: DataFrame) -> DataFrame:
     pos = F.shiftleft(F.col("_fi").cast("bigint"), 40) + F.col("_off") + F.col("_m") - F.col("_m0")
     return (keyed.join(splits.select("_f", "_b", "_m0", "_off", "_fi"), ["_f", "_b"])
                  .withColumn("ingest_pos", pos)
-                 .drop("_f", "_b", "_m", "_m0", "_off", "_fi"))
+                 .withColumnRenamed("_b", "_split")
+                 .drop("_f", "_m", "_m0", "_off", "_fi", *([] if keep_split else ["_split"])))
 
 
 def articles_from_records(records: DataFrame, order_col: str = "ingest_pos") -> DataFrame:
