@@ -18,6 +18,9 @@ WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 INTEGER = _q(rf"^{BLANKS}*[-+]?\p{{Nd}}+(?:_\p{{Nd}}+)*{BLANKS}*$")
 
+# a text of the glued files
+BRACED = """(text || CASE WHEN doc_id % 5 = 2 THEN chr(10) || 'say "}{" ' || chr(92) || '}{ {"x":"}{"' ELSE '' END)"""
+
 ARTICLES = """
 articles AS (
   SELECT d.doc_id, split_part(d.text, chr(10), 1) AS title,
@@ -322,9 +325,54 @@ SELECT * FROM (
   SELECT batch_time, CAST(row_number() OVER (PARTITION BY batch_time ORDER BY n DESC, keyword) AS INTEGER) AS rank, keyword, n FROM wc)
 WHERE rank <= 20""",
 
-    "s1_concat_json": """SELECT CASE WHEN doc_id % 7 <> 3 THEN doc_id END AS doc_id, CASE WHEN doc_id % 7 <> 3 THEN source END AS source,
-       CASE WHEN doc_id % 7 <> 3 THEN lang END AS lang, CASE WHEN doc_id % 7 <> 3 THEN text ELSE '' END AS text, doc_id % 7 = 3 AS torn
-FROM documents WHERE NOT contains(text, '}{')""",
+    "s1_concat_json": f"""SELECT CASE WHEN doc_id % 7 <> 3 THEN doc_id END AS doc_id, CASE WHEN doc_id % 7 <> 3 THEN source END AS source,
+       CASE WHEN doc_id % 7 <> 3 THEN lang END AS lang, CASE WHEN doc_id % 7 <> 3 THEN {BRACED} ELSE '' END AS text, doc_id % 7 = 3 AS torn
+FROM documents""",
+
+    "s1_cut_everywhere": f"""WITH d AS (
+  SELECT *, {BRACED} AS t, CASE WHEN doc_id % 7 = 3 THEN 0 ELSE (length({BRACED}) - length(replace({BRACED}, '}}{{', ''))) // 2 END AS cuts FROM documents),
+p AS (SELECT *, unnest(range(cuts + 1)) AS piece, doc_id % 7 = 3 OR cuts > 0 AS torn FROM d)
+SELECT CASE WHEN NOT torn THEN doc_id END AS doc_id, CASE WHEN NOT torn THEN source END AS source,
+       CASE WHEN NOT torn THEN lang END AS lang, CASE WHEN NOT torn THEN t ELSE '' END AS text, torn FROM p""",
+
+    "s2_article_records": f"""SELECT 'https://news.example.com/' || doc_id || '.html' AS url,
+       coalesce(nullif(regexp_replace(split_part(text, chr(10), 1), '^{BLANKS}+|{BLANKS}+$', '', 'g'), ''), '#') AS title, lang AS section, source,
+       CASE WHEN doc_id % 11 <> 0 THEN printf('2024-01-02 03:%02d:%02d', doc_id % 60, doc_id % 59) END AS pub_time,
+       CAST(1 + doc_id % 3 AS INTEGER) AS depth, md5(replace(text, chr(10), '')) AS text_md5
+FROM documents WHERE length(replace(text, chr(10), '')) > 0""",
+
+    "s5_text_files": """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents)
+SELECT md5(value) AS line_md5, count(*) AS n FROM l GROUP BY 1""",
+
+    "s7_stream_counts": f"""WITH {LINES_WORDS.format(src='documents')}
+SELECT word, count(*) AS n FROM words GROUP BY word""",
+
+    "s8_stream_history": f"""WITH {LINES_WORDS.format(src='documents')},
+wc AS (SELECT word, count(*) AS n FROM words GROUP BY word)
+SELECT CAST(row_number() OVER (ORDER BY n DESC, word ASC) AS INTEGER) AS rank, word AS keyword, n
+FROM wc WHERE length(word) > 0 AND NOT regexp_matches(word, {INTEGER})
+ORDER BY n DESC, word ASC LIMIT 20""",
+
+    "w4_quiet_batches": f"""WITH words AS (
+  SELECT CAST(conv_id % 3 // 2 + 1 AS INTEGER) AS frame, unnest(string_split(line, ' ')) AS keyword
+  FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE conv_id % 3 <> 1)),
+wc AS (SELECT frame, keyword, count(*) AS n FROM words WHERE length(keyword) > 0 AND NOT regexp_matches(keyword, {INTEGER}) GROUP BY 1, 2),
+r AS (SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY n DESC, keyword) AS INTEGER) AS rank, keyword, n FROM wc)
+SELECT frame, rank, keyword, n FROM r WHERE rank <= 20""",
+
+    "s9_article_store": f"""WITH crawled AS (
+  SELECT page_id, url, html FROM pages
+  UNION ALL SELECT page_id + 1000000000, {_canon('url')} || '?again=1', html FROM pages WHERE page_id % 10 = 1),
+{_extracted('crawled')},
+batches AS (SELECT 1 AS batch, * FROM ex WHERE page_id % 2 = 0 UNION ALL SELECT 2, * FROM ex)
+SELECT page_id, url, title, batch FROM batches WHERE len(content) > 0
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch, page_id) = 1""",
+
+    "s10_token_files": f"""WITH {SENT}
+SELECT strftime(pub_ts, '%Y%m%d%H%M') AS minute, value FROM sent""",
+
+    "c2_seen_urls": f"""WITH t AS (SELECT '{{"url": "' || url || '", "from": "https://x.org/%41?q=ü"}} ' || regexp_replace(html, '[\\r\\n]', ' ', 'g') AS t FROM pages)
+SELECT DISTINCT unnest(regexp_extract_all(t, {_q(URL_PATTERN)})) AS url FROM t""",
 
     "s3_stopword_list": f"""WITH {STOP_LIST}
 SELECT term FROM stoplist""",
@@ -348,7 +396,7 @@ SELECT doc_id, strftime(pub_ts, '%Y%m%d%H%M') AS minute, value FROM sent""",
 
     "s11_legacy_counts": f"""WITH {LINES_WORDS.format(src='documents')},
 c AS (SELECT word, count(*) AS n FROM words GROUP BY word)
-SELECT word || CASE WHEN length(word) % 5 = 0 THEN chr(39) || chr(92) || 'x' ELSE '' END AS word, n FROM c WHERE NOT contains(word, '"')""",
+SELECT word || CASE WHEN length(word) % 5 = 0 THEN chr(39) || chr(92) || 'x' ELSE '' END AS word, n FROM c""",
 
     "s12_history_json": f"""WITH {SENTENCES}
 SELECT batch_time, rank, keyword, n FROM hist""",
@@ -391,7 +439,7 @@ FROM u""",
 SELECT page_id, src, dst FROM links""",
 
     "p15_link_forms": f"""WITH forms AS (
-  SELECT page_id, url, '<a href=''#top''><a href="?p=2"><a class="c" href=../q.html><A HREF = ''./a/../b/./c''><a href="mailto:a@b.c">'
+  SELECT page_id, url, html || '<a href=''#top''><a href="?p=2"><a class="c" href=../q.html><A HREF = ''./a/../b/./c''><a href="mailto:a@b.c">'
     || '<a href="//h.example/x/.."><a href="/p?a=1&amp;b=2#f"><a href=""><a data-href="no"><link href="style.css">'
     || '<area href=''/%20map''><a href="HTTPS://H.example/k"><a href="&#47;dec">' AS html FROM pages),
 {_links('forms')}
@@ -401,7 +449,7 @@ SELECT page_id, src, dst FROM links""",
 SELECT DISTINCT dst AS url FROM links WHERE dst NOT IN (SELECT dst FROM links WHERE page_id % 2 = 0)""",
 
     "p16_urls_in_text": f"""WITH t AS (
-  SELECT page_id, 'see ' || url || ' or (http://x.org/%41?q=ü) "' || url || '/more" https:/no ' || substr(html, 1, 300) AS t FROM pages)
+  SELECT page_id, 'see ' || url || ' or (http://x.org/%41?q=ü) "' || url || '/more" https:/no ' || html || printf(' behind: http://h%d.example/p', page_id) AS t FROM pages)
 SELECT page_id, unnest(list_distinct(regexp_extract_all(t, {_q(URL_PATTERN)}))) AS url FROM t""",
 
     "j7_link_depth": f"""WITH RECURSIVE {_links('pages')},

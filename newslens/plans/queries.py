@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newslens import schema as S
 from newslens.functions import exprs as X
@@ -21,6 +20,7 @@ from newslens.operators import ranking as R
 from newslens.operators import similarity as SIM
 from newslens.operators import text as TX
 from newslens.plans import reports as RP
+from newslens.plans import stored_queries as SQ
 from newslens.session import ensure_parallel, reuse, table_path
 from newslens.sources import articles as AR
 from newslens.sources import sinks as SK
@@ -187,20 +187,6 @@ def r5_history_frames(spark, sf_dir):
 
 
 # Formats: parsers and renderers over strings made from the tables -------------------
-def s1_concat_json(spark, sf_dir):
-    """Articles as pieces of a concatenated file, every seventh one torn: records come back, the torn ones don't."""
-    d = spark.read.parquet(table_path(sf_dir, "documents")).where(~F.col("text").contains("}{"))
-    nested = F.to_json(F.struct(F.col("doc_id"), F.col("source"), F.split("text", "\n").alias("content"), F.struct("lang").alias("site")))
-    middle = F.expr("substring(j, 2, length(j) - 2)")
-    piece = (F.when(F.col("doc_id") % 7 == 3, F.expr("substring(j, 2, 9)"))
-              .when(F.col("doc_id") % 7 == 4, F.expr("substring(j, 1, length(j) - 1)"))  # opens a file
-              .when(F.col("doc_id") % 7 == 5, F.concat(F.expr("substring(j, 2)"), F.lit("\n")))  # closes one
-              .otherwise(middle))
-    schema = "doc_id long, source string, content array<string>, site struct<lang: string>"
-    rec = AR.parse_pieces(d.withColumn("j", nested).select(piece.alias("value")), T.StructType.fromDDL(schema), keep_rejects=True)
-    return rec.select("doc_id", "source", F.col("site.lang").alias("lang"), X.content_text("content", "\n").alias("text"), F.col("rejected").isNotNull().alias("torn"))
-
-
 def s3_stopword_list(spark, sf_dir):
     return AR.stopwords_of_lines(_stop_lines(spark, sf_dir))
 
@@ -222,11 +208,6 @@ def t2_table_sentences(spark, sf_dir):
     return sent.select("doc_id", F.size("words").alias("n_words"), "sentence")
 
 
-def s6_report_rows(spark, sf_dir):
-    kw = RP.collect_ranked(TX.article_keywords(_articles(spark, sf_dir)), "doc_id", "term", "keyword")
-    return kw.select("doc_id", F.to_json(F.struct("doc_id", "keyword")).alias("value"))
-
-
 def s10_token_lines(spark, sf_dir):
     return SK.token_lines(_articles(spark, sf_dir))
 
@@ -235,10 +216,11 @@ def s11_legacy_counts(spark, sf_dir):
     """Counts as lines of tuples, with quotes and backslashes in the words, and lines that are none."""
     words = C.word_count(C.text_lines(_texts(spark, sf_dir, "documents"))).withColumn("word", F.concat("word", F.when(F.length("word") % 5 == 0, F.lit("'\\x")).otherwise(F.lit(""))))
     inner = F.replace("word", F.lit("\\"), F.lit("\\\\"))
-    quoted = F.when(F.col("word").contains("'"), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(F.concat(F.lit("'"), inner, F.lit("'")))
+    # as the tuples were printed: double quotes where they spare an escape
+    double = F.col("word").contains("'") & ~F.col("word").contains('"')
+    quoted = F.when(double, F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("\\'")), F.lit("'")))
     line = F.concat(F.lit("("), quoted, F.lit(", "), F.col("n").cast("string"), F.lit(")"))
-    lines = words.where(~F.col("word").contains('"')).select(F.explode(F.array(line, F.concat(F.lit("# "), line))).alias("value"))
-    return SK.parse_counts(lines)
+    return SK.parse_counts(words.select(F.explode(F.array(line, F.concat(F.lit("# "), line))).alias("value")))
 
 
 def s12_history_json(spark, sf_dir):
@@ -247,15 +229,8 @@ def s12_history_json(spark, sf_dir):
 
 
 # Pages -----------------------------------------------------------------------------
-def _recrawled(spark, sf_dir):
-    """The pages, some fetched again later under another query string."""
-    pages = _pages(spark, sf_dir)
-    again = pages.where("page_id % 10 = 1").select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat(X.canonical_url("url"), F.lit("?again=1")).alias("url"), "html")
-    return pages.unionByName(again)
-
-
 def y8_ingest_pages(spark, sf_dir):
-    pages = _recrawled(spark, sf_dir)
+    pages = SQ.recrawled(spark, sf_dir)
     # already stored: the URLs of the even pages
     seen = _pages(spark, sf_dir).where("page_id % 2 = 0").select(X.canonical_url("url").alias("url"))
     arts = RP.ingest_pages(pages, seen)
@@ -294,15 +269,15 @@ def p15_links(spark, sf_dir):
 
 
 def p15_link_forms(spark, sf_dir):
-    """Every form of link on every page: quotings, dot segments, query and fragment only, other schemes, references."""
+    """Every form of link behind each page's own html: quotings, dot segments, query and fragment only, other schemes, references."""
     forms = ["<a href='#top'>", '<a href="?p=2">', '<a class="c" href=../q.html>', "<A HREF = './a/../b/./c'>", '<a href="mailto:a@b.c">',
              '<a href="//h.example/x/..">', '<a href="/p?a=1&amp;b=2#f">', '<a href="">', '<a data-href="no">', '<link href="style.css">', "<area href='/%20map'>", '<a href="HTTPS://H.example/k">', '<a href="&#47;dec">']
-    return PG.extract_links(_pages(spark, sf_dir).select("page_id", "url", F.lit("".join(forms)).alias("html")))
+    return PG.extract_links(_pages(spark, sf_dir).select("page_id", "url", F.concat("html", F.lit("".join(forms))).alias("html")))
 
 
 def p16_urls_in_text(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    text = F.concat(F.lit("see "), F.col("url"), F.lit(" or (http://x.org/%41?q=ü) \""), F.col("url"), F.lit('/more" https:/no '), F.col("html"))
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" or (http://x.org/%41?q=ü) \""), F.col("url"), F.lit('/more" https:/no '), F.col("html"), F.format_string(" behind: http://h%d.example/p", "page_id"))
     return pages.select("page_id", F.explode(F.array_distinct(X.urls_in_text(text))).alias("url"))
 
 
@@ -414,11 +389,9 @@ QUERIES: dict[str, QueryFn] = {
     "w2_word_history_20s": w2_word_history_20s,
     "w2_word_history_90s": w2_word_history_90s,
     "w3_batches_by_arrival": w3_batches_by_arrival,
-    "s1_concat_json": s1_concat_json,
     "s3_stopword_list": s3_stopword_list,
     "j5_stopword_antijoin": j5_stopword_antijoin,
     "t2_table_sentences": t2_table_sentences,
-    "s6_report_rows": s6_report_rows,
     "s10_token_lines": s10_token_lines,
     "s11_legacy_counts": s11_legacy_counts,
     "s12_history_json": s12_history_json,
@@ -441,4 +414,4 @@ QUERIES: dict[str, QueryFn] = {
     "t2_token_sentences": t2_token_sentences,
     "t3_space_tokens": t3_space_tokens,
     "r7_last_n": r7_last_n,
-}
+} | SQ.QUERIES

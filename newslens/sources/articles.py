@@ -181,10 +181,8 @@ def articles_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` with a publish time from `events` where the ids meet: the title is
     the whole first line; an article without an event has no publish time."""
     d = spark.read.parquet(table_path(sf_dir, "documents")).select(
-        "doc_id", "text", "lang", "source", "n_chars")
-    # P2 on the stored text length: a query that needs no text (counts,
-    # attributes, thresholds) then never reads the text column at all.
-    d = ensure_parallel(d.where(F.col("n_chars") > 0), "doc_id")
+        "doc_id", "text", "lang", "source")
+    d = ensure_parallel(non_empty(d), "doc_id")
     e = spark.read.parquet(table_path(sf_dir, "events")).select("event_id", "ts")
     return d.join(e, d.doc_id == e.event_id, "left").select(*article_columns(d, e))
 

@@ -94,9 +94,8 @@ def read_counts(spark: SparkSession, path: str, legacy: bool = False) -> DataFra
 def parse_counts(lines: DataFrame) -> DataFrame:
     """S11 over lines already read (`value`); other lines are dropped."""
     lines = lines.where(F.col("value").rlike(LEGACY_COUNT))
-    word = F.regexp_extract("value", LEGACY_COUNT, 2)
-    word = F.replace(F.replace(F.replace(word, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"')),
-                     F.lit("\\\\"), F.lit("\\"))
+    # one pass from the left: each backslash belongs to the character behind it
+    word = F.regexp_replace(F.regexp_extract("value", LEGACY_COUNT, 2), r"""\\(['"\\])""", "$1")
     return lines.select(word.alias("word"),
                         F.regexp_extract("value", LEGACY_COUNT, 3).cast("bigint").alias("n"))
 

@@ -100,7 +100,7 @@ def test_keywords_use_group_limit_and_pruned_scan(spark):
     plan = _plan(df)
     assert "WindowGroupLimit" in plan
     # the documents scan reads only what Y1 needs (no lang / source)
-    assert "ReadSchema: struct<doc_id:bigint,text:string,n_chars:bigint>" in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "lang:string" not in plan and "source:string" not in plan
 
 
