@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from newslens import schema as S
 from newslens.functions import exprs as X
+from newslens.operators import segmentation as SG
 from newslens.session import reuse
 
 # Largest stop-word table shipped to every task as a broadcast hash set.
@@ -32,10 +33,19 @@ StopWords = Iterable[str] | DataFrame | None
 
 # T1 -------------------------------------------------------------------------
 def tokens(articles: DataFrame, mode: str = "words", stopwords: StopWords = None,
-           text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Long form (doc_id, term): one row per token occurrence, stop words removed."""
-    toks = articles.select(F.col(id_col).alias("doc_id"),
-                           F.explode(X.segment(text_col, mode)).alias("term"))
+           text_col: str = "text", id_col: str = "doc_id", dictionary: DataFrame | None = None) -> DataFrame:
+    """Long form (doc_id, term): one row per token occurrence, stop words removed.
+
+    Mode `dictionary` cuts runs of Han characters with a table of counted words
+    (term, n), see `newslens.operators.segmentation`.
+    """
+    if mode == "dictionary":
+        if dictionary is None:
+            raise ValueError("mode 'dictionary' needs a dictionary of (term, n)")
+        toks = SG.dictionary_tokens(articles, dictionary, text_col, id_col).select("doc_id", "term")
+    else:
+        toks = articles.select(F.col(id_col).alias("doc_id"),
+                               F.explode(X.segment(text_col, mode)).alias("term"))
     toks = toks.where(F.length("term") > 0)
     return remove_stopwords(toks, stopwords)
 
@@ -178,9 +188,10 @@ def flag_keywords(weights: DataFrame, k: int = S.TOP_KEYWORDS) -> DataFrame:
 
 
 def article_keywords(articles: DataFrame, stopwords: StopWords = S.DEFAULT_STOPWORDS,
-                     k: int = S.TOP_KEYWORDS, mode: str = "words") -> DataFrame:
+                     k: int = S.TOP_KEYWORDS, mode: str = "words",
+                     dictionary: DataFrame | None = None) -> DataFrame:
     """(doc_id, rank, term, tf, tfidf)."""
-    tf = reuse(term_freq(tokens(articles, mode, stopwords)))
+    tf = reuse(term_freq(tokens(articles, mode, stopwords, dictionary=dictionary)))
     return keywords(tfidf(tf, article_count(articles)), k)
 
 

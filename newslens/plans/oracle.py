@@ -486,6 +486,36 @@ t AS (
     THEN list_transform(range(1, length(run)), lambda i: substr(run, CAST(i AS INTEGER), 2)) ELSE [run] END) AS term FROM r)
 SELECT term, count(*) AS n FROM t WHERE length(term) > 0 GROUP BY term""",
 
+    "t1_dictionary_words": f"""WITH RECURSIVE cr AS (
+  SELECT unnest(regexp_extract_all(lower({HAN}), '\\p{{Han}}+')) AS run FROM conversations),
+g AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM cr),
+grams AS (SELECT substr(run, CAST(i AS INTEGER), CAST(l AS INTEGER)) AS term FROM g, (SELECT unnest([1, 2, 3, 4]) AS l) WHERE i + l - 1 <= length(run)),
+counted AS (SELECT term, count(*) AS n FROM grams GROUP BY term HAVING count(*) >= 5),
+whole AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM counted),
+d AS (SELECT term, CAST(round(ln(n / total) * 1000000) AS BIGINT) AS w FROM counted, whole),
+one AS (SELECT CAST(round(ln(1 / total) * 1000000) AS BIGINT) AS w FROM whole),
+r AS (SELECT unnest(regexp_extract_all(lower({HAN}), '\\p{{Han}}+|(?:[^\\p{{Han}}\\P{{L}}]|\\p{{N}})+')) AS run FROM documents),
+han AS (SELECT DISTINCT run FROM r WHERE regexp_matches(run, '^\\p{{Han}}')),
+-- from the end: the best sum from each place on, and the length of the word taken there
+dp(run, i, sums, picks) AS (
+  SELECT run, length(run), [CAST(0 AS BIGINT)], CAST([] AS BIGINT[]) FROM han
+  UNION ALL
+  SELECT run, i - 1, list_prepend(b.s, sums), list_prepend(b.l, picks)
+  FROM (
+    SELECT dp.run, dp.i, sums, picks, list_max(list_filter([
+      {{'s': coalesce(d1.w, one.w) + sums[1], 'l': CAST(1 AS BIGINT)}}, {{'s': d2.w + sums[2], 'l': CAST(2 AS BIGINT)}},
+      {{'s': d3.w + sums[3], 'l': CAST(3 AS BIGINT)}}, {{'s': d4.w + sums[4], 'l': CAST(4 AS BIGINT)}}], lambda x: x.s IS NOT NULL)) AS b
+    FROM dp CROSS JOIN one LEFT JOIN d d1 ON d1.term = substr(run, i, 1)
+    LEFT JOIN d d2 ON len(sums) >= 2 AND d2.term = substr(run, i, 2) LEFT JOIN d d3 ON len(sums) >= 3 AND d3.term = substr(run, i, 3)
+    LEFT JOIN d d4 ON len(sums) >= 4 AND d4.term = substr(run, i, 4)
+    WHERE i > 0)),
+walk(run, picks, place, term) AS (
+  SELECT run, picks, CAST(1 AS BIGINT), CAST(NULL AS VARCHAR) FROM dp WHERE i = 0
+  UNION ALL SELECT run, picks, place + picks[place], substr(run, place, picks[place]) FROM walk WHERE place <= length(run)),
+cut AS (SELECT run, term FROM walk WHERE term IS NOT NULL),
+t AS (SELECT cut.term FROM r JOIN cut USING (run) UNION ALL SELECT run FROM r WHERE NOT regexp_matches(run, '^\\p{{Han}}'))
+SELECT term, count(*) AS n FROM t WHERE length(term) > 0 GROUP BY term""",
+
     "t4h_hashed_tf": f"""WITH {ARTICLES},
 w AS (SELECT doc_id, list_filter({WORDS}, lambda x: length(x) > 0 AND NOT list_contains([{STOP}], x)) AS ws FROM articles)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens FROM w""",

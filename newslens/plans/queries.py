@@ -17,6 +17,7 @@ from newslens.functions import exprs as X
 from newslens.operators import counts as C
 from newslens.operators import pages as PG
 from newslens.operators import ranking as R
+from newslens.operators import segmentation as SG
 from newslens.operators import similarity as SIM
 from newslens.operators import text as TX
 from newslens.plans import reports as RP
@@ -349,6 +350,20 @@ def t1_cjk_bigrams(spark, sf_dir):
     return toks.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _in_han(c="text"):
+    """Ten letters written as Han characters."""
+    return F.translate(F.lower(c), "aeiourstnh", "中文汉字测试数据分析").alias("text")
+
+
+def t1_dictionary_words(spark, sf_dir):
+    """Texts in Han characters cut by a dictionary: the runs of up to four characters that the conversations repeat."""
+    talk = _texts(spark, sf_dir, "conversations").select(_in_han())
+    known = SG.count_dictionary(SG.han_ngrams(talk, longest=4), least=5)
+    d = ensure_parallel(spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text"), "doc_id")
+    toks = TX.tokens(d.select("doc_id", _in_han()), mode="dictionary", dictionary=known)
+    return toks.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def t4h_hashed_tf(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
@@ -402,6 +417,7 @@ QUERIES: dict[str, QueryFn] = {
     "p1_content_text": p1_content_text,
     "p3_publish_times": p3_publish_times,
     "t1_cjk_bigrams": t1_cjk_bigrams,
+    "t1_dictionary_words": t1_dictionary_words,
     "t4h_hashed_tf": t4h_hashed_tf,
     "r5_history_frames": r5_history_frames,
     "y8_ingest_pages": y8_ingest_pages,
