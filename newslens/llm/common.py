@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,10 +73,10 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:02d}-{name}"
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         path = self.path(name)
         with _small_batches(self.spark):
-            df.write.parquet(path)
+            df.write.parquet(path, compression=compression)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
@@ -87,6 +88,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task.  Task functions come by value, with globals of their own each time, so it hangs on `sys`."""
+    return sys.__dict__.setdefault("_newslens_worker_cache", {})
+
+
 def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """A broadcast hint for a table of counted rows, up to `most`; beyond it Spark shuffles.  The rows must be narrow."""
     return F.broadcast(df) if rows <= most else df

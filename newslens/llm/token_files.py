@@ -1,13 +1,14 @@
 """Token-id files: frequency-ranked ids in byte-aligned codes with separate control bytes (operator 13).
 
 Encoding.  Ids come from the tokenizers library.  A text is cut where its vocabulary's rules
-never reach across (at blanks; plain ASCII words also where letters, digits and signs
-meet, and their A-Z are lower-cased), the distinct chunks are encoded by the library and kept,
-and one text of every slice is compared with the library's result for the whole text.
-
-Order.  A first pass counts every id; id number r by falling frequency (ties: smaller
-id) is coded as r, so the frequent ids take one byte.  A second pass codes the texts.
-Documents are dealt into ranges of the id at quantiles of all ids; an id so frequent
+never reach across: at blanks, and in plain words (ASCII and Latin-1 letters, digits, signs), which are
+lower-cased, also where letters and signs meet and at every digit.  Such a chunk is one
+word of the library's model, which encodes it; all other words go through the whole
+library.  Distinct chunks are encoded once and kept, and one text of every slice is
+compared with the library's result for the whole text.
+
+Order.  The ids of all texts are written to a table and counted; id number r by falling
+frequency (ties: smaller id) is coded as r, so the frequent ids take one byte.  Documents are dealt into ranges of the id at quantiles of all ids; an id so frequent
 that it fills whole ranges is dealt over those.  Each range is written as one file, in order.
 
 File format, little endian.  A file is a sequence of segments of whole documents:
@@ -35,6 +36,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import Scratch, distinct_words, in_arrow, spans, text_bytes, text_slices
+from newslens.llm.common import Scratch, distinct_words, in_arrow, spans, text_bytes, text_slices, worker_cache
 from newslens.llm.warc import opened
 
 # Fixed values of the format.
@@ -51,7 +53,9 @@ HEADER = "<4sIQQQI"
 RANKS = "ids.u32"
 SEGMENT_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 26
-KEPT_CHUNKS = 1 << 20
+KEPT_CHUNKS = 3 << 18
+SLICE_BYTES = 2 << 20
+CODED_ROWS = 500
 
 #: 0 blank, 1 letter, 2 digit, 3 sign, 4 anything that may change by what stands beside it.
 KIND = np.full(256, 4, np.uint8)
@@ -60,32 +64,50 @@ KIND[0x30:0x3A] = 2
 KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 KIND[[0x20, *range(0x09, 0x0E)]] = 0
 KIND[[ord("'"), ord("<")]] = 4  # endings such as 's; special tokens
-UPPER = np.zeros(256, bool)
-UPPER[0x41:0x5B] = True
+#: U+00C0 to U+00FF are xC3 and a second byte; all but two signs among them are letters.
+LATIN = 0xC3
+LATIN_SIGNS = (0x97, 0xB7)
+#: The vocabulary's letter for each byte: printable ones stand for themselves, the others for U+0100 and on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+LETTERS = {b: chr(0x100 + n) for n, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 #: Lengths of the four codes of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
 
 
 # --- texts to ids ------------------------------------------------------------------------
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with plain words in lower case, starts and ends of the chunks, and the rows' chunk offsets."""
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with plain words in lower case, starts and ends of the chunks, which are plain, and the rows' chunk offsets."""
     kind = KIND[data]
+    latin = np.flatnonzero(data == LATIN)
+    second = data[latin + 1]
+    ok = ~np.isin(second, LATIN_SIGNS)
+    latin, second = latin[ok], second[ok]
+    kind[latin] = kind[latin + 1] = 1
     starts, ends, rows = spans(kind == 0, offsets)
     if not len(starts):
-        return data, starts, ends, rows
-    odd = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(kind == 4, out=odd[1:])
-    plain = odd[ends] == odd[starts]
-    word = lambda at: np.searchsorted(starts, at, side="right") - 1
-    upper = np.flatnonzero(UPPER[data])
+        return data, starts, ends, np.zeros(0, bool), rows
+    odd = np.flatnonzero(kind == 4)
+    plain = np.ones(len(starts), bool)
+    plain[np.searchsorted(starts, odd, side="right") - 1] = False
+    # a mark for each byte: does its word stay whole
+    whole = np.zeros(len(data) + 1, np.int8)
+    whole[starts[~plain]] += 1
+    whole[ends[~plain]] -= 1
+    whole = np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
     data = data.copy()
-    data[upper[plain[word(upper)]]] += 32
-    cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
-    w = word(cut)
-    cut = cut[plain[w] & (cut > starts[w])]
-    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-    return data, starts, ends, np.searchsorted(starts, offsets)
+    data[(data >= 0x41) & (data <= 0x5A) & ~whole] += 32
+    data[latin[(second <= 0x9E) & ~whole[latin]] + 1] += 32
+    cut = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    cut &= (kind[1:] > 0) & (kind[:-1] > 0) & ~whole[1:] & ~whole[:-1]
+    edges = offsets[1:-1]
+    cut[edges[(edges > 0) & (edges < len(data))] - 1] = False  # a word begins there already
+    cut = np.flatnonzero(cut) + 1
+    plain = np.concatenate([plain, np.ones(len(cut), bool)])
+    starts = np.concatenate([starts, cut])
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.sort(np.concatenate([ends, cut]))
+    return data, starts, ends, plain[order], np.searchsorted(starts, offsets)
 
 
 class Encoder:
@@ -97,45 +119,52 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.end_id = end_id
+        self.kind = "<u2" if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        self.flat, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _word(self, chunk: str) -> list[int]:
+        """Ids of a plain chunk: one word of the model, its bytes in the vocabulary's letters."""
+        shown = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(LETTERS)
+        return [t.id for t in self.library.model.tokenize(shown)]
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.number]
+    def _learn(self, words: list[str], plain: list[bool]) -> None:
+        new = [(w, p) for w, p in zip(words, plain, strict=True) if w not in self.number]
         if not new:
             return
         if len(self.number) + len(new) > KEPT_CHUNKS:
             self._clear()
-            new = words
-        for at in range(0, len(new), 1 << 14):
-            found = [e.ids for e in self.library.encode_batch(new[at : at + (1 << 14)], add_special_tokens=False)]
-            self.sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            self.flat.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(self.sizes[-1].sum())))
-        for w in new:
+            new = list(zip(words, plain, strict=True))
+        others = iter(self.library.encode_batch([w for w, p in new if not p], add_special_tokens=False))
+        found = [self._word(w) if p else next(others).ids for w, p in new]
+        self.sizes = np.append(self.sizes, np.fromiter(map(len, found), np.int64, len(found)))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32)).astype(np.uint32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        for w, _ in new:
             self.number[w] = len(self.number)
-        self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-        self.starts = np.cumsum(self.sizes[0]) - self.sizes[0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after the other, and each row's number of ids."""
         data, offsets = text_bytes(texts)
-        data, starts, ends, rows = chunks(data, offsets)
+        data, starts, ends, plain, rows = chunks(data, offsets)
         codes, words = distinct_words(data, starts, ends)
-        words = words.to_pylist()
-        self._learn(words)
+        words = words.to_numpy(zero_copy_only=False).tolist()
+        is_plain = np.zeros(len(words), bool)
+        is_plain[codes] = plain  # the characters of a chunk say whether it is plain
+        self._learn(words, is_plain.tolist())
         n = len(texts)
         out_rows = np.zeros(n, np.int64)
         if not words:
             return np.full(n, self.end_id, np.uint32), out_rows + 1
         known = np.fromiter((self.number[w] for w in words), np.int64, len(words))[codes]
-        size = self.sizes[0][known]
+        size = self.sizes[known]
         before = np.zeros(len(known) + 1, np.int64)
         np.cumsum(size, out=before[1:])
         total = int(before[-1])
-        ids = self.flat[0][np.arange(total) + np.repeat(self.starts[known] - before[:-1], size)]
+        ids = self.flat[np.arange(total) + np.repeat(self.starts[known] - before[:-1], size)]
         row_ends = before[rows[1:]]
         out_rows = row_ends - before[rows[:-1]] + 1
         out = np.insert(ids, row_ends, self.end_id).astype(np.uint32)
@@ -202,47 +231,84 @@ def parse_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 # --- Spark -------------------------------------------------------------------------------
-def id_counts(docs: DataFrame, vocabulary: str, end_id: int, text_col: str = "text") -> DataFrame:
-    """id, n: how often each id comes up in the encoded texts, end ids included."""
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """The worker's encoder for a vocabulary file, with what it has learned in earlier tasks."""
+    with open(path, "rb") as file:
+        key = ("encoder", zlib.crc32(file.read()), end_id)
+    cache = worker_cache()
+    if key not in cache:
+        cache[key] = Encoder(path, end_id)
+    return cache[key]
+
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, tokens, ids (little-endian uint32, or uint16 where the vocabulary allows): every text, with the end id."""
     docs.sparkSession.sparkContext.addFile(vocabulary)  # executors need not hold the vocabulary file
     name = vocabulary.rsplit("/", 1)[-1]
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for batch in batches:
+            for rows in text_slices(batch, "text", most=SLICE_BYTES):
+                encoder = encoder or encoder_of(SparkFiles.get(name), end_id)
+                ids, sizes = encoder.encode(rows.column("text"))
+                ids = ids.astype(encoder.kind)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(sizes), binaries(ids, sizes * ids.itemsize)], names=["id", "tokens", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return in_arrow(rows, encode, "id long, tokens long, ids binary")
+
+
+def binaries(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of `sizes` bytes each."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
+
+
+def ids_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of encoded rows, one after the other, and each row's number."""
+    sizes = rows.column("tokens").to_numpy()
+    column = rows.column("ids").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return raw.view("<u2" if 2 * sizes.sum() == len(raw) else "<u4"), sizes
+
+
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """id, n: how often each id comes up in encoded texts."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = None, np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in text_slices(batch, text_col):
-                encoder = encoder or Encoder(SparkFiles.get(name), end_id)
-                more = np.bincount(encoder.encode(part.column(text_col))[0], minlength=len(total))
+            if batch.num_rows:
+                more = np.bincount(ids_of(batch)[0], minlength=len(total))
                 more[: len(total)] += total
                 total = more
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    return in_arrow(docs.select(text_col), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return in_arrow(tokens.select("tokens", "ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def range_edges(docs: DataFrame, parts: int, id_col: str) -> np.ndarray:
+def range_edges(rows: DataFrame, parts: int) -> np.ndarray:
     """Quantiles of the ids: range k holds the ids above edge k - 1, up to edge k."""
     shares = [k / parts for k in range(1, parts)]
-    found = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), shares, 20 * parts).alias("b")).first()["b"] if shares else None
+    found = rows.agg(F.percentile_approx("id", shares, 20 * parts).alias("b")).first()["b"] if shares else None
     return np.asarray(found or [], np.int64)
 
 
-def coded(docs: DataFrame, vocabulary: str, end_id: int, rank_of: np.ndarray, edges: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """part, id, tokens, control, data: every text in codes, and its range of ids.
+def coded(tokens: DataFrame, rank_of: np.ndarray, edges: np.ndarray) -> DataFrame:
+    """part, id, tokens, control, data: every encoded text in codes, and its range of ids.
 
     An id that is the edge of several ranges may stand in any of them, and its rows take turns.
     """
-    docs.sparkSession.sparkContext.addFile(vocabulary)
-    name = vocabulary.rsplit("/", 1)[-1]
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, turn = None, 0
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
-            for rows in text_slices(batch, "text"):
-                encoder = encoder or Encoder(SparkFiles.get(name), end_id)
-                tokens, sizes = encoder.encode(rows.column("text"))
-                control, data, n_control, n_data = encode_ranks(rank_of[tokens], sizes)
+            for at in range(0, batch.num_rows, CODED_ROWS):
+                rows = batch.slice(at, CODED_ROWS)
+                ids, sizes = ids_of(rows)
+                control, data, n_control, n_data = encode_ranks(rank_of[ids], sizes)
                 id_ = rows.column("id")
                 value = id_.fill_null(0).to_numpy(zero_copy_only=False)
                 low = np.searchsorted(edges, value, side="left")
@@ -250,11 +316,9 @@ def coded(docs: DataFrame, vocabulary: str, end_id: int, rank_of: np.ndarray, ed
                 part = low + (turn + np.arange(len(value))) % wide
                 part[np.asarray(id_.is_null())] = 0
                 turn += len(value)
-                column = lambda raw, n: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n))), pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), id_, pa.array(sizes), column(control, n_control), column(data, n_data)], names=["part", "id", "tokens", "control", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), id_, rows.column("tokens"), binaries(control, n_control), binaries(data, n_data)], names=["part", "id", "tokens", "control", "data"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return in_arrow(rows, encode, "part int, id long, tokens long, control binary, data binary")
+    return in_arrow(tokens, code, "part int, id long, tokens long, control binary, data binary")
 
 
 def write_files(rows: DataFrame, folder: str, parts: int, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
@@ -340,8 +404,8 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids: bool
     """Write all texts to files in the shared folder and read every document back: id, start, n_tokens, ids_crc32[, ids]."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-files")
-    counted = scratch.table(id_counts(docs, vocabulary, end_id, text_col), "counts")
-    found = counted.collect()  # a row per id of the vocabulary at most
+    tokens = scratch.table(encoded(docs, vocabulary, end_id, id_col, text_col), "tokens", compression="zstd")
+    found = id_counts(tokens).collect()  # a row per id of the vocabulary at most
     n = np.zeros(max((r["id"] + 1 for r in found), default=1), np.int64)
     for r in found:
         n[r["id"]] = r["n"]
@@ -354,6 +418,6 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids: bool
     with system.open_output_stream(f"{root}/{RANKS}") as out:
         out.write(id_of.tobytes())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n.sum()) // file_tokens))
-    rows = coded(docs, vocabulary, end_id, rank_of, range_edges(docs, parts, id_col), id_col, text_col)
-    segments = scratch.table(write_files(rows, folder, parts, segment_tokens), "segments")
+    segments = scratch.table(write_files(coded(tokens, rank_of, range_edges(tokens, parts)), folder, parts, segment_tokens), "segments")
+    scratch.drop(tokens)
     return read_files(with_starts(segments), folder, with_ids).withColumnRenamed("id", id_col)

@@ -222,6 +222,6 @@ def test_codes_round_trip():
 
 def test_frequent_ids_take_one_byte_and_no_rows_no_files(spark, scratch):
     docs = spark.range(400).selectExpr("id doc_id", "concat('the end of ', id) text")
-    counts = {r["id"]: r["n"] for r in token_files.id_counts(docs, MODEL, 1).collect()}
+    counts = {r["id"]: r["n"] for r in token_files.id_counts(token_files.encoded(docs, MODEL, 1)).collect()}
     assert counts[1] == 400 and max(counts.values()) >= 400
     assert token_files.round_trip(docs.where("false"), MODEL).count() == 0
