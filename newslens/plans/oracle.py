@@ -185,6 +185,20 @@ ex AS (
   FROM raw)"""
 
 
+MARKED = """marked AS (
+  SELECT page_id, url, html || '<div class="post_time_source"> '
+    || CASE WHEN page_id % 5 = 0 THEN '' ELSE printf('2024-01-02 03:04:%02d　来源: ', page_id % 60) END
+    || CASE WHEN page_id % 3 = 0 THEN '<a href="/s">Desk &amp; Co</a>' ELSE '' END || '</div>'
+    || '<article><p>one <b>two</b> three &#39;&#x4e2d;</p><p> </p><p class=''x''>open ' || page_id || '<p>　last&nbsp;</p></article>' AS html
+  FROM pages)"""
+NESTED = ("<div class='post_text wide'><p>outer <i>a</i><article class=\"in\"><div><div>x<br>y</div></div><p>open <b>bold<li>item<ul><li>one<li>two</ul></article>"
+          "<table><tr><td>1<td>2<tr><th>h</table></b> a < b <!-- <p>no</p> --><style>p{}</style><p>tail</div></div>end")
+PIECES = (r"(?is)<!--.*?(?:-->|\z)|<script(?:[\s/][^>]*)?>.*?(?:</script[^>]*>|\z)|<style(?:[\s/][^>]*)?>.*?(?:</style[^>]*>|\z)|<[!?][^>]*(?:>|\z)"
+          r"|</?[a-z](?:[^>'\"]|\"[^\"]*\"|'[^']*')*>|</?[a-z][^>]*>|[^<]+|<")
+VOID_NAMES = "'area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr'"
+BLOCK_NAMES = ("'address','article','aside','blockquote','div','dl','fieldset','footer','form','h1','h2','h3','h4','h5','h6',"
+               "'header','hr','main','nav','ol','p','pre','section','table','ul'")
+
 _scheme = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
 _origin = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 
@@ -418,12 +432,45 @@ SELECT ex.page_id, ex.url, ex.title, ex.section, ex.time, ex.source,
 FROM ex JOIN firsts f ON f.page_id = ex.page_id AND f.url = ex.url
 WHERE ex.url NOT IN (SELECT url FROM seen)""",
 
-    "p14_marked_pages": f"""WITH marked AS (
-  SELECT page_id, url, html || '<div class="post_time_source"> '
-    || CASE WHEN page_id % 5 = 0 THEN '' ELSE printf('2024-01-02 03:04:%02d　来源: ', page_id % 60) END
-    || CASE WHEN page_id % 3 = 0 THEN '<a href="/s">Desk &amp; Co</a>' ELSE '' END || '</div>'
-    || '<article><p>one <b>two</b> three &#39;&#x4e2d;</p><p> </p><p class=''x''>open ' || page_id || '<p>　last&nbsp;</p></article>' AS html
-  FROM pages),
+    "p14_marked_pages": f"""WITH {MARKED},
+{_extracted('marked')}
+SELECT page_id, title, time, source, CAST(len(content) AS INTEGER) AS n_paragraphs, array_to_string(content, '|') AS content_text
+FROM ex WHERE len(content) > 0""",
+
+    "p14_element_tree": f"""WITH RECURSIVE src AS (SELECT page_id, html || {_q(NESTED)} AS html FROM pages),
+cut AS (SELECT page_id, regexp_extract_all(html, {_q(PIECES)}) AS ps FROM src),
+piece AS (SELECT page_id, unnest(ps) AS raw, generate_subscripts(ps, 1) AS i FROM cut),
+named AS (
+  SELECT page_id, i, raw, lower(regexp_extract(raw, '^</?([A-Za-z][^\\s/>]*)', 1)) AS name,
+         CASE WHEN NOT starts_with(raw, '<') OR raw = '<' THEN 'text' WHEN regexp_matches(raw, '(?i)^<(?:script|style)[\\s/>]|^<[!?]') THEN 'none'
+              WHEN starts_with(raw, '</') THEN 'close' ELSE 'open' END AS kind,
+         list_filter(string_split_regex(regexp_replace(regexp_extract(raw, '(?is)[\\s"''/]class\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), '["'']', '', 'g'), '\\s+'),
+                     lambda c: regexp_matches(c, '^[A-Za-z0-9_-]+$')) AS classes
+  FROM piece),
+k AS (
+  SELECT page_id, kind, raw, name, array_to_string(list_concat([name], classes), '.') AS step, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i,
+         CASE WHEN name IN ({BLOCK_NAMES}) THEN ['p'] WHEN name = 'li' THEN ['li'] WHEN name IN ('dt', 'dd') THEN ['dt', 'dd'] WHEN name = 'tr' THEN ['tr', 'td', 'th']
+              WHEN name IN ('td', 'th') THEN ['td', 'th'] WHEN name = 'option' THEN ['option'] ELSE [] END AS ends,
+         CASE WHEN name IN ({BLOCK_NAMES}) THEN ['button', 'caption', 'object', 'table', 'td', 'th'] WHEN name = 'li' THEN ['ol', 'ul'] WHEN name IN ('dt', 'dd') THEN ['dl']
+              WHEN name = 'tr' THEN ['table'] WHEN name IN ('td', 'th') THEN ['table', 'tr'] ELSE ['select'] END AS borders
+  FROM named WHERE kind <> 'none'),
+tree(page_id, i, names, steps, text) AS (
+  SELECT page_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR) FROM src
+  UNION ALL
+  SELECT page_id, i, CASE WHEN adds THEN list_concat(names[1:stay], [name]) ELSE names[1:stay] END, CASE WHEN adds THEN list_concat(steps[1:stay], [step]) ELSE steps[1:stay] END, text
+  FROM (
+    SELECT k.page_id, k.i, t.names, t.steps, k.name, k.step, CASE WHEN kind = 'text' THEN raw END AS text,
+           kind = 'open' AND k.name NOT IN ({VOID_NAMES}) AS adds,
+           CASE kind
+             WHEN 'open' THEN coalesce(list_min(list_filter(range(1, len(names) + 1), lambda j: list_contains(ends, names[j])
+                  AND j > coalesce(list_max(list_filter(range(1, len(names) + 1), lambda b: list_contains(borders, names[b]))), 0))) - 1, len(names))
+             WHEN 'close' THEN coalesce(list_max(list_filter(range(1, len(names) + 1), lambda j: names[j] = k.name)) - 1, len(names))
+             ELSE len(names) END AS stay
+    FROM tree t JOIN k ON k.page_id = t.page_id AND k.i = t.i + 1))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS no, CAST(len(names) AS INTEGER) AS depth,
+       '/' || array_to_string(steps, '/') AS path, text FROM tree WHERE text IS NOT NULL""",
+
+    "p14_tree_articles": f"""WITH {MARKED},
 {_extracted('marked')}
 SELECT page_id, title, time, source, CAST(len(content) AS INTEGER) AS n_paragraphs, array_to_string(content, '|') AS content_text
 FROM ex WHERE len(content) > 0""",

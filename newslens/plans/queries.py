@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from newslens import schema as S
 from newslens.functions import exprs as X
 from newslens.operators import counts as C
+from newslens.operators import page_tree as PT
 from newslens.operators import pages as PG
 from newslens.operators import ranking as R
 from newslens.operators import segmentation as SG
@@ -241,13 +242,32 @@ def y8_ingest_pages(spark, sf_dir):
                        X.content_text("content", " ").alias("content_text"))
 
 
-def p14_marked_pages(spark, sf_dir):
-    """Extraction over pages with a time block, inline tags, references, an unclosed and an empty paragraph."""
+def _marked(spark, sf_dir):
+    """Pages with a time block, inline tags, references, an unclosed and an empty paragraph."""
     pages = _pages(spark, sf_dir)
     time = F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.format_string("2024-01-02 03:04:%02d　来源: ", F.col("page_id") % 60))
     block = F.concat(F.lit('<div class="post_time_source"> '), time, F.when(F.col("page_id") % 3 == 0, F.lit('<a href="/s">Desk &amp; Co</a>')).otherwise(F.lit("")), F.lit("</div>"))
     body = F.concat(F.lit("<article><p>one <b>two</b> three &#39;&#x4e2d;</p><p> </p><p class='x'>open "), F.col("page_id").cast("string"), F.lit("<p>\u3000last&nbsp;</p></article>"))
-    return PG.extract_articles(pages.select("page_id", "url", F.concat("html", block, body).alias("html"))).select(
+    return pages.select("page_id", "url", F.concat("html", block, body).alias("html"))
+
+
+def p14_marked_pages(spark, sf_dir):
+    return PG.extract_articles(_marked(spark, sf_dir)).select(
+        "page_id", "title", "time", F.coalesce("source", F.lit(S.MISSING)).alias("source"), F.size("content").alias("n_paragraphs"), X.content_text("content", "|").alias("content_text"))
+
+
+NESTED = ("<div class='post_text wide'><p>outer <i>a</i><article class=\"in\"><div><div>x<br>y</div></div><p>open <b>bold<li>item<ul><li>one<li>two</ul></article>"
+          "<table><tr><td>1<td>2<tr><th>h</table></b> a < b <!-- <p>no</p> --><style>p{}</style><p>tail</div></div>end")
+
+
+def p14_element_tree(spark, sf_dir):
+    """Text nodes with their paths: each page's own html, and nested and broken blocks behind it."""
+    return PT.page_nodes(_pages(spark, sf_dir).select("page_id", F.concat("html", F.lit(NESTED)).alias("html")))
+
+
+def p14_tree_articles(spark, sf_dir):
+    """Article fields of the marked pages, read off the element tree."""
+    return PT.extract_articles(_marked(spark, sf_dir)).select(
         "page_id", "title", "time", F.coalesce("source", F.lit(S.MISSING)).alias("source"), F.size("content").alias("n_paragraphs"), X.content_text("content", "|").alias("content_text"))
 
 
@@ -411,6 +431,8 @@ QUERIES: dict[str, QueryFn] = {
     "s11_legacy_counts": s11_legacy_counts,
     "s12_history_json": s12_history_json,
     "p14_marked_pages": p14_marked_pages,
+    "p14_element_tree": p14_element_tree,
+    "p14_tree_articles": p14_tree_articles,
     "p15_link_forms": p15_link_forms,
     "p16_urls_in_text": p16_urls_in_text,
     "j4_unseen_urls": j4_unseen_urls,
