@@ -93,7 +93,7 @@ class Stripes:
         order = np.argsort(cell, kind="stable")
         first = np.flatnonzero(np.diff(cell[order], prepend=-1))
         number = self.term
-        own = np.fromiter((number.setdefault(t, len(number)) for t in terms.to_pylist()), np.int64, width)
+        own = np.fromiter((number.setdefault(t, len(number)) for t in terms.to_numpy(zero_copy_only=False).tolist()), np.int64, width)
         cell = cell[order][first]
         self._add(own[cell % width], cell // width, np.diff(np.append(first, len(held))), np.add.reduceat(n[order], first))
 
