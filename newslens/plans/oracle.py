@@ -367,6 +367,13 @@ SELECT CAST(row_number() OVER (ORDER BY n DESC, word ASC) AS INTEGER) AS rank, w
 FROM wc WHERE length(word) > 0 AND NOT regexp_matches(word, {INTEGER})
 ORDER BY n DESC, word ASC LIMIT 20""",
 
+    "w1_event_time_counts": f"""WITH {SENTENCES}
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, word, n FROM wc""",
+
+    "w1_late_lines": f"""WITH {SENT}
+SELECT count(*) + count(*) FILTER (WHERE doc_id % 50 = 0) + 1 AS lines, count(*) AS counted, CAST(1 AS BIGINT) AS open,
+       count(*) FILTER (WHERE doc_id % 50 = 0) AS late FROM sent""",
+
     "w4_quiet_batches": f"""WITH words AS (
   SELECT CAST(conv_id % 3 // 2 + 1 AS INTEGER) AS frame, unnest(string_split(line, ' ')) AS keyword
   FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE conv_id % 3 <> 1)),

@@ -142,28 +142,21 @@ def a5_distinct_urls(spark, sf_dir):
 
 
 # Streams, batch twins ---------------------------------------------------------
-def _dated_lines(spark, sf_dir):
-    """What the fetcher writes to token files: one stop-filtered line per article."""
-    arts = _articles(spark, sf_dir).where(F.col("pub_ts").isNotNull())
-    sent = TX.token_sentence(arts, S.DEFAULT_STOPWORDS, keep=("pub_ts",))
-    return sent.select("doc_id", "pub_ts", F.col("sentence").alias("value"))
-
-
 def w1_window_word_count(spark, sf_dir):
-    counts = RP.window_word_count(_dated_lines(spark, sf_dir), "pub_ts")
+    counts = RP.window_word_count(SQ.dated_lines(spark, sf_dir), "pub_ts")
     return counts.select(F.date_format("window_start", S.BATCH_KEY_FORMAT).alias("window_start"), "word", "n")
 
 
 def w3_word_history(spark, sf_dir):
-    return RP.word_history(_dated_lines(spark, sf_dir), "pub_ts")
+    return RP.word_history(SQ.dated_lines(spark, sf_dir), "pub_ts")
 
 
 def w2_word_history_20s(spark, sf_dir):
-    return RP.word_history(_dated_lines(spark, sf_dir), "pub_ts", "20 seconds")
+    return RP.word_history(SQ.dated_lines(spark, sf_dir), "pub_ts", "20 seconds")
 
 
 def w2_word_history_90s(spark, sf_dir):
-    return RP.word_history(_dated_lines(spark, sf_dir), "pub_ts", "90 seconds")
+    return RP.word_history(SQ.dated_lines(spark, sf_dir), "pub_ts", "90 seconds")
 
 
 def w1_event_counts(spark, sf_dir):
@@ -184,7 +177,7 @@ def w3_batches_by_arrival(spark, sf_dir):
 
 
 def r5_history_frames(spark, sf_dir):
-    hist = RP.word_history(_dated_lines(spark, sf_dir), "pub_ts")
+    hist = RP.word_history(SQ.dated_lines(spark, sf_dir), "pub_ts")
     return SK.history_frames(hist).select("batch_time", F.col("pos").cast("int").alias("pos"), "keyword", "n")
 
 
@@ -226,7 +219,7 @@ def s11_legacy_counts(spark, sf_dir):
 
 
 def s12_history_json(spark, sf_dir):
-    hist = RP.word_history(_dated_lines(spark, sf_dir), "pub_ts")
+    hist = RP.word_history(SQ.dated_lines(spark, sf_dir), "pub_ts")
     return SK.parse_history(SK.history_objects(hist), "batch_time")
 
 

@@ -16,6 +16,7 @@ from newslens.plans import reports as RP
 from newslens.session import ensure_parallel, table_path, work_folder
 from newslens.sources import articles as AR
 from newslens.sources import sinks as SK
+from newslens.streaming import event_time as ET
 from newslens.streaming import word_history as WH
 
 # What every fifth text of the glued files ends with: cuts inside strings, quotes and backslashes.
@@ -103,6 +104,38 @@ def s8_stream_history(spark, sf_dir):
     return WH.read_history_table(spark, history).select("rank", "keyword", "n")
 
 
+def dated_lines(spark, sf_dir):
+    """What the fetcher writes to token files: one stop-filtered line per article."""
+    arts = AR.articles_from_tables(spark, sf_dir).where(F.col("pub_ts").isNotNull())
+    sent = TX.token_sentence(arts, S.DEFAULT_STOPWORDS, keep=("pub_ts",))
+    return sent.select("doc_id", "pub_ts", F.col("sentence").alias("value"))
+
+
+def _by_event_time(spark, sf_dir):
+    """Dated lines as a stream by their own times: the first half of the time, a restart with the second one and a
+    line far ahead that closes all windows, and another with lines of every fiftieth article again, by then too late."""
+    root = work_folder(spark, "event-time")
+    lines = dated_lines(spark, sf_dir).select("doc_id", F.col("pub_ts").cast("timestamp").alias("ts"), "value")
+    half = lines.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    ahead = spark.range(1).select(F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit("").alias("value"))
+    for part in ([lines.where(F.col("ts") <= F.lit(half))], [lines.where(F.col("ts") > F.lit(half)), ahead], [lines.where("doc_id % 50 = 0")]):
+        for rows in part:
+            rows.select("ts", "value").write.mode("append").parquet(f"{root}/in")
+        ET.start_window_counts(ET.stream_lines(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return root
+
+
+def w1_event_time_counts(spark, sf_dir):
+    """The windows that the stream has appended; late lines are in none of them."""
+    counts = ET.read_window_counts(spark, f"{_by_event_time(spark, sf_dir)}/out")
+    return counts.select(F.date_format("window_start", S.BATCH_KEY_FORMAT).alias("window_start"), "word", "n")
+
+
+def w1_late_lines(spark, sf_dir):
+    root = _by_event_time(spark, sf_dir)
+    return ET.line_account(spark, spark.read.parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint")
+
+
 def w4_quiet_batches(spark, sf_dir):
     """Three batches through the history sink, the last one twice; the second has no countable word and leaves no entry."""
     talk = spark.read.parquet(table_path(sf_dir, "conversations"))
@@ -165,6 +198,8 @@ QUERIES = {
     "s5_text_files": s5_text_files,
     "s7_stream_counts": s7_stream_counts,
     "s8_stream_history": s8_stream_history,
+    "w1_event_time_counts": w1_event_time_counts,
+    "w1_late_lines": w1_late_lines,
     "w4_quiet_batches": w4_quiet_batches,
     "s6_report_rows": s6_report_rows,
     "s9_article_store": s9_article_store,
