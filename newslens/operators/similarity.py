@@ -87,8 +87,9 @@ def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str
 
     `block` columns become extra equi-join keys: only pairs equal on them are
     produced.  `near` (column, gap) keeps pairs at most `gap` apart: the column's
-    bucket of that width is a join key too, the term side standing in its own and
-    both neighbouring buckets, so far-apart rows never meet.  Both depend on
+    bucket of that width is a join key too, the keyword side (k rows a document, the
+    smaller one) standing in its own and both neighbouring buckets, so far-apart
+    rows never meet.  Both depend on
     per-article attributes only, so every row of a pair passes or none.  `min_sim`
     drops less similar pairs right after the aggregate.
     """
@@ -102,18 +103,18 @@ def pair_similarity(tk: DataFrame, same: Sequence[str] = (), carry: Sequence[str
         F.col("kw_norm").alias("k_n"),
         F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("k_slices")).cast("int").alias("k_part"),
         F.explode(F.sequence(F.lit(0), slices - 1)).alias("salt"),
-        *([F.col("bucket").alias("k_bucket")] if near else []),
+        *([F.col("bucket").alias("own_bucket")] if near else []),
         *[F.col(a).alias(f"k_{a}") for a in attrs])
     allt = tk.select(
         F.col("doc_id").alias("t_doc"), F.col("term").alias("t_term"),
         F.col("tf").alias("t_c"), F.col("is_kw").alias("t_kw"), F.col("kw_norm").alias("t_n"),
         F.pmod(F.xxhash64("doc_id"), slices).cast("int").alias("t_salt"),
         F.explode(F.sequence(F.lit(0), F.col("k_slices") - 1)).alias("t_part"),
-        *([F.col("bucket").alias("own_bucket")] if near else []),
+        *([F.col("bucket").alias("t_bucket")] if near else []),
         *[F.col(a).alias(f"t_{a}") for a in attrs])
     on = (F.col("term") == F.col("t_term")) & (F.col("salt") == F.col("t_salt")) & (F.col("k_part") == F.col("t_part"))
     if near:
-        allt = allt.withColumn("t_bucket", F.explode(F.sequence(F.col("own_bucket") - 1, F.col("own_bucket") + 1)))
+        kw = kw.withColumn("k_bucket", F.explode(F.sequence(F.col("own_bucket") - 1, F.col("own_bucket") + 1)))
         on = on & (F.col("k_bucket") == F.col("t_bucket"))
     for a in block:
         on = on & (F.col(f"k_{a}") == F.col(f"t_{a}"))
@@ -192,9 +193,11 @@ def related(pairs: DataFrame, titles: DataFrame, k: int = S.TOP_RELATED,
                        (F.abs(F.col("age_lo") - F.col("age_hi")) <= F.lit(max_gap)))
     both = both_directions(cand)
     # Partners are deduplicated on a numeric title id (the smallest doc_id with
-    # that title: one id per title), so the pair-sized steps handle no strings.
-    title_ids = titles.groupBy("title").agg(F.min("doc_id").alias("tid"))
-    doc_tid = titles.join(title_ids, "title").select(F.col("doc_id").alias("other"), "tid")
+    # that title: one id per title).  Titles are told apart by their SHA-256, so
+    # no step but the last one, over the few rows left, moves title texts.
+    marked = titles.select("doc_id", F.unhex(F.sha2("title", 256)).alias("_t"))
+    title_ids = marked.where(F.col("_t").isNotNull()).groupBy("_t").agg(F.min("doc_id").alias("tid"))
+    doc_tid = marked.join(title_ids, "_t").select(F.col("doc_id").alias("other"), "tid")
     best = (both.join(doc_tid, "other")
                 .groupBy("doc_id", "tid").agg(F.max("sim").alias("sim"))
                 .withColumn("s9", F.round("sim", 9)))
@@ -202,7 +205,7 @@ def related(pairs: DataFrame, titles: DataFrame, k: int = S.TOP_RELATED,
     # (rank keeps every tie at the boundary), so only those rows get titles.
     by_sim = Window.partitionBy("doc_id").orderBy(F.col("s9").desc())
     short = best.withColumn("r", F.rank().over(by_sim)).where(F.col("r") <= k)
-    named = short.join(title_ids, "tid")
+    named = short.join(titles.select(F.col("doc_id").alias("tid"), "title"), "tid")
     ranked = Window.partitionBy("doc_id").orderBy(F.col("s9").desc(), F.col("title").asc())
     return (named.withColumn("rank", F.row_number().over(ranked))
                 .where(F.col("rank") <= k)

@@ -71,14 +71,14 @@ def hot_news_report(articles: DataFrame, stopwords: TX.StopWords = S.DEFAULT_STO
     """
     dated = R.with_age(articles, now)
     tk = SIM.term_table(dated, stopwords, k, mode, attrs=PAIR_ATTRS)
-    pairs = SIM.pair_similarity(tk, same=("section",), carry=("age",))
-    # What is kept: pairs that vote, and pairs that can be related titles.
-    nearby = F.col("section_eq") & (F.abs(F.col("age_lo") - F.col("age_hi")) <= F.lit(S.RELATED_MAX_GAP_MIN))
-    pairs = reuse(pairs.where((F.col("sim") >= F.lit(S.VOTE_THRESHOLD)) | (nearby & (F.col("sim") > 0))))
+    # Votes need every pair but nothing besides its similarity; related titles need
+    # attributes, but only of pairs of one section and near in time.
+    voting = SIM.pair_similarity(tk, min_sim=S.VOTE_THRESHOLD)
+    nearby = SIM.pair_similarity(tk, same=("section",), carry=("age",), block=("section",), near=("age", S.RELATED_MAX_GAP_MIN))
     # Keywords are the flagged rows of the same term table: one tokenizer pass.
     kw = tk.where("is_kw").select("doc_id", "rank", "term", "tf", "tfidf")
-    hot = hotness_scores(articles, pairs, now)
-    rel = related_articles(articles, pairs, related_k)
+    hot = hotness_scores(articles, voting, now)
+    rel = related_articles(articles, nearby, related_k)
     return (articles.select("doc_id", "title")
             .join(hot.select("doc_id", F.col("hotness").alias("attention")), "doc_id", "left")
             .join(collect_ranked(kw, "doc_id", "term", "keyword"), "doc_id", "left")

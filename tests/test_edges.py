@@ -324,3 +324,29 @@ def test_nothing_runs_while_a_report_is_planned_and_kept_frames_stay_apart(spark
         inner = reuse(spark.range(6))
     assert outer.storageLevel.useMemory and not inner.storageLevel.useMemory
     outer.unpersist()
+
+
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """MurmurHash3 (x86, 32 bits) as a signed number, by its published definition."""
+    m, h = 0xFFFFFFFF, seed
+    rot = lambda x, r: (x << r | x >> (32 - r)) & m
+    mix = lambda k: rot(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = (rot(h ^ mix(int.from_bytes(data[i:i + 4], "little")), 13) * 5 + 0xE6546B64) & m
+    if whole < len(data):
+        h ^= mix(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * times & m
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_t4h_buckets_are_those_of_the_published_hash(spark):
+    from collections import Counter
+
+    rows = [(1, "one two two three ünï 中文 a ab abc abcd abcde"), (2, ""), (3, "x " * 500)]
+    arts = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (16, 1 << 18):
+        got = {r.doc_id: {int(i): v for i, v in zip(r.raw_features.indices, r.raw_features.values)} for r in TX.hashed_tf(arts, num_features=n).collect()}
+        assert got == {i: dict(Counter(murmur3(w.encode()) % n for w in t.split())) for i, t in rows}
