@@ -137,19 +137,20 @@ def publish_reports(articles: DataFrame, out_dir: str, at: str,
 def crawl_batch(pages: DataFrame, store_path: str, tokens_path: str, fetched_at: str,
                 stopwords: TX.StopWords = S.DEFAULT_STOPWORDS, count_repeats: bool = True,
                 rules: PG.ExtractRules = PG.DEFAULT_RULES, mode: str = "words",
-                batch_id: str | None = None) -> DataFrame:
+                batch_id: str | None = None, seen_path: str | None = None) -> DataFrame:
     """Y8 with its two sinks: token lines for the word-count stream (S10) and the
     article store (S9).  With `count_repeats` (the original behaviour, Q11) every
     fetched article feeds the token files, also when its URL is already stored;
     otherwise only newly stored ones do.  Both sinks are keyed by `batch_id` (by
     default the fetch time), so a batch that is run again replaces its own rows.
+    `seen_path` names a bucketed store of seen URLs (`sources.seen`).
     Returns the newly stored articles.
     """
     from newslens.sources import sinks as SK
 
     batch_id = batch_id or "".join(c for c in fetched_at if c.isdigit())
     extracted = PG.first_per_url(PG.extract_articles(pages, rules), "page_id")
-    stored = SK.append_new_articles(extracted, store_path, batch_id=batch_id)
+    stored = SK.append_new_articles(extracted, store_path, batch_id=batch_id, seen_path=seen_path)
     counted = extracted if count_repeats else stored
     lines = counted.select(F.col("page_id").alias("doc_id"),
                            F.concat_ws(" ", "content").alias("text"),

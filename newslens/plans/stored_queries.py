@@ -12,9 +12,11 @@ from newslens.functions import exprs as X
 from newslens.operators import counts as C
 from newslens.operators import pages as PG
 from newslens.operators import text as TX
+from newslens.operators.rolling_block import RollingBlock
 from newslens.plans import reports as RP
 from newslens.session import ensure_parallel, table_path, work_folder
 from newslens.sources import articles as AR
+from newslens.sources import seen as SEEN
 from newslens.sources import sinks as SK
 from newslens.streaming import event_time as ET
 from newslens.streaming import word_history as WH
@@ -160,16 +162,35 @@ def s6_report_rows(spark, sf_dir):
     return AR.read_text(spark, path).select(F.get_json_object("value", "$.doc_id").cast("bigint").alias("doc_id"), "value")
 
 
-def s9_article_store(spark, sf_dir):
+def _article_store(spark, sf_dir, seen_path=None):
     """Two batches of fetched pages, the second one run twice: each URL is stored once, by the first batch that has it."""
     pages = recrawled(spark, sf_dir)
     path = work_folder(spark, "articles")
     for batch, own in (("1", pages.where("page_id % 2 = 0")), ("2", pages), ("2", pages)):
-        SK.append_new_articles(PG.extract_articles(own), path, batch_id=batch)
+        SK.append_new_articles(PG.extract_articles(own), path, batch_id=batch, seen_path=seen_path)
     stored = spark.read.parquet(path)
     return stored.select("page_id", "url", "title", F.col("batch_id").cast("int").alias("batch"))
 
 
+def s9_article_store(spark, sf_dir):
+    return _article_store(spark, sf_dir)
+
+
+def s9_bucketed_store(spark, sf_dir):
+    """The same with the bucketed store of seen URLs."""
+    return _article_store(spark, sf_dir, work_folder(spark, "seen"))
+
+
+def j4_seen_store(spark, sf_dir):
+    """Links that a store of seen URLs lacks: those of the even pages are in it, from two batches, folded into one."""
+    links = PG.extract_links(ensure_parallel(spark.read.parquet(table_path(sf_dir, "pages")), "page_id"))
+    path = work_folder(spark, "seen")
+    for k in (0, 1):
+        SEEN.mark_seen(links.where(f"page_id % 4 = {2 * k}").select(F.col("dst").alias("url")), path, str(k), buckets=16)
+    SEEN.compact(spark, path)
+    return SEEN.unseen_in_store(links.select(F.col("dst").alias("url")).distinct(), path, "next", buckets=16)
+
+
 def recrawled(spark, sf_dir):
     """The pages, some fetched again later under another query string."""
     pages = ensure_parallel(spark.read.parquet(table_path(sf_dir, "pages")), "page_id")
@@ -183,6 +204,19 @@ def s10_token_files(spark, sf_dir):
     return spark.read.text(path).select(F.col("minute").cast("string").alias("minute"), "value")
 
 
+def t9_rolling_block(spark, sf_dir):
+    """Block keywords after four batches of articles, kept by what leaves the block; the second batch comes twice."""
+    arts = AR.articles_from_tables(spark, sf_dir).select("doc_id", "text")
+    block = RollingBlock(spark, work_folder(spark, "block"), fold_every=3)
+    bounds = arts.agg(F.percentile_approx("doc_id", [0.3, 0.6, 0.95])).first()[0]
+    edges = [None, *bounds, None]
+    for k in (0, 1, 1, 2, 3):
+        low, high = edges[k], edges[k + 1]
+        own = arts if low is None else arts.where(F.col("doc_id") > F.lit(low))
+        block.add(own if high is None else own.where(F.col("doc_id") <= F.lit(high)), str(k))
+    return block.keywords().select(F.col("rank").cast("int").alias("rank"), "term", "tf", F.round("tfidf", 6).alias("tfidf"))
+
+
 def c2_seen_urls(spark, sf_dir):
     """The seen set of a store, rebuilt from its text."""
     pages = ensure_parallel(spark.read.parquet(table_path(sf_dir, "pages")), "page_id")
@@ -203,6 +237,9 @@ QUERIES = {
     "w4_quiet_batches": w4_quiet_batches,
     "s6_report_rows": s6_report_rows,
     "s9_article_store": s9_article_store,
+    "s9_bucketed_store": s9_bucketed_store,
+    "j4_seen_store": j4_seen_store,
     "s10_token_files": s10_token_files,
+    "t9_rolling_block": t9_rolling_block,
     "c2_seen_urls": c2_seen_urls,
 }

@@ -16,6 +16,7 @@ from newslens import schema as S
 from newslens.functions import exprs as X
 from newslens.operators import pages as PG
 from newslens.operators import text as TX
+from newslens.sources import seen as SEEN
 
 
 # S6 ---------------------------------------------------------------------------
@@ -33,26 +34,36 @@ def window_keyword_report(block_kw: DataFrame, at: str) -> DataFrame:
 
 # S9 ---------------------------------------------------------------------------
 def append_new_articles(new: DataFrame, store_path: str, order_col: str = "page_id",
-                        batch_id: str | None = None) -> DataFrame:
+                        batch_id: str | None = None, seen_path: str | None = None) -> DataFrame:
     """Append articles whose canonical URL no other batch has stored; one row per URL.
 
     The store is partitioned by `batch_id` (a new one where none is given).  A batch that is run again is compared
     with the other batches only and replaces its own partition, so the result
     does not depend on how often it ran.  Returns what the batch has stored, read
     back from its partition.
+
+    The URLs seen are those of the article store, or, with `seen_path`, those of a bucketed
+    store (`sources.seen`), of which only the batch's buckets are read; the articles are
+    written before their URLs, so a batch that fails in between can be run again.
     """
     spark = new.sparkSession
     batch_id = batch_id or uuid.uuid4().hex
     fresh = PG.first_per_url(new, order_col)
-    try:
-        stored = spark.read.parquet(store_path).where(F.col("batch_id").cast("string") != F.lit(batch_id)).select("url")
-        fresh = PG.unseen(fresh, stored)
-    except AnalysisException as e:  # first write: the store does not exist yet
-        if (e.getCondition() or "") != "PATH_NOT_FOUND" and "does not exist" not in str(e):
-            raise
+    if seen_path is not None:
+        fresh = SEEN.unseen_in_store(fresh, seen_path, batch_id)
+    else:
+        try:
+            stored = spark.read.parquet(store_path).where(F.col("batch_id").cast("string") != F.lit(batch_id)).select("url")
+            fresh = PG.unseen(fresh, stored)
+        except AnalysisException as e:  # first write: the store does not exist yet
+            if (e.getCondition() or "") != "PATH_NOT_FOUND" and "does not exist" not in str(e):
+                raise
     own = f"{store_path}/batch_id={batch_id}"
     fresh.write.mode("overwrite").parquet(own)
-    return spark.read.schema(fresh.schema).parquet(own)
+    back = spark.read.schema(fresh.schema).parquet(own)
+    if seen_path is not None:
+        SEEN.mark_seen(back, seen_path, batch_id)
+    return back
 
 
 # S10 --------------------------------------------------------------------------
