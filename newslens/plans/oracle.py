@@ -394,6 +394,20 @@ wc AS (SELECT frame, keyword, count(*) AS n FROM words WHERE length(keyword) > 0
 r AS (SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY n DESC, keyword) AS INTEGER) AS rank, keyword, n FROM wc)
 SELECT frame, rank, keyword, n FROM r WHERE rank <= 20""",
 
+    "s6_snapshot": f"""WITH {WEIGHTS},{RANKED},
+thr AS (SELECT min(doc_id) AS t FROM (SELECT doc_id FROM articles ORDER BY doc_id DESC LIMIT 100)),
+mb AS (SELECT count(*) FILTER (WHERE doc_id < (SELECT t FROM thr)) + 1 AS m FROM articles),
+btf AS (SELECT CASE WHEN doc_id >= (SELECT t FROM thr) THEN -1 ELSE doc_id END AS doc_id, term, count(*) AS tf FROM toks GROUP BY 1, 2),
+bdf AS (SELECT term, count(*) AS df FROM btf GROUP BY term),
+bw AS (SELECT term, round(tf * ln(CAST(mb.m + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE)), 9) AS w9 FROM btf JOIN bdf USING (term) CROSS JOIN mb WHERE doc_id = -1),
+top AS (SELECT term, w9 FROM bw ORDER BY w9 DESC, term LIMIT 20)
+SELECT CAST(doc_id AS VARCHAR) AS key, string_agg(term, ' ' ORDER BY rnk) AS words FROM ranked WHERE rnk <= 20 GROUP BY doc_id
+UNION ALL SELECT strftime({NOW}, '%Y-%m-%d %H:%M:%S'), string_agg(term, ' ' ORDER BY w9 DESC, term) FROM top""",
+
+    "a5_daily_sketches": f"""WITH {_links('pages')},
+d AS (SELECT CAST(unnest(range(page_id % 7, 7)) AS INTEGER) AS upto, dst FROM links)
+SELECT upto, count(DISTINCT dst) AS n_urls, true AS near FROM d GROUP BY upto""",
+
     "s9_article_store": f"""WITH crawled AS (
   SELECT page_id, url, html FROM pages
   UNION ALL SELECT page_id + 1000000000, {_canon('url')} || '?again=1', html FROM pages WHERE page_id % 10 = 1),

@@ -134,6 +134,22 @@ def publish_reports(articles: DataFrame, out_dir: str, at: str,
         SK.write_report(SK.window_keyword_report(block, at), f"{out_dir}/window_keywords")
 
 
+def publish_snapshot(articles: DataFrame, path: str, at: str,
+                     stopwords: TX.StopWords = S.DEFAULT_STOPWORDS, now: str = S.QUERY_NOW,
+                     last_n: int = S.BLOCK_LAST_N, mode: str = "words") -> int:
+    """S6 + Y5 + Y2 as one version of `sources.snapshots`: the parts `hot_news` and
+    `window_keywords` become readable together, or, if one fails, not at all."""
+    from newslens.sources import sinks as SK
+    from newslens.sources import snapshots as SN
+
+    with kept():
+        report = hot_news_report(articles, stopwords, now=now, mode=mode)
+        block = TX.block_keywords(articles, stopwords, last_n, mode=mode)
+        return SN.publish(articles.sparkSession, path, at, {
+            "hot_news": report.select("title", "attention", "keyword", "samenews"),
+            "window_keywords": SK.window_keyword_report(block, at)})
+
+
 def crawl_batch(pages: DataFrame, store_path: str, tokens_path: str, fetched_at: str,
                 stopwords: TX.StopWords = S.DEFAULT_STOPWORDS, count_repeats: bool = True,
                 rules: PG.ExtractRules = PG.DEFAULT_RULES, mode: str = "words",

@@ -18,6 +18,7 @@ from newslens.session import ensure_parallel, table_path, work_folder
 from newslens.sources import articles as AR
 from newslens.sources import seen as SEEN
 from newslens.sources import sinks as SK
+from newslens.sources import snapshots as SN
 from newslens.streaming import event_time as ET
 from newslens.streaming import word_history as WH
 
@@ -172,6 +173,39 @@ def _article_store(spark, sf_dir, seen_path=None):
     return stored.select("page_id", "url", "title", F.col("batch_id").cast("int").alias("batch"))
 
 
+def s6_snapshot(spark, sf_dir):
+    """Keywords and window keywords as one published version; an earlier one holds other rows, and a later one fails halfway."""
+    arts = AR.articles_from_tables(spark, sf_dir)
+    path = work_folder(spark, "snapshots")
+    kw = RP.collect_ranked(TX.article_keywords(arts), "doc_id", "term", "keyword")
+    window = SK.window_keyword_report(TX.block_keywords(arts), S.QUERY_NOW)
+    SN.publish(spark, path, "before", {"keywords": kw.where("doc_id % 2 = 0"), "window": window})
+    SN.publish(spark, path, S.QUERY_NOW, {"keywords": kw, "window": window})
+    try:
+        SN.publish(spark, path, "never", {"keywords": kw.where("doc_id < 0"), "window": window.select(F.raise_error(F.lit("no window")).cast("string").alias("time"))})
+    except Exception as e:  # noqa: BLE001 - the failure that is asked for, and no other
+        if "no window" not in str(e):
+            raise
+    words = SN.read_part(spark, path, "keywords", "doc_id long, keyword array<string>").select(F.col("doc_id").cast("string").alias("key"), F.array_join("keyword", " ").alias("words"))
+    at = SN.read_part(spark, path, "window", "time string, timekeyword array<string>").select(F.col("time").alias("key"), F.array_join("timekeyword", " ").alias("words"))
+    return words.unionByName(at)
+
+
+def a5_daily_sketches(spark, sf_dir):
+    """Distinct URLs up to each of seven days, from the stored sketches of the days: the exact number, and whether
+    the estimate is within three standard errors of it."""
+    links = PG.extract_links(ensure_parallel(spark.read.parquet(table_path(sf_dir, "pages")), "page_id"))
+    urls = links.select((F.col("page_id") % 7).cast("int").alias("day"), F.col("dst").alias("url"))
+    path = work_folder(spark, "sketches")
+    C.url_sketches(urls, "day").write.partitionBy("day").parquet(path)
+    upto = spark.range(7).select(F.col("id").cast("int").alias("upto"))
+    stored = spark.read.parquet(path)
+    merged = C.merged_distinct(stored.select(F.explode(F.sequence(F.col("day"), F.lit(6))).alias("upto"), "sketch"), "upto")
+    exact = urls.select(F.explode(F.sequence(F.col("day"), F.lit(6))).alias("upto"), "url").groupBy("upto").agg(F.countDistinct("url").alias("n_urls"))
+    near = F.abs(F.col("estimate") - F.col("n_urls")) <= 3 * 1.04 / 2 ** (C.SKETCH_LOG / 2) * F.col("n_urls") + 1
+    return upto.join(exact, "upto").join(merged.withColumnRenamed("n_urls", "estimate"), "upto").select("upto", "n_urls", near.alias("near"))
+
+
 def s9_article_store(spark, sf_dir):
     return _article_store(spark, sf_dir)
 
@@ -236,6 +270,8 @@ QUERIES = {
     "w1_late_lines": w1_late_lines,
     "w4_quiet_batches": w4_quiet_batches,
     "s6_report_rows": s6_report_rows,
+    "s6_snapshot": s6_snapshot,
+    "a5_daily_sketches": a5_daily_sketches,
     "s9_article_store": s9_article_store,
     "s9_bucketed_store": s9_bucketed_store,
     "j4_seen_store": j4_seen_store,
