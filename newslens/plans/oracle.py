@@ -404,6 +404,9 @@ top AS (SELECT term, w9 FROM bw ORDER BY w9 DESC, term LIMIT 20)
 SELECT CAST(doc_id AS VARCHAR) AS key, string_agg(term, ' ' ORDER BY rnk) AS words FROM ranked WHERE rnk <= 20 GROUP BY doc_id
 UNION ALL SELECT strftime({NOW}, '%Y-%m-%d %H:%M:%S'), string_agg(term, ' ' ORDER BY w9 DESC, term) FROM top""",
 
+    "s12_split_history": f"""WITH {SENTENCES}
+SELECT batch_time AS batch_minute, rank, keyword || CASE rank % 5 WHEN 0 THEN '],"k": [' WHEN 1 THEN '],' ELSE '' END AS keyword, n FROM hist""",
+
     "a5_daily_sketches": f"""WITH {_links('pages')},
 d AS (SELECT CAST(unnest(range(page_id % 7, 7)) AS INTEGER) AS upto, dst FROM links)
 SELECT upto, count(DISTINCT dst) AS n_urls, true AS near FROM d GROUP BY upto""",

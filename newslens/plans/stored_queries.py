@@ -191,6 +191,18 @@ def s6_snapshot(spark, sf_dir):
     return words.unionByName(at)
 
 
+def s12_split_history(spark, sf_dir):
+    """A history as files of many frames each, cut between them while it is read; every fifth keyword holds the cut."""
+    hist = RP.word_history(dated_lines(spark, sf_dir), "pub_ts")
+    word = F.concat("keyword", F.when(F.col("rank") % 5 == 0, F.lit('],"k": [')).otherwise(F.when(F.col("rank") % 5 == 1, F.lit("],")).otherwise(F.lit(""))))
+    objects = SK.history_objects(hist.withColumn("keyword", word))
+    path = work_folder(spark, "history")
+    # a frame without the object's ends; the line separator closes it
+    frames = objects.select(F.expr("substring(value, 2, length(value) - 3)").alias("value"))
+    frames.write.option("lineSep", SK.FRAME_CUT).text(path)
+    return SK.read_history(spark, path, split=True).select("batch_minute", "rank", "keyword", "n")
+
+
 def a5_daily_sketches(spark, sf_dir):
     """Distinct URLs up to each of seven days, from the stored sketches of the days: the exact number, and whether
     the estimate is within three standard errors of it."""
@@ -271,6 +283,7 @@ QUERIES = {
     "w4_quiet_batches": w4_quiet_batches,
     "s6_report_rows": s6_report_rows,
     "s6_snapshot": s6_snapshot,
+    "s12_split_history": s12_split_history,
     "a5_daily_sketches": a5_daily_sketches,
     "s9_article_store": s9_article_store,
     "s9_bucketed_store": s9_bucketed_store,

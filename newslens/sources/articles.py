@@ -42,9 +42,9 @@ def read_concat_json(spark: SparkSession, path: str, schema=S.ARTICLE_SCHEMA,
     return parse_pieces(raw, schema, keep=("ingest_pos",) if keep_order else (), keep_rejects=keep_rejects)
 
 
-def join_quoted(pieces: DataFrame) -> DataFrame:
-    """Pieces (`value`, `ingest_pos`, `_split`) of files cut at every `}{` → (value, ingest_pos) of the
-    records, cut only where `}{` stands outside of a string.
+def join_quoted(pieces: DataFrame, cut: str = "}{") -> DataFrame:
+    """Pieces (`value`, `ingest_pos`, `_split`) of files cut at every `}{` (or another `cut`) → (value, ingest_pos) of the
+    records, cut only where it stands outside of a string.
 
     The automaton has two states, inside and outside of a string: a quote flips
     it, a backslash takes the next character with it, and a raw line break,
@@ -82,7 +82,7 @@ def join_quoted(pieces: DataFrame) -> DataFrame:
     several = reuse(several.select("ingest_pos", F.coalesce("_first", "_begun").alias("_record")))
     single = pieces.join(several, "ingest_pos", "left_anti").select("value", "ingest_pos")
     parts = pieces.join(several, "ingest_pos").groupBy("_record").agg(F.array_sort(F.collect_list(F.struct("ingest_pos", "value"))).alias("_p"))
-    return single.unionByName(parts.select(F.array_join(F.transform("_p", lambda x: x["value"]), "}{").alias("value"), F.col("_record").alias("ingest_pos")))
+    return single.unionByName(parts.select(F.array_join(F.transform("_p", lambda x: x["value"]), cut).alias("value"), F.col("_record").alias("ingest_pos")))
 
 
 def parse_pieces(pieces: DataFrame, schema=S.ARTICLE_SCHEMA, keep: tuple[str, ...] = (),

@@ -16,6 +16,7 @@ from newslens import schema as S
 from newslens.functions import exprs as X
 from newslens.operators import pages as PG
 from newslens.operators import text as TX
+from newslens.sources import articles as AR
 from newslens.sources import seen as SEEN
 
 
@@ -116,13 +117,25 @@ HISTORY_JSON = (f"map<string, array<struct<`{S.HISTORY_KEYWORD_FIELD}`: string,
                 f"`{S.HISTORY_COUNT_FIELD}`: bigint>>>")
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
+FRAME_CUT = "],"  # between the frames of one object
+
+
+def read_history(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """History JSON object(s) → (batch_minute, rank, keyword, n); each file is one object.
 
     Files are read in parallel.  An object of the original tool is one file's
     size; our own export (`export_history_json`) has one small object per frame.
+    With `split` a file is cut between its frames by the text source, so one huge
+    object is read by many tasks; cuts inside a string are joined again (`join_quoted`).
     """
-    return parse_history(spark.read.option("wholetext", True).text(path))
+    if not split:
+        return parse_history(spark.read.text(path, wholetext=True))
+    raw = AR.with_file_order(spark.read.option("lineSep", FRAME_CUT).text(path), keep_split=True)
+    frame = X.py_strip("value")
+    # the first frame has the object's brace before it, the last one both ends behind it
+    entries = F.regexp_replace(F.regexp_replace(frame, r"^\{\s*", ""), r"\]\s*\}$", "")
+    frames = AR.join_quoted(raw, FRAME_CUT).select("ingest_pos", entries.alias("e")).where(F.col("e").startswith('"'))
+    return parse_history(frames.select(F.concat(F.lit("{"), F.col("e"), F.lit("]}")).alias("value")))
 
 
 def parse_history(objects: DataFrame, key_col: str = "batch_minute") -> DataFrame:

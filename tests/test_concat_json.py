@@ -88,3 +88,24 @@ def test_a_torn_string_ends_at_a_line_break(spark, scratch, torn):
     rows = SA.read_concat_json(spark, scratch, quoted=True, keep_rejects=True).collect()
     assert sorted(r.url or "-" for r in rows) == ["-", "w", "w"]
     assert sum(r.rejected is not None for r in rows) == 1
+
+
+@pytest.mark.parametrize("layout", [{}, {"indent": 1}, {"separators": (",", ":")}])
+def test_s12_one_object_over_many_splits(spark, scratch, layout):
+    from newslens.sources import sinks as SK
+
+    words = ["a", "x],", '],"k": [', 'q"],', "\\],", "中]", "{}", "]}"]
+    doc = {f"2020-11-{1 + i // 24:02d} {i % 24:02d}:00": [{"关键词": words[(i + k) % len(words)], "数量": i + k} for k in range(i % 5)] for i in range(300)}
+    path = os.path.join(scratch, "history.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(doc, f, ensure_ascii=False, **layout)
+    want = sorted((k, n, e["关键词"], e["数量"]) for k, v in doc.items() for n, e in enumerate(v, 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        got = SK.read_history(spark, path, split=True)
+        assert sorted(map(tuple, got.collect())) == want == sorted(map(tuple, SK.read_history(spark, path).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("{}")
+    assert SK.read_history(spark, path, split=True).count() == 0
