@@ -108,6 +108,10 @@ def test_registered_queries_run_on_smoke_scale(spark):
     for name, fn in QUERIES.items():
         df = fn(spark, SF_SMALL)
         assert df.columns, name
+        plan = _plan(df)
+        # no Python on the executors in any query, and no cross product
+        for bad in ("CartesianProduct", "EvalPython", "InPandas", "InArrow"):
+            assert bad not in plan, (name, bad)
         assert df.count() >= 0
 
 
