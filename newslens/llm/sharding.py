@@ -6,9 +6,10 @@ permutes the numbers; permuted number p goes to shard `p % shards`, slot
 place and row number can be computed from each other (`permute`, `restore`)
 without a table.
 
-The global order is that of a hash of (id, size, crc): 4,096 hash buckets are
-counted, numbered by a running sum over those 4,096 counts, and rows are ranked
-inside their bucket.  Rows equal in all three fields are counted, not moved: a
+The global order is that of a hash of (id, size, crc): hash buckets of about
+`BUCKET_ROWS` rows (`BUCKETS` of them at least) are counted, numbered by a running sum
+over those counts, and rows are ranked inside their bucket, so there are as many
+rankings as the rows need.  Rows equal in all three fields are counted, not moved: a
 row repeated any number of times is one counted row until its numbers are
 dealt out, so no task holds a hot group.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from newslens.llm.common import Scratch, mix
 
 BUCKETS = 4096
+BUCKET_ROWS = 1 << 17
 ROUNDS = 6
 BLOCK = 1 << 16
 
@@ -66,10 +68,11 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 0, id_col: str = "
     """One row per input row: id, size, text_crc32, row_number, place, shard, slot."""
     scratch = Scratch(docs.sparkSession, "shard")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text).alias("crc"))
-    rows = rows.withColumn("order", F.xxhash64("id", "size", "crc")).withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("order", F.xxhash64("id", "size", "crc")).withColumn("bucket", F.pmod("order", F.lit(buckets)).cast("int"))
     counted = scratch.table(rows.groupBy("bucket", "order", "id", "size", "crc").agg(F.count("*").alias("copies")), "counted")
-    # at most BUCKETS rows: one task holds them, whatever the input
+    # a row per bucket: one task holds them
     sums = counted.groupBy("bucket").agg(F.sum("copies").alias("rows")).select("bucket", (F.sum("rows").over(Window.orderBy("bucket")) - F.col("rows")).alias("base"))
     n = counted.agg(F.sum("copies")).first()[0] or 0
     inside = Window.partitionBy("bucket").orderBy("order", "id", "size", "crc")
