@@ -61,13 +61,40 @@ def in_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """The scratch tables that operators make inside the block are deleted at its end.
+
+    Results read them, so write what is wanted before the block ends.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for root in _SCOPES.pop():
+            _delete(spark, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Scratch:
-    """Tables that cut the lineage: Parquet in the shared folder, so a lost executor costs only its running tasks."""
+    """Tables that cut the lineage: Parquet in the shared folder, so a lost executor costs only its running tasks.
+
+    They stay until `drop`, or the end of an enclosing `temporary` block.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if _SCOPES:
+            _SCOPES[-1].append(self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -84,8 +111,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no later result reads."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, t._scratch_path)
 
 
 def worker_cache() -> dict:
@@ -98,6 +124,13 @@ def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def light(df: DataFrame, *lists: str, most: int = 64 << 20) -> DataFrame:
+    """A broadcast hint for a written table whose rows and entries of `lists` (narrow ones) sum to `most` bytes at most."""
+    entries = sum((F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(0))
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(entries), F.lit(0))).first()
+    return F.broadcast(df) if 64 * rows + 48 * held <= most else df
+
+
 # --- Arrow text -------------------------------------------------------------------------
 def text_slices(batch: pa.RecordBatch, *columns: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about `most` bytes of text in these columns, and one row at least."""

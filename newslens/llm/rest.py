@@ -9,10 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newslens.llm.common import Scratch
+from newslens.llm.common import Scratch, small
 from newslens.llm.graph import components
 
-BLOCK = 1024
+BLOCK_BYTES = 1 << 19
+LIST_ROWS = 4096
+
+
+def sliced(keys: DataFrame, scratch: Scratch, most: int = LIST_ROWS) -> DataFrame:
+    """The rows of candidate lists (key, node) with `slice`: lists of more than `most` rows are cut by the node's hash.
+
+    A long list's rows are so spread over tasks; pairs across slices are left to `rest_links`, which takes all of longer lists.
+    """
+    long = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("slices"))
+    long = scratch.table(long, "long")
+    cut = keys.join(small(long, long.count()), "key", "left")
+    return cut.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
 
 
 def rest_links(rest: DataFrame, found: DataFrame, sets: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
@@ -21,7 +33,7 @@ def rest_links(rest: DataFrame, found: DataFrame, sets: DataFrame, similarity: F
     found: node, component (classes without a link may be missing); sets: node,
     values (sorted 64-bit hashes as bytes).  Classes that lists connect form a group.  Those outside a group's largest
     component are compared with the whole group: blocks of them meet blocks of the
-    group, and a task counts common shingles through the block's postings.  It gives
+    group, of about `BLOCK_BYTES` of values each, and a task counts common shingles through the block's postings.  It gives
     one link for each class and component reached, so what comes out grows with the
     classes and not with their pairs.
     """
@@ -30,13 +42,14 @@ def rest_links(rest: DataFrame, found: DataFrame, sets: DataFrame, similarity: F
     group = components(rest.join(head, "key").select(F.col("node").alias("a"), "b"), scratch).select("node", F.col("component").alias("group"))
     own = group.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = scratch.table(own, "groups")
-    sizes = own.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group")
-    sizes = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.max("n").alias("n"), F.sum("n").alias("all"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = sizes.where("parts > 1").select("group", "main", blocks(F.col("all")).alias("wide"), blocks(F.col("all") - F.col("n")).alias("deep"))
-
-    told = own.join(sizes, "group").join(sets, "node")
-    members = scratch.table(told.select("node", "group", "component", "main", "wide", "deep", "values"), "members")
+    several = own.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("group")
+    told = scratch.table(own.join(several, "group").join(sets, "node").select("node", "group", "component", "values"), "told")
+    sizes = told.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("values")).alias("size")).groupBy("group")
+    largest = F.struct("n", "component")
+    sizes = sizes.agg(F.max_by("component", largest).alias("main"), F.max_by("size", largest).alias("main_size"), F.sum("size").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    sizes = sizes.select("group", "main", blocks(F.col("all")).alias("wide"), blocks(F.col("all") - F.col("main_size")).alias("deep"))
+    members = told.join(sizes, "group")
     part = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ("group", "i", "j")
