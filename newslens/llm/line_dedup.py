@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import FOLD, SPACES, Scratch, in_arrow, mix, powers, run_hashes, signed, small, spans, text_bytes, text_slices
+from newslens.llm.common import FOLD, SPACES, Scratch, in_arrow, light, mix, powers, run_hashes, signed, small, spans, text_bytes, text_slices
 
 NEAR_WORDS = 8
+VARIANT_ROWS = 10_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 ORDER = ("doc", "body", "line_no")
@@ -164,19 +165,33 @@ def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, scratch: Scratc
     wanted = halves.join(shared, "key").groupBy("line").agg(F.first("first").alias("first"), F.max(~F.col("tail")).alias("head"), F.max("tail").alias("tail"))
     wanted = wanted.groupBy("first.doc", "first.body").agg(F.collect_list(F.struct("first.line_no", "head", "tail")).alias("wanted"))
     wanted = scratch.table(wanted, "wanted")
-    texts = docs.join(small(wanted, wanted.count(), 200_000), ["doc", "body"])
-    keys = variants(texts).repartition("variant")
-    own = lambda cond: F.min(F.when(cond, order))
-    by, at = Window.partitionBy("variant"), Window.partitionBy("variant", "place")
-    keys = keys.withColumns({"same": F.min(order).over(at), "self": own(F.col("place") < 0).over(by), "longer": own(F.col("place") >= 0).over(by)})
+    texts = docs.join(light(wanted, "wanted"), ["doc", "body"])
+    # each line's earliest partner: of the same variant at the same place, or whole against shortened
     earlier = F.when(F.col("place") < 0, F.col("longer")).otherwise(F.least("same", "self"))
-    near = keys.withColumn("other", earlier).where(F.col("other") < order).groupBy("line").agg(F.min("other").alias("other"), F.min(order).alias("first"))
+    own = lambda cond, value: F.min(F.when(cond, value))
+    held = variants(texts).groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") > VARIANT_ROWS).select("variant")
+    hot = scratch.table(held, "hot")
+    is_hot = small(hot, hot.count())
+    cold = variants(texts).join(is_hot, "variant", "left_anti").repartition("variant")
+    by, at = Window.partitionBy("variant"), Window.partitionBy("variant", "place")
+    keys = cold.withColumns({"same": F.min(order).over(at), "self": own(F.col("place") < 0, order).over(by), "longer": own(F.col("place") >= 0, order).over(by)})
+    keys = keys.select("variant", "place", *ORDER, "line", earlier.alias("other"))
+    if not hot.isEmpty():
+        # a variant of very many lines (a template that differs in one word): its minima are combined in the
+        # map tasks, and its rows meet them where they are, or in a join that Spark splits
+        much = variants(texts).join(is_hot, "variant", "left_semi")
+        places = much.groupBy("variant", "place").agg(F.min(order).alias("same"))
+        least = places.groupBy("variant").agg(own(F.col("place") < 0, F.col("same")).alias("self"), own(F.col("place") >= 0, F.col("same")).alias("longer"), F.map_from_entries(F.collect_list(F.struct("place", "same"))).alias("sames"))
+        least = scratch.table(least, "least")
+        told = much.join(small(least, least.count(), 10_000), "variant").withColumn("same", F.col("sames")[F.col("place")])
+        keys = keys.unionByName(told.select("variant", "place", *ORDER, "line", earlier.alias("other")))
+    near = keys.where(F.col("other") < order).groupBy("line").agg(F.min("other").alias("other"), F.min(order).alias("first"))
     near = scratch.table(near, "near")
     # the two texts of each found pair
     ends = near.select("line", F.explode(F.array(F.struct("first", F.lit(False).alias("is_other")), F.struct(F.col("other").alias("first"), F.lit(True).alias("is_other")))).alias("e"))
     ends = ends.groupBy("e.first.doc", "e.first.body").agg(F.collect_list(F.struct("line", "e.first.line_no", "e.is_other")).alias("ends"))
     ends = scratch.table(ends, "ends")
-    cut = docs.join(small(ends, ends.count(), 200_000), ["doc", "body"]).withColumn("cut", F.split("text", "\n")).select("cut", F.explode("ends").alias("e"))
+    cut = docs.join(light(ends, "ends"), ["doc", "body"]).withColumn("cut", F.split("text", "\n")).select("cut", F.explode("ends").alias("e"))
     cut = cut.select("e.line", "e.is_other", F.get("cut", F.col("e.line_no")).alias("text"))
     pairs = cut.groupBy("line").agg(F.max(F.when(~F.col("is_other"), F.col("text"))).alias("text"), F.max(F.when(F.col("is_other"), F.col("text"))).alias("other"))
     dropped = scratch.table(_verify(pairs), "dropped")
@@ -192,7 +207,7 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "do
     narrow = docs.select(marked["__doc"].alias("doc"), marked["__body"].alias("body"), F.col(text_col).alias("text"))
     gone = removed_lines(narrow, near_words)
     gone = gone.select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("lines").alias("__lines"))
-    rows = docs.withColumns(marked).join(small(gone, gone.count(), 200_000), ["__doc", "__body"], "left")
+    rows = docs.withColumns(marked).join(light(gone, "__lines"), ["__doc", "__body"], "left")
     split = F.split(text_col, "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains("__lines", i))
     n_lines = F.size(F.filter(split, lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")))
