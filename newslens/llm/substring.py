@@ -21,7 +21,8 @@ Paragraphs are the lines of `size` words or more.
 
 Repeats inside one document alone are not removed.  Texts of fewer than `size` words,
 nulls and empty texts have no paragraphs.  Rows without an id take no part.  Rows that
-share an id count as one document, with the words of each counted from 0.  Texts of any
+share an id are one document: what they repeat among each other stays.  Spans count the
+words of one text, told by its hash `body` beside the id, so each of those rows loses its own.  Texts of any
 length are read whole.  An empty table gives no rows.  Other columns pass through
 `remove_passages` and are otherwise not read.
 """
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslens.llm.common import FOLD, SPACES, STEP, Scratch, in_arrow, mix, powers, rule, run_hashes, signed, small, spans, text_bytes, text_slices
+from newslens.llm.common import FOLD, SPACES, STEP, Scratch, in_arrow, light, mix, powers, rule, run_hashes, signed, small, spans, text_bytes, text_slices
 from newslens.llm.graph import components
 from newslens.llm.rest import rest_links
 
@@ -106,17 +107,17 @@ class Units:
 
 
 def occurrences(docs: DataFrame, size: int) -> DataFrame:
-    """para (hash), doc, at (first word), words of every paragraph and piece."""
+    """para (hash), doc, body, at (first word), words of every paragraph and piece."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 x = Units(part.column("text"), size)
                 yield pa.RecordBatch.from_pydict({
-                    "para": signed(x.hash), "doc": part.column("doc").take(pa.array(x.row)), "at": pa.array(x.at.astype(np.int32)), "words": pa.array(x.size.astype(np.int32)),
+                    "para": signed(x.hash), "doc": part.column("doc").take(pa.array(x.row)), "body": part.column("body").take(pa.array(x.row)), "at": pa.array(x.at.astype(np.int32)), "words": pa.array(x.size.astype(np.int32)),
                 })
 
-    return in_arrow(docs, emit, "para long, doc long, at int, words int")
+    return in_arrow(docs, emit, "para long, doc long, body long, at int, words int")
 
 
 def band_rows(docs: DataFrame, size: int, bands: int) -> DataFrame:
@@ -170,9 +171,9 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 
 def repeated_passages(docs: DataFrame, size: int = SIZE, similarity: float = 0.8, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, start, end (words, exclusive), kept_in (the id that keeps the passage): one row per removal span."""
+    """id, body (hash of the row's text), start, end (words, exclusive), kept_in (the id that keeps the passage): one row per removal span."""
     scratch = Scratch(docs.sparkSession, "substring")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
     by = Window.partitionBy("key")
     # one shuffle by key serves the distinct, the count and the order
     lists = band_rows(rows, size, bands_for(similarity, recall)).repartition("key").groupBy("key", "para").agg(F.lit(1).alias("one"))
@@ -186,7 +187,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, similarity: float = 0.8
     first = first.join(asked, "para", "left").where("asked or last > first.doc").select("para", "first.doc", (F.col("last") > F.col("first.doc")).alias("several"), F.coalesce("asked", F.lit(False)).alias("asked"))
     first = scratch.table(first, "first")
     wanted = scratch.table(first.where("asked").groupBy("doc").agg(F.collect_list("para").alias("wanted")), "wanted")
-    sets = scratch.table(_shingles(rows.join(small(wanted, wanted.count(), 200_000), "doc"), size), "sets")
+    sets = scratch.table(_shingles(rows.join(light(wanted, "wanted"), "doc"), size), "sets")
     links = scratch.table(_verified(pairs, sets, similarity), "links")
     found = components(links, scratch)
     # the rest of longer lists
@@ -200,17 +201,17 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, similarity: float = 0.8
     keeper = marked.groupBy("component").agg(F.min("doc").alias("kept_in"))
     keeper = scratch.table(marked.join(keeper, "component").select("para", "kept_in"), "keeper")
     gone = occurrences(rows, size).join(small(keeper, keeper.count()), "para").where("doc <> kept_in")
-    gone = gone.groupBy("doc", "at").agg((F.col("at") + F.max("words")).alias("end"), F.min("kept_in").alias("kept_in"))
-    along = Window.partitionBy("doc").orderBy("at")
+    gone = gone.groupBy("doc", "body", "at").agg((F.col("at") + F.max("words")).alias("end"), F.min("kept_in").alias("kept_in"))
+    along = Window.partitionBy("doc", "body").orderBy("at")
     gone = gone.withColumn("new", (F.col("at") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
     gone = gone.withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    cuts = gone.groupBy("doc", "span").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.min("kept_in").alias("kept_in"))
-    return cuts.select(F.col("doc").alias(id_col), "start", "end", "kept_in")
+    cuts = gone.groupBy("doc", "body", "span").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.min("kept_in").alias("kept_in"))
+    return cuts.select(F.col("doc").alias(id_col), "body", "start", "end", "kept_in")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with the passages' words taken out of their texts."""
-    cuts = passages.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    cuts = passages.groupBy(F.col(id_col).alias("__id"), F.col("body").alias("__body")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
@@ -227,5 +228,5 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
             out.append(text)
         return type(texts)(out)
 
-    joined = docs.join(cuts, F.col(id_col) == F.col("__id"), "left")
+    joined = docs.join(cuts, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__body")), "left")
     return joined.withColumn(text_col, cut(text_col, "__cuts")).select(*docs.columns)
