@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens.llm import decontaminate, line_dedup, near_dedup, quality, sp_codec
-from newslens.llm.common import Scratch
+from newslens.llm.common import Scratch, temporary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -74,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with temporary(spark):  # what a stage has put aside goes when its result is written
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
     return docs
