@@ -52,8 +52,8 @@ def in_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[
         try:
             yield from task(batches)
         finally:
-            if _POWERS and len(_POWERS[0]) > 1 << 20:
-                _POWERS.clear()
+            if len(worker_cache().get("powers", ((),))[0]) > 1 << 20:
+                del worker_cache()["powers"]
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
                 ctypes.CDLL(None).malloc_trim(0)
@@ -177,19 +177,20 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** j and its inverse modulo 2 ** 64 for j < n, kept between calls."""
-    if not _POWERS or len(_POWERS[0]) < n:
+    """BASE ** j and its inverse modulo 2 ** 64 for j < n, kept between calls (not in a global, which would go with every task function)."""
+    kept = worker_cache().get("powers")
+    if kept is None or len(kept[0]) < n:
         size = max(n, 1 << 20)
-        _POWERS[:] = []
+        made = []
         for base in (BASE, pow(BASE, -1, 1 << 64)):
             x = np.full(size, base, dtype=np.uint64)
             x[0] = 1
-            _POWERS.append(np.cumprod(x, dtype=np.uint64))
-    return _POWERS[0], _POWERS[1]
+            made.append(np.cumprod(x, dtype=np.uint64))
+        kept = worker_cache()["powers"] = (made[0], made[1])
+    return kept
 
 
 def spans(separator: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -171,12 +171,14 @@ def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS, scratch: Scratc
     own = lambda cond, value: F.min(F.when(cond, value))
     held = variants(texts).groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") > VARIANT_ROWS).select("variant")
     hot = scratch.table(held, "hot")
-    is_hot = small(hot, hot.count())
-    cold = variants(texts).join(is_hot, "variant", "left_anti").repartition("variant")
+    n_hot = hot.count()
+    is_hot = small(hot, n_hot)
+    cold = variants(texts).join(is_hot, "variant", "left_anti") if n_hot else variants(texts)
+    cold = cold.repartition("variant")
     by, at = Window.partitionBy("variant"), Window.partitionBy("variant", "place")
     keys = cold.withColumns({"same": F.min(order).over(at), "self": own(F.col("place") < 0, order).over(by), "longer": own(F.col("place") >= 0, order).over(by)})
     keys = keys.select("variant", "place", *ORDER, "line", earlier.alias("other"))
-    if not hot.isEmpty():
+    if n_hot:
         # a variant of very many lines (a template that differs in one word): its minima are combined in the
         # map tasks, and its rows meet them where they are, or in a join that Spark splits
         much = variants(texts).join(is_hot, "variant", "left_semi")

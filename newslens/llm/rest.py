@@ -23,7 +23,10 @@ def sliced(keys: DataFrame, scratch: Scratch, most: int = LIST_ROWS) -> DataFram
     """
     long = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("slices"))
     long = scratch.table(long, "long")
-    cut = keys.join(small(long, long.count()), "key", "left")
+    n = long.count()
+    if not n:
+        return keys.withColumn("slice", F.lit(0))
+    cut = keys.join(small(long, n), "key", "left")
     return cut.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
 
 
