@@ -23,7 +23,7 @@ from newslens.operators import similarity as SIM
 from newslens.operators import text as TX
 from newslens.plans import reports as RP
 from newslens.plans import stored_queries as SQ
-from newslens.session import ensure_parallel, reuse, table_path
+from newslens.session import ensure_parallel, reuse, spread_texts, table_path
 from newslens.sources import articles as AR
 from newslens.sources import sinks as SK
 from newslens.streaming import word_history as WH
@@ -370,9 +370,9 @@ def _in_han(c="text"):
 
 def t1_dictionary_words(spark, sf_dir):
     """Texts in Han characters cut by a dictionary: the runs of up to four characters that the conversations repeat."""
-    talk = _texts(spark, sf_dir, "conversations").select(_in_han())
+    talk = spread_texts(spark.read.parquet(table_path(sf_dir, "conversations")).select("text")).select(_in_han())
     known = SG.count_dictionary(SG.han_ngrams(talk, longest=4), least=5)
-    d = ensure_parallel(spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text"), "doc_id")
+    d = spread_texts(spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text"), "doc_id")
     toks = TX.tokens(d.select("doc_id", _in_han()), mode="dictionary", dictionary=known)
     return toks.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 

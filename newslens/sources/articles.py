@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from newslens import schema as S
 from newslens.functions import exprs as X
-from newslens.session import ensure_parallel, reuse, table_path
+from newslens.session import reuse, spread_texts, table_path
 
 CORRUPT = "_corrupt_record"
 
@@ -182,7 +182,7 @@ def articles_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     the whole first line; an article without an event has no publish time."""
     d = spark.read.parquet(table_path(sf_dir, "documents")).select(
         "doc_id", "text", "lang", "source")
-    d = ensure_parallel(non_empty(d), "doc_id")
+    d = spread_texts(non_empty(d), "doc_id")
     e = spark.read.parquet(table_path(sf_dir, "events")).select("event_id", "ts")
     return d.join(e, d.doc_id == e.event_id, "left").select(*article_columns(d, e))
 
