@@ -1,7 +1,7 @@
 """Composite queries a user calls.
 
-Each takes DataFrames and returns a lazy DataFrame; nothing runs while a plan is
-built.  Intermediates that several branches read are kept by `session.reuse`.
+Each takes DataFrames and returns a lazy DataFrame; only the similarity counts its
+documents while its plan is built.  Intermediates that several branches read are kept by `session.reuse`.
 """
 
 from __future__ import annotations

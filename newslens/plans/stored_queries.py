@@ -14,7 +14,7 @@ from newslens.operators import pages as PG
 from newslens.operators import text as TX
 from newslens.operators.rolling_block import RollingBlock
 from newslens.plans import reports as RP
-from newslens.session import ensure_parallel, table_path, work_folder
+from newslens.session import ensure_parallel, reuse, table_path, work_folder
 from newslens.sources import articles as AR
 from newslens.sources import seen as SEEN
 from newslens.sources import sinks as SK
@@ -177,8 +177,9 @@ def s6_snapshot(spark, sf_dir):
     """Keywords and window keywords as one published version; an earlier one holds other rows, and a later one fails halfway."""
     arts = AR.articles_from_tables(spark, sf_dir)
     path = work_folder(spark, "snapshots")
-    kw = RP.collect_ranked(TX.article_keywords(arts), "doc_id", "term", "keyword")
-    window = SK.window_keyword_report(TX.block_keywords(arts), S.QUERY_NOW)
+    # every publication reads them: twenty words an article, worked out once
+    kw = reuse(RP.collect_ranked(TX.article_keywords(arts), "doc_id", "term", "keyword"))
+    window = reuse(SK.window_keyword_report(TX.block_keywords(arts), S.QUERY_NOW))
     SN.publish(spark, path, "before", {"keywords": kw.where("doc_id % 2 = 0"), "window": window})
     SN.publish(spark, path, S.QUERY_NOW, {"keywords": kw, "window": window})
     try:

@@ -48,3 +48,14 @@ def test_sketches_of_days_are_merged_within_the_stated_error(spark):
     for r in urls.groupBy("day").agg(F.countDistinct("url").alias("n")).collect():
         assert abs(by_day[r.day] - r.n) <= 3 * 1.04 / 2 ** (C.SKETCH_LOG / 2) * r.n
     kept.unpersist()
+
+
+def test_the_published_parts_are_worked_out_once(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from newslens.plans import stored_queries as SQ
+
+    published, publish = [], SN.publish
+    monkeypatch.setattr(SN, "publish", lambda spark, path, at, parts: published.append(parts) or publish(spark, path, at, parts))
+    assert SQ.s6_snapshot(spark, SF_SMALL).count() > 100
+    assert len(published) == 3 and published[0]["window"] is published[1]["window"]
+    assert all(part.storageLevel.useMemory for part in published[1].values())
