@@ -47,6 +47,8 @@ SHINGLE = 5
 AROUND = 4
 ROWS = 2
 BEFORE = 4
+TORN_MOST = 1_000_000  # most ids with several texts that are broadcast
+KEEPER_MOST = 1_000_000  # most repeated paragraphs that are broadcast
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -139,6 +141,19 @@ def band_rows(docs: DataFrame, size: int, bands: int) -> DataFrame:
     return in_arrow(docs, emit, "key long, para long")
 
 
+def among(held: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of `held` whose `para` may be in `asked`, for the join that follows: rows that can't meet it are not shuffled.
+
+    The first 26 bits of the asked hashes are marked in at most 2 ** 20 rows of 64 bits, which are
+    broadcast whatever the number of hashes; the more there are, the fewer rows they keep out.
+    """
+    word = F.shiftrightunsigned("para", 44)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("para", 38).bitwiseAND(F.lit(63)).cast("int"))
+    marks = scratch.table(asked.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks")
+    marked = held.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(marks), "word")
+    return marked.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*held.columns)
+
+
 def _shingles(docs: DataFrame, size: int) -> DataFrame:
     """para, shingles (sorted distinct) of the paragraphs in `wanted`."""
 
@@ -182,9 +197,9 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, similarity: float = 0.8
     before = lists.withColumn("before", F.array_compact(F.array(*(F.lag("para", i).over(member) for i in range(1, BEFORE + 1)))))
     pairs = scratch.table(before.select("para", F.explode("before").alias("o")).select(*_pair(F.col("para"), F.col("o"))).distinct(), "pairs")
     asked = lists.select("para").distinct().withColumn("asked", F.lit(True))
-    # of equal paragraphs: the first place, and whether they stand in several documents
-    first = occurrences(rows, size).groupBy("para").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"))
-    first = first.join(asked, "para", "left").where("asked or last > first.doc").select("para", "first.doc", (F.col("last") > F.col("first.doc")).alias("several"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    # of equal paragraphs: the first document, and whether they stand in several documents
+    first = occurrences(rows, size).groupBy("para").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
+    first = first.join(asked, "para", "left").where("asked or last > doc").select("para", "doc", (F.col("last") > F.col("doc")).alias("several"), F.coalesce("asked", F.lit(False)).alias("asked"))
     first = scratch.table(first, "first")
     wanted = scratch.table(first.where("asked").groupBy("doc").agg(F.collect_list("para").alias("wanted")), "wanted")
     sets = scratch.table(_shingles(rows.join(light(wanted, "wanted"), "doc"), size), "sets")
@@ -200,12 +215,26 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, similarity: float = 0.8
     marked = first.join(found.select(F.col("node").alias("para"), "component"), "para", "left").where("several or component is not null").withColumn("component", F.coalesce("component", "para"))
     keeper = marked.groupBy("component").agg(F.min("doc").alias("kept_in"))
     keeper = scratch.table(marked.join(keeper, "component").select("para", "kept_in"), "keeper")
-    gone = occurrences(rows, size).join(small(keeper, keeper.count()), "para").where("doc <> kept_in")
+    # only documents with several texts need `body` on the way, as it is as wide as all the rest
+    bodies = scratch.table(rows.groupBy("doc").agg(F.min("body").alias("body"), F.max("body").alias("other")), "bodies")
+    torn = bodies.where("body <> other").select("doc")
+    n = torn.count()
+    told = rows
+    if n <= TORN_MOST:
+        own = F.when(F.col("torn"), F.col("body")) if n else F.lit(None).cast("long")
+        told = rows.join(F.broadcast(torn.withColumn("torn", F.lit(True))), "doc", "left") if n else rows
+        told = told.select("doc", own.alias("body"), "text")
+    n = keeper.count()
+    held = occurrences(told, size)
+    if n > KEEPER_MOST:
+        held = among(held, keeper, scratch)
+    gone = held.join(small(keeper, n, KEEPER_MOST), "para").where("doc <> kept_in")
     gone = gone.groupBy("doc", "body", "at").agg((F.col("at") + F.max("words")).alias("end"), F.min("kept_in").alias("kept_in"))
     along = Window.partitionBy("doc", "body").orderBy("at")
     gone = gone.withColumn("new", (F.col("at") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
     gone = gone.withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     cuts = gone.groupBy("doc", "body", "span").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.min("kept_in").alias("kept_in"))
+    cuts = cuts.join(bodies.select("doc", F.col("body").alias("only")), "doc").withColumn("body", F.coalesce("body", "only"))
     return cuts.select(F.col("doc").alias(id_col), "body", "start", "end", "kept_in")
 
 
