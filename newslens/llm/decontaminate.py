@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newslens.llm.common import BYTE_CODE, SPACES, STEP, Scratch, mix, rule, run_hashes, signed, spans, text_bytes, text_slices
+from newslens.llm.common import BYTE_CODE, SPACES, STEP, Scratch, in_arrow, mix, rule, run_hashes, signed, spans, text_bytes, text_slices
 
 WINDOW = 5
 SHARE = 0.8
@@ -136,7 +136,7 @@ def common_words(items: DataFrame) -> np.ndarray:
                     "word": signed(plain), "opening": pa.array(opener.astype(np.int64)), "inside": pa.array((kind == NAME).astype(np.int64)), "lower": pa.array((~upper).astype(np.int64)),
                 })
 
-    counts = items.select("text").mapInArrow(count, "word long, opening long, inside long, lower long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("opening", "inside", "lower")))
+    counts = in_arrow(items.select("text"), count, "word long, opening long, inside long, lower long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("opening", "inside", "lower")))
     found = counts.where("opening > 0 and lower > 0 and lower >= inside").select("word").collect()
     return np.sort(np.array([r.word for r in found], np.int64).view(np.uint64))
 
@@ -204,7 +204,7 @@ def window_rows(texts: DataFrame, wanted: np.ndarray | None = None, common: np.n
                     "at": pa.array([i - int(rows[k[0]]) for k, i in out.items()], pa.int32()), "slots": pa.array([list(k[3:]) for k in out], pa.list_(pa.int64())),
                 })
 
-    return texts.mapInArrow(emit, "id long, window long, first long, at int, slots array<long>")
+    return in_arrow(texts, emit, "id long, window long, first long, at int, slots array<long>")
 
 
 def contaminated(

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslens.llm.common import SPACES, Scratch, run_hashes, spans, text_bytes, text_slices
+from newslens.llm.common import SPACES, Scratch, in_arrow, run_hashes, spans, text_bytes, text_slices
 
 ENDS = 128
 RATES = 8
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, s
                 x = [r.tobytes() for r in features(part.column("text")).astype("<f4")]
                 yield pa.RecordBatch.from_pydict({"positive": part.column("positive"), "key": part.column("key"), "x": pa.array(x, pa.binary())})
 
-    found = rows.select("text", "positive", "key").mapInArrow(extract, "positive boolean, key long, x binary").groupBy("key", "positive").agg(F.min("x").alias("x")).collect()
+    found = in_arrow(rows.select("text", "positive", "key"), extract, "positive boolean, key long, x binary").groupBy("key", "positive").agg(F.min("x").alias("x")).collect()
     found.sort(key=lambda r: (r.key, r.x))
     two = [np.frombuffer(b"".join(bytes(r.x) for r in found if r.positive == side), "<f4").reshape(-1, FEATURES) for side in (True, False)]
     if min(map(len, two)) < LEAST:
@@ -192,7 +192,7 @@ def with_score(docs: DataFrame, network: Network | None, score_col: str = "quali
                 got = np.ones(len(x)) if network is None else network.score(x)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, score_col])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return in_arrow(docs, score, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def held_out(id_col: str) -> Column:

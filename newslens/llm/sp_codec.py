@@ -37,10 +37,10 @@ import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from newslens.llm.common import text_slices
+from newslens.llm.common import in_arrow, text_slices
 
 BLANK = "\u2581"
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 150_000
 KEPT_LENGTH = 48
 NEVER = np.int64(1) << 62
 PLACE = 32  # bits of a position beside a rank
@@ -66,7 +66,8 @@ class Codec:
         self.word = [str(i) for i in range(n)]
         self.chunk = re.compile(self._chunks(), re.DOTALL)
         self._pairs(n)
-        self.kept: dict[str, tuple[int, str, str]] = {}  # number of ids, the ids, the decoded text
+        self.kept: dict[str, str] = {}  # the ids of a chunk
+        self.odd: dict[str, str] = {}  # the decoded text of kept chunks that is not the chunk with its blanks
 
     def _chunks(self) -> str:
         pieces = [p for p in self.ids if len(p) > 1]
@@ -176,9 +177,9 @@ class Codec:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks that are not kept yet, and compare each with the library."""
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept.clear()
         new = [c for c in chunks if c not in self.kept]
+        if self.kept and len(self.kept) + len(new) > KEPT_CHUNKS:
+            self.kept, self.odd = {c: self.kept[c] for c in chunks if c in self.kept}, {c: self.odd[c] for c in chunks if c in self.odd}
         short = [c for c in new if len(c) <= KEPT_LENGTH]
         found: list[tuple[str, list[int], str]] = [(c, i := self._ids(self.merge(c)), self._text(i)) for c in new if len(c) > KEPT_LENGTH]
         if short:
@@ -193,7 +194,17 @@ class Codec:
         for (c, ids, text), theirs in zip(found, self.library.encode(asked, num_threads=1), strict=True):
             if theirs != (ids if c[0] == BLANK else lead + ids) and c != BLANK:  # one blank alone stands for the space in front
                 raise RuntimeError(f"{c!r}: other ids than the library's")
-            self.kept[c] = (len(ids), ",".join([self.word[i] for i in ids]), text)
+            self.kept[c] = ",".join([self.word[i] for i in ids])
+            if text != c.replace(BLANK, " "):
+                self.odd[c] = text
+
+    def joined(self, parts: list[str]) -> tuple[str, str]:
+        """The ids and the decoded text of the kept chunks of a text."""
+        if not self.odd or self.odd.keys().isdisjoint(parts):
+            back = "".join(parts).replace(BLANK, " ")
+        else:
+            back = "".join([t if (t := self.odd.get(c)) is not None else c.replace(BLANK, " ") for c in parts])
+        return ",".join([self.kept[c] for c in parts]), back.removeprefix(" ")
 
     def _text(self, ids: list[int]) -> str:
         raw = self.raw
@@ -202,7 +213,7 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         parts = self.chunks(text)
         self.learn(set(parts))
-        return [int(i) for c in parts for i in self.kept[c][1].split(",")]
+        return [int(i) for c in parts for i in self.kept[c].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return self._text(ids).removeprefix(" ")
@@ -225,16 +236,14 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 parts = [codec.chunks(t) for t in texts]
                 codec.learn(set().union(*parts))
-                kept = [[codec.kept[c] for c in x] for x in parts]
-                ids = [",".join([x[1] for x in row]) for row in kept]
-                back = ["".join([x[2] for x in row]).removeprefix(" ") for row in kept]
+                ids, back = zip(*(codec.joined(x) for x in parts), strict=True)
                 if not k:
                     theirs = codec.library.encode(texts[0])
                     if ",".join(map(str, theirs)) != ids[0] or codec.library.decode(theirs) != back[0]:
                         raise RuntimeError("a text differs from the library's result")
-                columns = {id_col: part.column(id_col), "n_tokens": pa.array([sum([x[0] for x in row]) for row in kept], pa.int64())}
+                columns = {id_col: part.column(id_col), "n_tokens": pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64())}
                 if with_ids:
-                    flat = np.fromiter((int(i) for row in kept for x in row for i in x[1].split(",")), np.int32)
+                    flat = np.fromiter((int(i) for x in ids if x for i in x.split(",")), np.int32)
                     ends = np.cumsum([0, *columns["n_tokens"].to_pylist()]).astype(np.int32)
                     columns |= {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "decoded": pa.array(back, pa.string())}
                 columns |= {
@@ -244,4 +253,4 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_pydict(columns)
         gc.enable()
 
-    return docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, n_tokens long, {extra}ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select(id_col, text_col), encode, f"`{id_col}` {kind}, n_tokens long, {extra}ids_sha256 string, decoded_sha256 string")

@@ -96,6 +96,17 @@ def test_heap_and_rounds_merge_alike(codec):
             assert ids == codec._ids(codec.merge(c))
 
 
+def test_kept_chunks_stay_within_their_bound(monkeypatch):
+    monkeypatch.setattr(sp_codec, "KEPT_CHUNKS", 100)
+    codec = sp_codec.Codec(MODEL)
+    for k in range(5):
+        parts = codec.chunks(text := " ".join(f"w{k}{i}é😀\x00" for i in range(80)))
+        codec.learn(set(parts))
+        ids = codec.library.encode(text)
+        assert codec.joined(parts) == (",".join(map(str, ids)), codec.library.decode(ids))
+        assert len(codec.kept) <= 100
+
+
 def test_encoded_rows(spark, codec):
     rows = [(1, "Hello wörld 😀\n"), (2, ""), (3, None), (None, "x"), (1, "Hello wörld 😀\n"), (4, "long text " * 60_000)]
     got = sp_codec.encode_texts(docs_of(spark, rows, ("ids", "n_tokens", "x", "decoded")), MODEL).collect()
