@@ -11,8 +11,8 @@ of byte pieces.
 
 A chunk ends before U+2581 (if no piece holds one after another character) and
 around line ends and tabs (if no longer piece holds them); both are read off the
-vocabulary.  Results of short chunks are kept in a per-task dictionary of bounded
-size.
+vocabulary.  Results of chunks are kept in two per-task dictionaries of bounded
+size, so that those met again and again stay.
 
 Every Arrow batch is checked against the sentencepiece library: each chunk that is
 new to the task, and one whole text, must encode and decode alike; a difference
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from newslens.llm.common import in_arrow, text_slices
 
 BLANK = "\u2581"
-KEPT_CHUNKS = 150_000
+KEPT_CHUNKS = 300_000
 KEPT_LENGTH = 48
 NEVER = np.int64(1) << 62
 PLACE = 32  # bits of a position beside a rank
@@ -67,6 +67,7 @@ class Codec:
         self.chunk = re.compile(self._chunks(), re.DOTALL)
         self._pairs(n)
         self.kept: dict[str, str] = {}  # the ids of a chunk
+        self.older: dict[str, str] = {}  # those kept before; what is met again goes over to `kept`
         self.odd: dict[str, str] = {}  # the decoded text of kept chunks that is not the chunk with its blanks
 
     def _chunks(self) -> str:
@@ -178,8 +179,11 @@ class Codec:
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks that are not kept yet, and compare each with the library."""
         new = [c for c in chunks if c not in self.kept]
-        if self.kept and len(self.kept) + len(new) > KEPT_CHUNKS:
-            self.kept, self.odd = {c: self.kept[c] for c in chunks if c in self.kept}, {c: self.odd[c] for c in chunks if c in self.odd}
+        if self.kept and len(self.kept) + len(new) > KEPT_CHUNKS // 2:
+            self.older, self.kept = self.kept, {c: self.kept[c] for c in chunks if c in self.kept}
+            self.odd = {c: t for c, t in self.odd.items() if c in self.older}
+        self.kept |= {c: ids for c in new if (ids := self.older.get(c)) is not None}
+        new = [c for c in new if c not in self.kept]
         short = [c for c in new if len(c) <= KEPT_LENGTH]
         found: list[tuple[str, list[int], str]] = [(c, i := self._ids(self.merge(c)), self._text(i)) for c in new if len(c) > KEPT_LENGTH]
         if short:
@@ -232,7 +236,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         codec = Codec(SparkFiles.get(name))
         sha = hashlib.sha256
         for batch in batches:
-            for k, part in enumerate(text_slices(batch, text_col)):
+            for k, part in enumerate(text_slices(batch, text_col, most=1 << 18)):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 parts = [codec.chunks(t) for t in texts]
                 codec.learn(set().union(*parts))
