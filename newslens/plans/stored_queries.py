@@ -3,6 +3,9 @@ as a source's input, and read back.  Paths come from `work_folder`, so driver an
 
 from __future__ import annotations
 
+import contextlib
+import time
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +17,7 @@ from newslens.operators import pages as PG
 from newslens.operators import text as TX
 from newslens.operators.rolling_block import RollingBlock
 from newslens.plans import reports as RP
-from newslens.session import ensure_parallel, reuse, table_path, work_folder
+from newslens.session import SHUFFLES_GO, cores, ensure_parallel, reuse, settings, table_path, work_folder
 from newslens.sources import articles as AR
 from newslens.sources import seen as SEEN
 from newslens.sources import sinks as SK
@@ -114,17 +117,74 @@ def dated_lines(spark, sf_dir):
     return sent.select("doc_id", "pub_ts", F.col("sentence").alias("value"))
 
 
+# Event time: bytes of text a core that one micro-batch takes, and so what the state store holds of it.
+SLICE_BYTES = 8 << 20
+
+
+def _time_slices(spark, lines, path: str, n: int):
+    """`lines` as one file for each of about 2 `n` slices of time, oldest first, and how many of them are the first half of the time."""
+    bounds = lines.agg(F.percentile_approx("ts", [k / (2 * n) for k in range(1, 2 * n)])).first()[0] or []
+    half = bounds[n - 1] if bounds else None
+    bounds = sorted(set(bounds))
+    # how many bounds lie before the line's time
+    number = F.size(F.filter(F.lit(bounds).cast("array<timestamp>"), lambda b: b < F.col("ts"))) if bounds else F.lit(0)
+    dealt = lines.withColumn("slice", number).repartition(2 * n, "slice")
+    with settings(spark, SHUFFLES_GO):
+        dealt.write.option("compression", "zstd").option("parquet.block.size", str(SLICE_BYTES // 4)).partitionBy("slice").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {int(s.getPath().getName().split("=")[1]): s.getPath() for s in files.listStatus(folder(path)) if "=" in s.getPath().getName()}
+    parts = [[f.getPath() for f in files.listStatus(found[k]) if f.getPath().getName().startswith("part-")] for k in sorted(found)]
+    return files, parts, sum(k <= bounds.index(half) for k in found) if bounds else 0
+
+
 def _by_event_time(spark, sf_dir):
     """Dated lines as a stream by their own times: the first half of the time, a restart with the second one and a
-    line far ahead that closes all windows, and another with lines of every fiftieth article again, by then too late."""
+    line far ahead that closes all windows, and another with lines of every fiftieth article again, by then too late.
+
+    A half comes as files of one slice of time each, one a micro-batch and oldest first, so the state store holds the windows of
+    two slices, not of a half.  The stream takes files by their modification times, which are set; a store that does not keep
+    them gets all files of a half in one batch.
+    """
     root = work_folder(spark, "event-time")
     lines = dated_lines(spark, sf_dir).select("doc_id", F.col("pub_ts").cast("timestamp").alias("ts"), "value")
-    half = lines.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    text_bytes = spark.read.parquet(table_path(sf_dir, "documents")).select(F.sum(F.octet_length("text"))).first()[0] or 0
+    files, parts, first = _time_slices(spark, lines, f"{root}/lines", -(-text_bytes // (2 * SLICE_BYTES * cores(spark))) or 1)
+    folder, to = spark._jvm.org.apache.hadoop.fs.Path, f"{root}/in"
+    at = int(time.time()) * 1000 - 1000 * (len(parts) + 1)
+    lines.select("ts", "value").limit(0).write.parquet(to)
+
+    def add(slices, number) -> bool:
+        """Whether the files' times are in the slices' order."""
+        kept = True
+        for k, group in enumerate(slices, number):
+            for f in group:
+                moved = folder(f"{to}/slice-{k:05d}-{f.getName()}")
+                files.rename(f, moved)
+                with contextlib.suppress(Exception):  # a store without such times
+                    files.setTimes(moved, at + 1000 * k, -1)
+                kept &= files.getFileStatus(moved).getModificationTime() == at + 1000 * k
+        return kept and all(len(group) == 1 for group in slices)
+
+    def run(ordered: bool):
+        stream = ET.stream_lines(spark, to, max_files_per_trigger=1 if ordered else None)
+        # few state files for the slices' size, those of passed batches go, and a slice is read by all cores
+        own = {"spark.sql.shuffle.partitions": str(2 * cores(spark)), "spark.sql.streaming.minBatchesToRetain": "2",
+               "spark.sql.streaming.maxBatchesToRetainInMemory": "1", "spark.sql.files.openCostInBytes": str(1 << 20),
+               "spark.sql.streaming.stateStore.maintenanceInterval": "15s"}
+        if files.getScheme() == "file":  # the other manager starts a process for every link that it looks up in a local folder
+            own["spark.sql.streaming.checkpointFileManagerClass"] = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
+        with settings(spark, own | SHUFFLES_GO):
+            ET.start_window_counts(stream, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+
+    run(add(parts[:first], 0))
+    ordered = add(parts[first:], first)
     ahead = spark.range(1).select(F.lit("2100-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit("").alias("value"))
-    for part in ([lines.where(F.col("ts") <= F.lit(half))], [lines.where(F.col("ts") > F.lit(half)), ahead], [lines.where("doc_id % 50 = 0")]):
-        for rows in part:
-            rows.select("ts", "value").write.mode("append").parquet(f"{root}/in")
-        ET.start_window_counts(ET.stream_lines(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    ahead.write.mode("append").parquet(to)
+    run(ordered)
+    stored = spark.read.schema(lines.schema).parquet(to)
+    stored.where("doc_id % 50 = 0").select("ts", "value").write.mode("append").parquet(to)
+    run(False)
     return root
 
 
@@ -136,7 +196,7 @@ def w1_event_time_counts(spark, sf_dir):
 
 def w1_late_lines(spark, sf_dir):
     root = _by_event_time(spark, sf_dir)
-    return ET.line_account(spark, spark.read.parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint")
+    return ET.line_account(spark, spark.read.schema(ET.LINE_SCHEMA).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint")
 
 
 def w4_quiet_batches(spark, sf_dir):
